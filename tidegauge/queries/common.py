@@ -72,3 +72,7 @@ zs AS (SELECT sentiment, ts_bin, cnt, CASE WHEN stddev_pop(cnt) OVER w = 0 THEN
 SQL_MONTHLY = """monthly AS (SELECT o_orderpriority AS priority,
   date_trunc('month', o_orderdate)::TIMESTAMP AS ts,
   round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2)"""
+
+SQL_PRED_PLAIN = SQL_SERIES + """,
+pred AS (SELECT sentiment, ts_bin FROM (SELECT sentiment, ts_bin,
+  row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) AS k FROM series) WHERE k > 1)"""
