@@ -20,23 +20,22 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
                .groupBy(*keys, F.col(value).cast("double").alias("_v"))
                .agg(F.count(F.lit(1)).alias("_n")))
     marks = [i / SLICES for i in range(1, SLICES)]
-    cuts = F.percentile_approx("_v", marks, 20 * SLICES)
-    slice_no = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    # naming _n (always positive) keeps the counts in every use, so Spark runs one exchange
+    cuts = F.percentile_approx(F.when(F.col("_n") > 0, F.col("_v")), marks, 20 * SLICES)
+    facts = F.struct(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
     if keys:
-        per_key = counted.groupBy(*keys).agg(cuts.alias("_cuts"))
-        sliced = _null_safe_join(counted, per_key, keys).withColumn("_s", slice_no)
+        sliced = _null_safe_join(counted, counted.groupBy(*keys).agg(facts.alias("_f")), keys)
     else:
-        sliced = (counted.withColumn("_cuts", counted.agg(cuts).scalar())
-                  .withColumn("_s", slice_no))
-    sliced = sliced.select(*keys, "_v", "_n", "_s")
+        sliced = counted.withColumn("_f", counted.agg(facts).scalar())
+    sliced = (_slice_number(sliced.select(*keys, "_v", "_n", "_f.*"))
+              .select(*keys, "_v", "_n", "_s", "_total"))
 
     # at most SLICES rows per group from here
     upto = Window.partitionBy(*keys).orderBy("_s")
-    whole = Window.partitionBy(*keys)
-    sizes = (sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_m"))
+    sizes = (sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_m"),
+                                             F.first("_total").alias("_total"))
              .withColumn("_hi", F.sum("_m").over(upto))
-             .withColumn("_lo", F.col("_hi") - F.col("_m"))
-             .withColumn("_total", F.sum("_m").over(whole)))
+             .withColumn("_lo", F.col("_hi") - F.col("_m")))
     wanted = (
         sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
         .withColumn("_h", F.col("q") * (F.col("_total") - 1))
@@ -62,6 +61,18 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
         (low + (high - low) * (F.first("_h") - F.first("_r0"))).alias("value"))
 
 
+def _slice_number(df: DataFrame) -> DataFrame:
+    """``_s``: how many of the sorted ``_cuts`` lie below ``_v``, by bisection."""
+    df = df.withColumn("_s", F.lit(0))
+    step = SLICES // 2
+    while step:
+        df = df.withColumn("_s", F.when(
+            F.get("_cuts", F.col("_s") + (step - 1)) < F.col("_v"), F.col("_s") + step)
+            .otherwise(F.col("_s")))
+        step //= 2
+    return df
+
+
 def _holds(rank: str, start: str, end: str):
     return (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(end))
 

@@ -87,7 +87,7 @@ def main():
     entry = importlib.import_module("__spark_entry__")
     from tidegauge.session import get_session
     spark = get_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-                                                "spark.ui.enabled": "false",
+                                                "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
