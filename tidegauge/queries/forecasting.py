@@ -1 +1,207 @@
+"""STA: unit-root test, autoregressive fits, order search, sliding refits and forecasts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidegauge.operators import forecast as M, stats as S
+from tidegauge.operators.timeseries import log_difference
+from tidegauge.queries import query
+from tidegauge.queries.common import SQL_Z, monthly_orders, z_series
+from tidegauge.sources.tables import table
+
+KEY = ["sentiment"]
+TS = "ts_bin"
+FREQ = "10 minutes"
+AR1 = (1, 0, 0)
+ARMA = (2, 0, 1)
+
+
+def rounded(df, *cols, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+@query("sta05_adf_test")
+def adf(spark, folder):
+    out = M.adf(z_series(spark, folder), "z", KEY, TS)
+    return rounded(out, "statistic", "p_value", "crit_1", "crit_5", "crit_10")
+
+
+@query("sta05_df_test_without_lags", f"""WITH {SQL_Z},
+d AS (SELECT sentiment, z - lag(z) OVER w AS dy, lag(z) OVER w AS x FROM zs
+  WINDOW w AS (PARTITION BY sentiment ORDER BY ts_bin)),
+r AS (SELECT sentiment, regr_slope(dy, x) AS b, regr_syy(dy, x) AS syy, regr_sxx(dy, x) AS sxx,
+  regr_sxy(dy, x) AS sxy, count(dy) AS n FROM d WHERE dy IS NOT NULL GROUP BY 1)
+SELECT sentiment, n AS n_obs, round(b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) AS statistic
+FROM r""")
+def df_test(spark, folder):
+    out = M.adf(z_series(spark, folder), "z", KEY, TS, max_lag=0)
+    return rounded(out.select("sentiment", "n_obs", "statistic"), "statistic", digits=4)
+
+
+@query("sta06_stationarity")
+def stationarity(spark, folder):
+    logged = log_difference(monthly_orders(spark, folder), "y", ["priority"], "ts")
+    raw = M.adf(logged, "y", ["priority"], "ts").withColumn("series", F.lit("raw"))
+    diff = M.adf(logged.where("log_diff IS NOT NULL"), "log_diff", ["priority"], "ts").withColumn(
+        "series", F.lit("log_diff"))
+    return raw.unionByName(diff).select("priority", "series", F.round("p_value", 6).alias("p_value"),
+                                        "stationary")
+
+
+@query("sta08_pacf_two_lags", f"""WITH {SQL_Z},
+c AS (SELECT sentiment, z - avg(z) OVER (PARTITION BY sentiment) AS c, ts_bin FROM zs),
+l AS (SELECT sentiment, c, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM c
+  WINDOW w AS (PARTITION BY sentiment ORDER BY ts_bin)),
+r AS (SELECT sentiment, sum(c * c1) / sum(c * c) AS r1, sum(c * c2) / sum(c * c) AS r2 FROM l GROUP BY 1)
+SELECT sentiment, 0 AS lag, 1.0::DOUBLE AS pacf FROM r UNION ALL SELECT sentiment, 1, round(r1, 6) FROM r
+UNION ALL SELECT sentiment, 2, round((r2 - r1 * r1) / (1 - r1 * r1), 6) FROM r""")
+def pacf_two(spark, folder):
+    return rounded(S.pacf(z_series(spark, folder), "z", KEY, TS, 2), "pacf")
+
+
+SQL_AR1 = SQL_Z + """,
+lz AS (SELECT sentiment, ts_bin, z, lag(z) OVER (PARTITION BY sentiment ORDER BY ts_bin) AS x FROM zs),
+ar AS (SELECT sentiment, count(x) AS n, regr_slope(z, x) AS b, regr_intercept(z, x) AS a,
+  regr_syy(z, x) - regr_sxy(z, x) * regr_sxy(z, x) / regr_sxx(z, x) AS rss
+  FROM lz WHERE x IS NOT NULL GROUP BY 1)"""
+
+
+@query("sta10_fit_ar1", f"""WITH {SQL_AR1}
+SELECT sentiment, n, round(a, 6) AS const, round(b, 6) AS phi, round(rss / n, 6) AS sigma2 FROM ar""")
+def fit_ar1(spark, folder):
+    m = M.fit_arima(z_series(spark, folder), "z", KEY, TS, AR1)
+    return rounded(m.select("sentiment", "n", "const", F.element_at("phi", 1).alias("phi"), "sigma2"),
+                   "const", "phi", "sigma2")
+
+
+@query("sta10_fit_ar_log_diff", """WITH m AS (SELECT o_orderpriority AS priority,
+  date_trunc('month', o_orderdate)::TIMESTAMP AS ts, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2),
+l AS (SELECT priority, ts, ln(y) - lag(ln(y)) OVER (PARTITION BY priority ORDER BY ts) AS d FROM m),
+x AS (SELECT priority, d, lag(d) OVER (PARTITION BY priority ORDER BY ts) AS x FROM l WHERE d IS NOT NULL)
+SELECT priority, round(regr_intercept(d, x), 6) AS const, round(regr_slope(d, x), 6) AS phi FROM x
+WHERE x IS NOT NULL GROUP BY 1""")
+def fit_ar_log(spark, folder):
+    logged = log_difference(monthly_orders(spark, folder), "y", ["priority"], "ts").where(
+        "log_diff IS NOT NULL")
+    m = M.fit_arima(logged, "log_diff", ["priority"], "ts", AR1)
+    return rounded(m.select("priority", "const", F.element_at("phi", 1).alias("phi")), "const", "phi")
+
+
+@query("sta11_fit_arma")
+def fit_arma(spark, folder):
+    m = M.fit_arima(z_series(spark, folder), "z", KEY, TS, ARMA)
+    return m.select("sentiment", "p", "d", "q", "n", F.round("aic", 4).alias("aic"),
+                    F.round("const", 6).alias("const"),
+                    F.transform("phi", lambda v: F.round(v, 6)).alias("phi"),
+                    F.transform("theta", lambda v: F.round(v, 6)).alias("theta"))
+
+
+@query("sta11_fit_arima_differenced")
+def fit_arima(spark, folder):
+    m = M.fit_arima(monthly_orders(spark, folder), "y", ["priority"], "ts", (1, 1, 1))
+    return m.select("priority", "p", "d", "q", "n", F.round("aic", 4).alias("aic"),
+                    F.transform("phi", lambda v: F.round(v, 6)).alias("phi"),
+                    F.transform("theta", lambda v: F.round(v, 6)).alias("theta"))
+
+
+@query("sta12_fitted_values", f"""WITH {SQL_AR1}
+SELECT lz.sentiment, ts_bin, round(z, 6) AS actual, round(a + b * x, 6) AS fitted FROM lz JOIN ar
+  ON ar.sentiment = lz.sentiment WHERE x IS NOT NULL""")
+def fitted(spark, folder):
+    z = z_series(spark, folder)
+    models = M.fit_arima(z, "z", KEY, TS, AR1)
+    return rounded(M.fitted_values(z, models, "z", KEY, TS, AR1), "actual", "fitted")
+
+
+@query("sta12_fitted_values_arma")
+def fitted_arma(spark, folder):
+    z = z_series(spark, folder)
+    models = M.fit_arima(z, "z", KEY, TS, ARMA)
+    return rounded(M.fitted_values(z, models, "z", KEY, TS, ARMA), "actual", "fitted")
+
+
+@query("sta13_order_search")
+def order_search(spark, folder):
+    best = M.build_model(z_series(spark, folder), "z", KEY, TS)
+    return best.select("sentiment", "p", "d", "q", "n", F.round("aic", 4).alias("aic"))
+
+
+@query("sta14_model_metrics", f"""WITH {SQL_AR1}
+SELECT lz.sentiment, round(any_value(n * ln(rss / n) + 6), 4) AS aic,
+  round(avg(abs(z - a - b * x)), 6) AS mae
+FROM lz JOIN ar ON ar.sentiment = lz.sentiment WHERE x IS NOT NULL GROUP BY 1""")
+def metrics(spark, folder):
+    z = z_series(spark, folder)
+    models = M.fit_arima(z, "z", KEY, TS, AR1)
+    fit = M.fitted_values(z, models, "z", KEY, TS, AR1)
+    return M.model_metrics(fit, models, KEY).select(
+        "sentiment", F.round("aic", 4).alias("aic"), F.round("mae", 6).alias("mae"))
+
+
+@query("sta15_generate_forecasts", f"""WITH {SQL_Z},
+n AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) - 1 AS pos,
+  count(*) OVER (PARTITION BY sentiment) AS len FROM zs),
+w AS (SELECT unnest(generate_series(0, 199)) AS window_id),
+r AS (SELECT n.sentiment, window_id, ts_bin, z, lag(z) OVER (PARTITION BY n.sentiment, window_id
+    ORDER BY ts_bin) AS x FROM n JOIN w ON n.pos >= floor(0.73::DOUBLE * n.len) + window_id - 144
+    AND n.pos < floor(0.73::DOUBLE * n.len) + window_id),
+f AS (SELECT sentiment, window_id, regr_intercept(z, x) AS a, regr_slope(z, x) AS b,
+  max(ts_bin) AS ts_bin, max_by(z, ts_bin) AS z FROM r GROUP BY 1, 2)
+SELECT sentiment, window_id, 1 AS step, ts_bin + INTERVAL 10 MINUTE AS ts_bin,
+  round(a + b * z, 5) AS forecast FROM f""")
+def sliding(spark, folder):
+    out = M.generate_forecasts(z_series(spark, folder), "z", KEY, TS, FREQ, AR1, 144, 200, 0.73)
+    return rounded(out, "forecast", digits=5)
+
+
+@query("sta15_generate_forecasts_arma")
+def sliding_arma(spark, folder):
+    out = M.generate_forecasts(z_series(spark, folder), "z", KEY, TS, FREQ, ARMA, 144, 100, 0.73)
+    return rounded(out, "forecast")
+
+
+def _iterate_sql(series, key, value, steps, freq):
+    return f"""WITH RECURSIVE {series},
+lx AS (SELECT {key}, ts_bin, {value} AS y, lag({value}) OVER (PARTITION BY {key} ORDER BY ts_bin) AS x
+  FROM zs),
+m AS (SELECT {key}, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM lx WHERE x IS NOT NULL GROUP BY 1),
+s AS (SELECT {key}, max(ts_bin) AS last, max_by(y, ts_bin) AS y FROM lx GROUP BY 1),
+f AS (SELECT s.{key}, 1 AS step, last, a, b, a + b * y AS y FROM s JOIN m ON m.{key} = s.{key}
+  UNION ALL SELECT {key}, step + 1, last, a, b, a + b * y FROM f WHERE step < {steps})
+SELECT {key}, step, last + step * INTERVAL {freq} AS ts_bin, round(y, 6) AS forecast FROM f"""
+
+
+@query("sta16_iterated_forecast", _iterate_sql(SQL_Z, "sentiment", "z", 24, "10 MINUTE"))
+def iterated(spark, folder):
+    z = z_series(spark, folder)
+    models = M.fit_arima(z, "z", KEY, TS, AR1)
+    return rounded(M.forecast(z, models, "z", KEY, TS, FREQ, AR1, 24), "forecast")
+
+
+SQL_TYPES = """b AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts_bin, count(*) AS cnt
+  FROM events GROUP BY 1, 2),
+spine AS (SELECT event_type, unnest(generate_series(min(ts_bin), max(ts_bin), INTERVAL 1 HOUR)) AS ts_bin
+  FROM b GROUP BY 1),
+zs AS (SELECT s.event_type, s.ts_bin, coalesce(cnt, 0)::DOUBLE AS y FROM spine s
+  LEFT JOIN b ON b.event_type = s.event_type AND b.ts_bin = s.ts_bin)"""
+
+
+@query("sta17_multi_series_forecast", _iterate_sql(SQL_TYPES, "event_type", "y", 12, "1 HOUR"))
+def multi_series(spark, folder):
+    from tidegauge.operators.timeseries import resample_counts
+    ev = table(spark, folder, "events").select("ts", "event_type")
+    series = resample_counts(ev, "ts", "1 hour", ["event_type"])
+    models = M.fit_arima(series, "cnt", ["event_type"], TS, AR1)
+    out = M.forecast(series, models, "cnt", ["event_type"], TS, "1 hour", AR1, 12)
+    return rounded(out, "forecast")
+
+
+@query("sta17_per_user_forecast")
+def per_user(spark, folder):
+    from tidegauge.operators.timeseries import resample_counts
+    ev = table(spark, folder, "events").select("ts", "user_id")
+    series = resample_counts(ev, "ts", "1 hour", ["user_id"])
+    models = M.fit_arima(series, "cnt", ["user_id"], TS, (3, 0, 0))
+    out = M.forecast(series, models, "cnt", ["user_id"], TS, "1 hour", (3, 0, 0), 6)
+    return rounded(out, "forecast")

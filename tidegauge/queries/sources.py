@@ -1 +1,237 @@
+"""SRC: scans, sinks and messages. Round trips go through the shared work folder."""
 
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidegauge.operators.timeseries import date_range
+from tidegauge.queries import query
+from tidegauge.queries.common import EVENT_SENTIMENT, SQL_EVENTS, labelled_events
+from tidegauge.session import work_dir
+from tidegauge.sources import artifacts, events as EV, tables as TB
+from tidegauge.sources.tables import table
+
+
+def scratch(spark, name):
+    return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@query("src01_read_event_csv", f"""WITH {SQL_EVENTS}
+SELECT event_id AS tweet_id, airline_sentiment, ts AS tweet_created, props AS text FROM ev""")
+def read_event_csv(spark, folder):
+    cols = {"tweet_created": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+            "tweet_id": F.col("event_id"), "airline_sentiment": F.col("airline_sentiment"),
+            "text": F.col("props")}
+    out = labelled_events(spark, folder).select(
+        *[cols.get(n, F.lit(None)).cast("string" if n == "tweet_created" else t).alias(n)
+          for n, t in EV.EVENT_COLUMNS])
+    path = scratch(spark, "events-csv")
+    TB.write_csv(out, path)
+    return EV.read_events(spark, path).orderBy("tweet_created", "tweet_id").select(
+        "tweet_id", "airline_sentiment", F.col("tweet_created").cast("timestamp_ntz")
+        .alias("tweet_created"), "text")
+
+
+@query("src02_offset_range", """SELECT event_id, ts FROM events
+WHERE ts > TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 12:00:00'""")
+def offset_range(spark, folder):
+    ev = table(spark, folder, "events").select("event_id", "ts")
+    return EV.offset_range(ev, "ts", "2024-01-10 00:00:00", "2024-01-12 12:00:00")
+
+
+@query("src03_add_data", """SELECT event_id, ts FROM events
+UNION ALL SELECT event_id + 1000000000, ts + INTERVAL 30 DAY FROM events WHERE event_type = 'error'""")
+def add_data(spark, folder):
+    ev = table(spark, folder, "events")
+    new = ev.where("event_type = 'error'").select(
+        (F.col("event_id") + 1000000000).alias("event_id"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    return EV.add_data(ev.select("event_id", "ts"), new)
+
+
+@query("src04_retime", """SELECT event_id, ts + (TIMESTAMP '2025-06-01 00:00:00' -
+  (SELECT max(ts) FROM events)) AS ts FROM events""")
+def retime(spark, folder):
+    ev = table(spark, folder, "events").select("event_id", "ts")
+    return EV.retime(ev, "ts", "2025-06-01 00:00:00")
+
+
+@query("src05_high_water_mark", """SELECT floor(epoch(max(ts)))::BIGINT AS original,
+  max(ts) AS original_datetime FROM events""")
+def high_water(spark, folder):
+    path = scratch(spark, "offset")
+    EV.publish_high_water_mark(table(spark, folder, "events").select("ts"), "ts", path)
+    return spark.read.parquet(path)
+
+
+@query("src06_data_schema", """SELECT * FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'),
+  (2, 'user_id', 'bigint'), (3, 'event_type', 'string'), (4, 'value', 'double'), (5, 'props', 'string'))
+  AS t(position, column_name, dtype)""")
+def data_schema(spark, folder):
+    ev = table(spark, folder, "events")
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(ev.schema)]
+    return TB.inline_table(spark, rows, "position int, column_name string, dtype string")
+
+
+@query("src07_read_csv", "SELECT * FROM customer")
+def read_csv(spark, folder):
+    return TB.round_trip(table(spark, folder, "customer"), scratch(spark, "customer"), "csv")
+
+
+@query("src08_read_series_csv", """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS ts,
+  round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1""")
+def read_series(spark, folder):
+    monthly = table(spark, folder, "orders").groupBy(
+        F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM-dd").alias("DATE")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("TOTAL"))
+    path = scratch(spark, "series")
+    TB.write_csv(monthly, path)
+    series = TB.read_series_csv(spark, path, "DATE", "TOTAL")
+    return series.select(F.date_format("ts", "yyyy-MM-dd").alias("ts"), "y")
+
+
+@query("src09_write_csv", "SELECT doc_id, text, lang FROM documents")
+def write_csv(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return TB.round_trip(docs, scratch(spark, "documents"), "csv")
+
+
+@query("src10_json_round_trip", "SELECT event_id, event_type, value, props FROM events")
+def json_round_trip(spark, folder):
+    ev = table(spark, folder, "events").select("event_id", "event_type", "value", "props")
+    return TB.round_trip(ev, scratch(spark, "json"), "json")
+
+
+@query("src10_parquet_round_trip", "SELECT * FROM orders")
+def parquet_round_trip(spark, folder):
+    return TB.round_trip(table(spark, folder, "orders"), scratch(spark, "parquet"), "parquet")
+
+
+@query("src10_orc_round_trip", "SELECT * FROM supplier")
+def orc_round_trip(spark, folder):
+    return TB.round_trip(table(spark, folder, "supplier"), scratch(spark, "orc"), "orc")
+
+
+SQL_MARKUP = """t AS (SELECT page_id, unnest(generate_series(1, len(x))) - 1 AS table_no, unnest(x) AS t
+  FROM (SELECT page_id, regexp_extract_all(html, '(?is)<{0}\\b[^>]*>(.*?)</{0}\\s*>', 1) AS x FROM pages)),
+r AS (SELECT page_id, table_no, unnest(generate_series(1, len(x))) - 1 AS row_no, unnest(x) AS r
+  FROM (SELECT page_id, table_no, regexp_extract_all(t, '(?is)<{1}\\b[^>]*>(.*?)</{1}\\s*>', 1) AS x FROM t)),
+c AS (SELECT page_id, table_no, row_no, unnest(generate_series(1, len(x))) - 1 AS cell_no, unnest(x) AS c
+  FROM (SELECT page_id, table_no, row_no,
+    regexp_extract_all(r, '(?is)<(?:{2})\\b[^>]*>(.*?)</(?:{2})\\s*>', 1) AS x FROM r))
+SELECT page_id, table_no::INTEGER AS table_no, row_no::INTEGER AS row_no, cell_no::INTEGER AS cell_no,
+  trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS cell FROM c"""
+
+
+@query("src11_html_tables", "WITH " + SQL_MARKUP.format("table", "tr", "td|th"))
+def html_tables(spark, folder):
+    return TB.html_tables(table(spark, folder, "pages"))
+
+
+@query("src11_html_lists", "WITH " + SQL_MARKUP.format("ul", "li", "a"))
+def html_lists(spark, folder):
+    return TB.html_tables(table(spark, folder, "pages"), table_tag="ul", row_tag="li", cell_tag="a")
+
+
+@query("src12_text_corpus", """SELECT lang, count(*) AS texts, sum(length(text))::BIGINT AS chars
+FROM documents GROUP BY 1""")
+def text_corpus(spark, folder):
+    path = scratch(spark, "corpus")
+    docs = table(spark, folder, "documents").select("lang", "text")
+    # one text per line, JSON-escaped, so every partition writes whole texts
+    docs.select("lang", F.to_json(F.struct("text")).alias("value")).write.partitionBy("lang").text(path)
+    lines = spark.read.text(path).select("lang", F.from_json("value", "text string").alias("_t"))
+    return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"),
+                                     F.sum(F.length("_t.text")).alias("chars"))
+
+
+@query("src13_labelled_files", """SELECT o_orderpriority AS label, count(*) AS rows FROM orders GROUP BY 1""")
+def labelled_files(spark, folder):
+    """Files in one folder per label; each label's rows are counted from its files."""
+    path = scratch(spark, "labelled")
+    o = table(spark, folder, "orders").select(
+        F.regexp_replace("o_orderpriority", " ", "_").alias("label"), "o_orderkey")
+    o.write.partitionBy("label").csv(path)
+    found = TB.read_labelled_files(spark, path, "*.csv").select(
+        F.regexp_extract("label", "label=(.*)", 1).alias("label")).distinct()
+    rows = spark.read.csv(path).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return found.join(rows, "label").select(
+        F.regexp_replace("label", "_", " ").alias("label"), "rows")
+
+
+@query("src14_artifact", f"""WITH {SQL_EVENTS} SELECT sentiment, count(*) AS cnt FROM ev GROUP BY 1""")
+def artifact(spark, folder):
+    root = scratch(spark, "artifacts")
+    counts = labelled_events(spark, folder).groupBy("sentiment").agg(F.count(F.lit(1)).alias("cnt"))
+    artifacts.save_artifact(counts, root, "sentiment_counts")
+    return artifacts.load_artifact(spark, root, "sentiment_counts")
+
+
+@query("src15_log_metric", """SELECT 'run-1' AS run_id, 'rows' AS name, count(*)::DOUBLE AS value FROM events
+UNION ALL SELECT 'run-1', 'mean', round(avg(value), 6) FROM events""")
+def metrics(spark, folder):
+    root = scratch(spark, "metrics")
+    row = table(spark, folder, "events").agg(F.count(F.lit(1)).alias("rows"),
+                                             F.round(F.avg("value"), 6).alias("mean")).first()
+    for name in ("rows", "mean"):
+        artifacts.log_metric(spark, root, "run-1", name, row[name], "2024-02-01 00:00:00")
+    return artifacts.load_artifact(spark, root, "metrics").select("run_id", "name", "value")
+
+
+@query("src16_to_message", """SELECT event_id, '["' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '+0000",' ||
+  user_id || ',"' || event_type || '",' || CASE WHEN event_type = 'error' THEN 'null'
+  ELSE json_extract_string(props, '$.k') END || ']' AS body FROM events""")
+def to_message(spark, folder):
+    k = F.get_json_object("props", "$.k").cast("int")
+    ev = table(spark, folder, "events").withColumn("k", F.when(F.col("event_type") != "error", k))
+    return ev.select("event_id", EV.to_message("ts", ["user_id", "event_type", "k"]).alias("body"))
+
+
+@query("src17_from_message", f"""WITH {SQL_EVENTS}
+SELECT date_trunc('second', ts)::TIMESTAMP AS ts, event_id AS tweet_id, airline_sentiment, value,
+  sentiment FROM ev""")
+def from_message(spark, folder):
+    ev = labelled_events(spark, folder).withColumnRenamed("event_id", "tweet_id")
+    body = ev.select(EV.to_message("ts", ["tweet_id", "airline_sentiment", "value"]).alias("body"))
+    out = EV.from_message(body, "body", [("tweet_id", "bigint"), ("airline_sentiment", "string"),
+                                         ("value", "double")], "airline_sentiment")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("src17_from_epoch_message", f"""WITH {SQL_EVENTS}
+SELECT date_trunc('second', ts)::TIMESTAMP AS ts, event_id AS tweet_id, sentiment FROM ev""")
+def from_epoch_message(spark, folder):
+    ev = labelled_events(spark, folder)
+    body = ev.select(F.concat(
+        F.lit("["), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(","),
+        F.col("event_id").cast("string"), F.lit(',"'), "airline_sentiment", F.lit('"]')).alias("body"))
+    out = EV.from_message(body, "body", [("tweet_id", "bigint"), ("airline_sentiment", "string")],
+                          "airline_sentiment")
+    return out.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "tweet_id", "sentiment")
+
+
+@query("src18_dictionary_lookup", """SELECT column_name, non_null FROM (
+  SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS non_null FROM orders)""")
+def dictionary_lookup(spark, folder):
+    report = TB.schema_report(table(spark, folder, "orders"))
+    return TB.lookup(report, "column_name", "non_null", "o_totalprice")
+
+
+@query("src19_dummy_model_data")
+def dummy_data(spark, folder):
+    """As many synthetic rows as there are events, at one-minute steps after the newest event."""
+    ev = table(spark, folder, "events").select("ts")
+    return TB.dummy_model_data(ev, "ts", 3, seed=7)
+
+
+@query("src20_inline_table", """SELECT e.event_id, m.label FROM events e JOIN (VALUES
+  ('purchase', 'positive'), ('signup', 'positive'), ('view', 'neutral'), ('click', 'neutral'),
+  ('error', 'negative')) AS m(event_type, label) ON m.event_type = e.event_type""")
+def inline(spark, folder):
+    mapping = TB.inline_table(spark, list(EVENT_SENTIMENT.items()), "event_type string, label string")
+    # a five-row literal
+    return table(spark, folder, "events").join(F.broadcast(mapping), "event_type").select(
+        "event_id", "label")

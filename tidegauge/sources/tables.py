@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -71,25 +72,38 @@ def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.createDataFrame(rows, schema)
 
 
-def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                table_tag: str = "table", row_tag: str = "tr", cell_tag: str = "td|th") -> DataFrame:
     """Every cell of every table row: ``(id, table_no, row_no, cell_no, cell)``, zero-based.
 
     Markup is matched case-insensitively over the whole page; tags inside a cell are removed and
-    whitespace is collapsed.
+    whitespace is collapsed. Other tag names read lists the same way.
     """
-    def matches(text: Column, pattern: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
-    tables = pages.select(id_col, F.posexplode(
-        matches(F.col(html_col), r"(?is)<table\b[^>]*>(.*?)</table\s*>")).alias("table_no", "_t"))
-    rows = tables.select(id_col, "table_no", F.posexplode(
-        matches(F.col("_t"), r"(?is)<tr\b[^>]*>(.*?)</tr\s*>")).alias("row_no", "_r"))
-    cells = rows.select(id_col, "table_no", "row_no", F.posexplode(
-        matches(F.col("_r"), r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>")).alias("cell_no", "_c"))
+    def inside(text: str, tag: str) -> Column:
+        pattern = rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})\s*>"
+        return F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))
+
+    tables = pages.select(id_col, inside(html_col, table_tag).alias("table_no", "_t"))
+    rows = tables.select(id_col, "table_no", inside("_t", row_tag).alias("row_no", "_r"))
+    cells = rows.select(id_col, "table_no", "row_no", inside("_r", cell_tag).alias("cell_no", "_c"))
     text = F.regexp_replace(F.regexp_replace("_c", r"<[^>]*>", ""), r"\s+", " ")
     return cells.select(id_col, "table_no", "row_no", "cell_no", F.trim(text).alias("cell"))
 
 
+def dummy_model_data(like: DataFrame, ts: str, classes: int, seed: int) -> DataFrame:
+    """Synthetic ``(x, target, ts)``: one row per row of ``like``.
+
+    x runs evenly over [0, 8 pi], the target is a random class, time advances by one minute from
+    the newest instant of ``like``.
+    """
+    facts = like.agg(F.struct(F.max(ts).alias("last"), F.count(F.lit(1)).alias("n"))).scalar()
+    size = like.count()
+    return (like.sparkSession.range(size).withColumn("_f", facts).select(
+        (F.col("id") * F.lit(8 * math.pi) / F.greatest(F.col("_f.n") - 1, F.lit(1))).alias("x"),
+        F.floor(F.rand(seed) * classes).cast("int").alias("target"),
+        (F.col("_f.last") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts")))
+
+
 def schema_report(df: DataFrame) -> DataFrame:
     """Column name, type and non-null count, one pass over the table."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
