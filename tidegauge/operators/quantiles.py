@@ -137,3 +137,34 @@ def box_summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_n"))).alias("outliers"))
+
+
+def totals_below(counted: DataFrame, value: str, counts: list[str],
+                 keys: list[str] = ()) -> DataFrame:
+    """Add ``<count>_below``: sum of each count over the smaller values of the group.
+
+    ``counted`` holds one row per group and value. Slices keep a huge group out of a single task:
+    running sums are taken inside slices and shifted by the totals of the slices before.
+    """
+    keys = list(keys)
+    marks = [i / SLICES for i in range(1, SLICES)]
+    present = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) >= 0
+    cuts = F.percentile_approx(F.when(present, F.col(value)), marks, 20 * SLICES)
+    named = counted.withColumn("_v", F.col(value))
+    if keys:
+        cut = _null_safe_join(named, counted.groupBy(*keys).agg(cuts.alias("_cuts")), keys)
+    else:
+        cut = named.withColumn("_cuts", counted.agg(cuts).scalar())
+    sliced = _slice_number(cut).select(*keys, value, *counts, "_s")
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*keys, "_s").agg(*[F.sum(c).alias(f"_m{i}")
+                                                for i, c in enumerate(counts)])
+    offsets = offsets.select(*keys, "_s", *[
+        F.coalesce(F.sum(f"_m{i}").over(before), F.lit(0)).alias(f"_o{i}")
+        for i in range(len(counts))])
+    inside = (Window.partitionBy(*keys, "_s").orderBy(value)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = _null_safe_join(sliced, offsets, keys + ["_s"])
+    return placed.select(*keys, value, *counts, *[
+        (F.col(f"_o{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below")
+        for i, c in enumerate(counts)])
