@@ -19,12 +19,23 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def character_vocabulary(chars: DataFrame, ch: str = "ch") -> DataFrame:
+def text_chunks(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """Full chunks of ``size`` characters, ``(id, chunk, text)``; the remainder is dropped.
+
+    One linear pass over each text where it lies: no row per character and no shuffle.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{{size}}}"), F.lit(0))
+    return df.select(id_col, F.posexplode(pieces).alias("chunk", "text"))
+
+
+def character_vocabulary(docs: DataFrame, text: str, ch: str = "ch") -> DataFrame:
     """Distinct characters numbered in code-point order: ``(ch, code)``.
 
-    Its size is bounded by the character set, not by the corpus.
+    Each text is reduced to its own distinct characters before any row is made; the size of the
+    result is bounded by the character set, not by the corpus.
     """
-    seen = chars.select(ch).distinct()
+    own = F.array_distinct(F.split(F.col(text), ""))
+    seen = docs.where(F.length(text) > 0).select(F.explode(own).alias(ch)).distinct()
     listed = seen.agg(F.array_sort(F.collect_set(ch)).alias("_all"))
     return listed.select(F.posexplode("_all").alias("code", ch)).select(ch, "code")
 

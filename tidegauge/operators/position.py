@@ -71,7 +71,7 @@ def filter_data(df: DataFrame, order: list[str], head: bool = True,
 
     ``head`` with ``num_rows_head`` keeps the first n, with ``num_rows_tail`` all but the last n;
     not ``head`` keeps all after the first n, or the last n. Exactly one size must be given.
-    ``order`` holds ascending columns and ends in a unique one.
+    ``order`` holds ascending columns without nulls and ends in a unique one.
     """
     if (num_rows_head is None) == (num_rows_tail is None):
         raise ValueError("give exactly one of num_rows_head and num_rows_tail")
@@ -92,7 +92,11 @@ def filter_data(df: DataFrame, order: list[str], head: bool = True,
     # everything beyond the edge: one bounded top-k, then a plain filter on the scan
     key = F.struct(*order)
     edge = edge_rows.agg(F.max(key) if from_start else F.min(key)).scalar()
-    return df.where(key > edge) if from_start else df.where(key < edge)
+    # the first column alone is a plain comparison that the scan can use to skip row groups
+    lead = F.col(order[0])
+    if from_start:
+        return df.where((lead >= edge[order[0]]) & (key > edge))
+    return df.where((lead <= edge[order[0]]) & (key < edge))
 
 
 def reset_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:

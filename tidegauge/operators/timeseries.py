@@ -16,7 +16,13 @@ def ordered(keys: list[str], ts: str) -> WindowSpec:
 
 
 def bin_counts(df: DataFrame, ts: str, freq: str, keys: list[str]) -> DataFrame:
-    """Events per tumbling bin, labelled by bin start. Partial counts combine before the shuffle."""
+    """Events per tumbling bin, labelled by bin start. Partial counts combine before the shuffle.
+
+    Events without a time or class belong to no series. Dropping them here also gives every use of
+    a series the same plan, so that Spark scans the events once and reuses the exchange.
+    """
+    for column in (ts, *keys):
+        df = df.where(F.col(column).isNotNull())
     return (df.groupBy(*keys, F.window(ts, freq).alias("_w"))
             .agg(F.count(F.lit(1)).alias("cnt"))
             .select(*keys, F.col("_w.start").alias("ts_bin"), "cnt"))

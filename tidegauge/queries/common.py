@@ -42,7 +42,8 @@ def lag_predictions(series: DataFrame, keys=("sentiment",), ts="ts_bin", value="
 
 def monthly_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Order totals per month and priority: ``priority, ts, y``."""
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders").where(
+        "o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL")
     return (o.groupBy(F.col("o_orderpriority").alias("priority"),
                       F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts"))
             .agg(F.round(F.sum("o_totalprice"), 2).alias("y")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.functions.text import characters
+from tidegauge.functions.text import text_chunks
 from tidegauge.operators import position as P, timeseries as W
 from tidegauge.queries import query
 from tidegauge.queries.common import (
@@ -218,22 +218,46 @@ k AS (SELECT doc_id, pos // 101 AS chunk, string_agg(c, '' ORDER BY pos) AS s, c
 
 
 def chunks(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return W.chunk_sequences(characters(docs, "doc_id", "text"), ["doc_id"], "pos", "ch", 101)
+    return text_chunks(table(spark, folder, "documents"), "doc_id", "text", 101)
 
 
 @query("win17_sequence_batches", f"""WITH {SQL_CHUNK}
 SELECT doc_id, chunk, s AS text FROM k WHERE n = 101""")
 def batches(spark, folder):
-    return chunks(spark, folder).select("doc_id", "chunk", F.array_join("items", "").alias("text"))
+    return chunks(spark, folder)
+
+
+@query("win17_event_type_batches", """WITH n AS (SELECT user_id, event_type, ts, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+k AS (SELECT user_id, pos // 8 AS chunk, string_agg(event_type, ',' ORDER BY pos) AS types, count(*) AS n
+  FROM n GROUP BY 1, 2)
+SELECT user_id, chunk, types FROM k WHERE n = 8""")
+def event_batches(spark, folder):
+    ev = table(spark, folder, "events").select("user_id", "event_type", "ts", "event_id")
+    placed = P.with_position(ev, ["ts", "event_id"], "pos", keys=["user_id"])
+    out = W.chunk_sequences(placed, ["user_id"], "pos", "event_type", 8)
+    return out.select("user_id", "chunk", F.array_join("items", ",").alias("types"))
 
 
 @query("win18_input_target", f"""WITH {SQL_CHUNK}
 SELECT doc_id, chunk, left(s, 100) AS input, right(s, 100) AS target FROM k WHERE n = 101""")
 def input_target(spark, folder):
-    pairs = W.input_target(chunks(spark, folder))
-    return pairs.select("doc_id", "chunk", F.array_join("input", "").alias("input"),
-                        F.array_join("target", "").alias("target"))
+    return chunks(spark, folder).select(
+        "doc_id", "chunk", F.substring("text", 1, 100).alias("input"),
+        F.substring("text", 2, 100).alias("target"))
+
+
+@query("win18_event_input_target", """WITH n AS (SELECT user_id, event_type,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+k AS (SELECT user_id, pos // 8 AS chunk, list(event_type ORDER BY pos) AS t FROM n GROUP BY 1, 2)
+SELECT user_id, chunk, array_to_string(t[1:7], ',') AS input, array_to_string(t[2:8], ',') AS target FROM k
+WHERE len(t) = 8""")
+def event_input_target(spark, folder):
+    ev = table(spark, folder, "events").select("user_id", "event_type", "ts", "event_id")
+    placed = P.with_position(ev, ["ts", "event_id"], "pos", keys=["user_id"])
+    pairs = W.input_target(W.chunk_sequences(placed, ["user_id"], "pos", "event_type", 8))
+    return pairs.select("user_id", "chunk", F.array_join("input", ",").alias("input"),
+                        F.array_join("target", ",").alias("target"))
 
 
 @query("win19_refit_plan", f"""WITH {SQL_SERIES},

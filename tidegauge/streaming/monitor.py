@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -22,22 +24,28 @@ def stream_counts(stream: DataFrame, ts: str, freq: str, keys: list[str],
 
 def write_updates(counts: DataFrame, path: str, checkpoint: str,
                   after=None) -> DataStreamWriter:
-    """Changed bins of every micro-batch, each batch in a folder of its own.
+    """Changed bins of every micro-batch, under ``day=.../batch_id=...``.
 
-    ``after(spark, batch_id)`` runs once the batch is durable.
+    A repeated batch replaces only its own folders. ``after(spark, batch_id, newest)`` runs once
+    the batch is durable; ``newest`` is the newest bin of the batch, or None when it was empty.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(per_batch(path, batch_id))
+        dated = batch.withColumn("day", F.to_date("ts_bin")).withColumn("batch_id", F.lit(batch_id))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "day", "batch_id").parquet(path)
         if after is not None:
-            after(batch.sparkSession, batch_id)
+            after(batch.sparkSession, batch_id, batch.agg(F.max("ts_bin")).first()[0])
 
     return (counts.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint))
 
 
-def latest_counts(spark, path: str, keys: list[str]) -> DataFrame:
-    """Newest count of every bin written by ``write_updates``."""
-    return spark.read.parquet(path).groupBy(*keys, "ts_bin").agg(
+def latest_counts(spark, path: str, keys: list[str], since: date | None = None) -> DataFrame:
+    """Newest count of every bin written by ``write_updates``, from day ``since`` on."""
+    stored = spark.read.parquet(path)
+    if since is not None:
+        stored = stored.where(F.col("day") >= F.lit(since))
+    return stored.groupBy(*keys, "ts_bin").agg(
         F.max_by("cnt", "batch_id").alias("cnt"))
 
 
@@ -48,13 +56,15 @@ def read_series(spark, path: str, keys: list[str], freq: str) -> DataFrame:
 
 def trailing_stats(counts: DataFrame, counts_path: str, summary_path: str, checkpoint: str,
                    keys: list[str], only: str, freq: str) -> DataStreamWriter:
-    """Update counts, then write the 1, 10 and 60 minute sums of the rows matching ``only``."""
-    def summarise(spark, batch_id: int) -> None:
-        # an hour and a bin back from the newest bin is all the sums need; the bins outside are
-        # skipped by the filter before any gap is filled
-        recent = latest_counts(spark, counts_path, keys).where(only)
-        newest = recent.agg(F.max("ts_bin")).scalar()
-        recent = recent.where(F.col("ts_bin") >= newest - F.expr("INTERVAL 2 HOURS"))
+    """Update counts, then write the 1, 10 and 60 minute sums of the rows matching ``only``.
+
+    Only the day folders that can hold the last hour are read, however long the history.
+    """
+    def summarise(spark, batch_id: int, newest) -> None:
+        if newest is None:
+            return
+        since = (newest - timedelta(days=1)).date()
+        recent = latest_counts(spark, counts_path, keys, since).where(only)
         row = summary_row(fill_gaps(recent, keys, freq))
         row.coalesce(1).write.mode("overwrite").parquet(per_batch(summary_path, batch_id))
 
