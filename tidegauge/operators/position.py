@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegauge.operators.joins import null_safe_join
 from tidegauge.session import spool
 
 #: Up to this many rows, head/tail cut-offs use Spark's bounded top-k; beyond it, positions.
@@ -39,10 +40,8 @@ def with_position(df: DataFrame, order: list, name: str = "pos", keys: list[str]
     if not keys:
         return numbered
     first = numbered.groupBy(*keys).agg(F.min(name).alias("_first"))
-    on = [numbered[k].eqNullSafe(first[k]) for k in keys]
-    return (numbered.join(first, on)
-            .select(*[numbered[c] for c in numbered.columns if c != name],
-                    (numbered[name] - F.col("_first")).alias(name)))
+    return (null_safe_join(numbered, first, keys)
+            .withColumn(name, F.col(name) - F.col("_first")).drop("_first"))
 
 
 def slice_rows(df: DataFrame, order: list, start: int | None = None,

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegauge.operators.joins import null_safe_join
+
 SLICES = 128
 
 
@@ -24,7 +26,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
     cuts = F.percentile_approx(F.when(F.col("_n") > 0, F.col("_v")), marks, 20 * SLICES)
     facts = F.struct(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
     if keys:
-        sliced = _null_safe_join(counted, counted.groupBy(*keys).agg(facts.alias("_f")), keys)
+        sliced = null_safe_join(counted, counted.groupBy(*keys).agg(facts.alias("_f")), keys)
     else:
         sliced = counted.withColumn("_f", counted.agg(facts).scalar())
     sliced = (_slice_number(sliced.select(*keys, "_v", "_n", "_f.*"))
@@ -48,7 +50,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
         F.collect_list(F.struct("q", "_h", "_r0", "_r1")).alias("_wants"))
     within = Window.partitionBy(*keys, "_s").orderBy("_v")
     placed = (
-        _null_safe_join(sliced, picked, keys + ["_s"])
+        null_safe_join(sliced, picked, keys + ["_s"])
         .withColumn("_end", F.col("_lo") + F.sum("_n").over(within))
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .withColumn("_w", F.explode("_wants"))
@@ -77,13 +79,6 @@ def _holds(rank: str, start: str, end: str):
     return (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(end))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys],
-                         *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(right, on).drop(*[f"_right_{k}" for k in keys])
-
-
 def quantile_columns(df: DataFrame, value: str, named: dict[str, float],
                      keys: list[str] = ()) -> DataFrame:
     """Quantiles as columns: ``named`` maps an output column to its quantile."""
@@ -106,17 +101,10 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFra
         F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
         F.min("_x").alias("min"), F.max("_x").alias("max"))
     quart = quantile_columns(long, "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
-    return _left_null_safe(moments, quart, by).select(
+    return null_safe_join(moments, quart, by, "left").select(
         *by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys],
-                         *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(right, on, "left").drop(*[f"_right_{k}" for k in keys])
-
-
 def box_summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Quartiles, whiskers at the last point within 1.5 IQR of the box, and outlier count."""
     keys = list(keys)
@@ -126,7 +114,7 @@ def box_summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, x.alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
     if keys:
-        joined = _null_safe_join(counted, fenced, keys)
+        joined = null_safe_join(counted, fenced, keys)
     else:
         box = fenced.agg(F.first(F.struct("q1", "median", "q3", "_iqr"))).scalar()
         joined = counted.withColumn("_box", box).select("_v", "_n", "_box.*")
@@ -152,7 +140,7 @@ def totals_below(counted: DataFrame, value: str, counts: list[str],
     cuts = F.percentile_approx(F.when(present, F.col(value)), marks, 20 * SLICES)
     named = counted.withColumn("_v", F.col(value))
     if keys:
-        cut = _null_safe_join(named, counted.groupBy(*keys).agg(cuts.alias("_cuts")), keys)
+        cut = null_safe_join(named, counted.groupBy(*keys).agg(cuts.alias("_cuts")), keys)
     else:
         cut = named.withColumn("_cuts", counted.agg(cuts).scalar())
     sliced = _slice_number(cut).select(*keys, value, *counts, "_s")
@@ -164,7 +152,7 @@ def totals_below(counted: DataFrame, value: str, counts: list[str],
         for i in range(len(counts))])
     inside = (Window.partitionBy(*keys, "_s").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = _null_safe_join(sliced, offsets, keys + ["_s"])
+    placed = null_safe_join(sliced, offsets, keys + ["_s"])
     return placed.select(*keys, value, *counts, *[
         (F.col(f"_o{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below")
         for i, c in enumerate(counts)])

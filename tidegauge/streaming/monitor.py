@@ -31,7 +31,8 @@ def write_updates(counts: DataFrame, path: str, checkpoint: str,
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         dated = batch.withColumn("day", F.to_date("ts_bin")).withColumn("batch_id", F.lit(batch_id))
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        # rebalance: few files for small days, several tasks for a large one
+        dated.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "day", "batch_id").parquet(path)
         if after is not None:
             after(batch.sparkSession, batch_id, batch.agg(F.max("ts_bin")).first()[0])
