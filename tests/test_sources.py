@@ -56,7 +56,7 @@ def test_message_round_trip(spark):
         [(1, 'say "hi", [ok]\n\\', None, 0.5, "negative"), (2, "ü", 7, None, None)],
         "id bigint, text string, n int, x double, s string").withColumn(
         "ts", F.lit("2024-01-01 10:20:30").cast("timestamp_ntz"))
-    body = df.select(EV.to_message("ts", ["id", "text", "n", "x", "s"]).alias("body"))
+    body = df.select(EV.to_message(df, "ts", ["id", "text", "n", "x", "s"]).alias("body"))
     arrays = [json.loads(r.body) for r in body.collect()]
     assert arrays[0] == ["2024-01-01 10:20:30+0000", 1, 'say "hi", [ok]\n\\', None, 0.5, "negative"]
     got = EV.from_message(body, "body", [("id", "bigint"), ("text", "string"), ("n", "int"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.session import spread
+
 # Fixed value: a token is a run of at least two letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 def characters(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """One row per character: ``(id, pos, ch)``, positions from 0."""
-    return df.where(F.length(text) > 0).select(
+    return spread(df.select(id_col, text)).where(F.length(text) > 0).select(
         id_col, F.posexplode(F.split(text, "")).alias("pos", "ch"))
 
 
@@ -25,7 +27,8 @@ def text_chunks(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     One linear pass over each text where it lies: no row per character and no shuffle.
     """
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{{size}}}"), F.lit(0))
-    return df.select(id_col, F.posexplode(pieces).alias("chunk", "text"))
+    return df.select(id_col, F.posexplode(pieces).alias("chunk", "text")).withColumn(
+        "chunk", F.col("chunk").cast("long"))
 
 
 def character_vocabulary(docs: DataFrame, text: str, ch: str = "ch") -> DataFrame:

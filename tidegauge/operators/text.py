@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.functions.text import tokens
+from tidegauge.session import spread
 
 # Fixed value: vocabulary size of the text classifier.
 MAX_TERMS = 2000
@@ -12,7 +13,7 @@ MAX_TERMS = 2000
 
 def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(id, term, tf)``. Every occurrence is counted before rows move."""
-    terms = docs.select(id_col, F.explode(tokens(text)).alias("term"))
+    terms = spread(docs.select(id_col, text)).select(id_col, F.explode(tokens(text)).alias("term"))
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -211,8 +211,9 @@ def decode_chars(spark, folder):
 def json_array(spark, folder):
     from tidegauge.sources.events import from_message, to_message
     ev = table(spark, folder, "events")
-    body = ev.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
-        "event_id", to_message("ts", ["user_id", "event_type", "value", "k"]).alias("body"))
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    body = ev.select("event_id", to_message(ev, "ts", ["user_id", "event_type", "value", "k"])
+                     .alias("body"))
     return from_message(body, "body", [("user_id", "bigint"), ("event_type", "string"),
                                        ("value", "double"), ("k", "int")]).drop("ts")
 

@@ -67,13 +67,15 @@ def high_water(spark, folder):
     return spark.read.parquet(path)
 
 
-@query("src06_data_schema", """SELECT * FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'),
-  (2, 'user_id', 'bigint'), (3, 'event_type', 'string'), (4, 'value', 'double'), (5, 'props', 'string'))
-  AS t(position, column_name, dtype)""")
+EVENT_DTYPES = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+                ("event_type", "string"), ("value", "double"), ("props", "string")]
+
+
+@query("src06_data_schema", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null FROM events"
+    for c, t in EVENT_DTYPES))
 def data_schema(spark, folder):
-    ev = table(spark, folder, "events")
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(ev.schema)]
-    return TB.inline_table(spark, rows, "position int, column_name string, dtype string")
+    return TB.schema_report(table(spark, folder, "events"))
 
 
 @query("src07_read_csv", "SELECT * FROM customer")
@@ -115,6 +117,16 @@ def orc_round_trip(spark, folder):
     return TB.round_trip(table(spark, folder, "supplier"), scratch(spark, "orc"), "orc")
 
 
+SQL_REVENUE = """SELECT c.c_mktsegment, count(*) AS orders, round(sum(o.o_totalprice), 2) AS revenue
+FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment"""
+
+
+@query("src10_read_sql", SQL_REVENUE.format(orders="orders", customer="customer"))
+def read_sql(spark, folder):
+    return TB.read_sql(spark, SQL_REVENUE, orders=table(spark, folder, "orders"),
+                       customer=table(spark, folder, "customer"))
+
+
 SQL_MARKUP = """t AS (SELECT page_id, unnest(generate_series(1, len(x))) - 1 AS table_no, unnest(x) AS t
   FROM (SELECT page_id, regexp_extract_all(html, '(?is)<{0}\\b[^>]*>(.*?)</{0}\\s*>', 1) AS x FROM pages)),
 r AS (SELECT page_id, table_no, unnest(generate_series(1, len(x))) - 1 AS row_no, unnest(x) AS r
@@ -187,7 +199,7 @@ def metrics(spark, folder):
 def to_message(spark, folder):
     k = F.get_json_object("props", "$.k").cast("int")
     ev = table(spark, folder, "events").withColumn("k", F.when(F.col("event_type") != "error", k))
-    return ev.select("event_id", EV.to_message("ts", ["user_id", "event_type", "k"]).alias("body"))
+    return ev.select("event_id", EV.to_message(ev, "ts", ["user_id", "event_type", "k"]).alias("body"))
 
 
 @query("src17_from_message", f"""WITH {SQL_EVENTS}
@@ -195,7 +207,7 @@ SELECT date_trunc('second', ts)::TIMESTAMP AS ts, event_id AS tweet_id, airline_
   sentiment FROM ev""")
 def from_message(spark, folder):
     ev = labelled_events(spark, folder).withColumnRenamed("event_id", "tweet_id")
-    body = ev.select(EV.to_message("ts", ["tweet_id", "airline_sentiment", "value"]).alias("body"))
+    body = ev.select(EV.to_message(ev, "ts", ["tweet_id", "airline_sentiment", "value"]).alias("body"))
     out = EV.from_message(body, "body", [("tweet_id", "bigint"), ("airline_sentiment", "string"),
                                          ("value", "double")], "airline_sentiment")
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

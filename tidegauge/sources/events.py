@@ -80,19 +80,23 @@ def publish_high_water_mark(events: DataFrame, ts: str, path: str) -> None:
     high_water_mark(events, ts).write.mode("overwrite").parquet(path)
 
 
-def to_message(ts: str, columns: list[str]) -> Column:
-    """JSON array: formatted time in slot 0, then the columns in order; nulls stay null.
+def to_message(df: DataFrame, ts: str, columns: list[str]) -> Column:
+    """JSON array: formatted time in slot 0, then the columns of ``df`` in order.
 
-    Numbers keep their JSON type, so each value is rendered on its own and the parts are joined.
+    Whole numbers and flags are written as they are; other values go through ``to_json`` of a
+    one-element array, whose brackets are cut off, so typing and escaping are JSON's own.
     """
-    def item(column: Column) -> Column:
-        # to_json of a one-element array is "[value]" with JSON typing and escaping intact
-        return F.coalesce(F.regexp_extract(F.to_json(F.array(column)), r"(?s)^\[(.*)\]$", 1),
-                          F.lit("null"))
+    def item(name: str) -> Column:
+        if isinstance(df.schema[name].dataType, (T.IntegralType, T.BooleanType)):
+            text = F.col(name).cast("string")
+        else:
+            wrapped = F.to_json(F.array(F.col(name)))
+            text = F.when(F.col(name).isNotNull(), F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
+        return F.coalesce(text, F.lit("null"))
 
-    parts = [item(format_time(ts))] + [
-        F.when(F.col(c).isNull(), F.lit("null")).otherwise(item(F.col(c))) for c in columns]
-    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    quote = F.lit('"')
+    when = F.coalesce(F.concat(quote, format_time(ts), quote), F.lit("null"))
+    return F.concat(F.lit("["), F.concat_ws(",", when, *[item(c) for c in columns]), F.lit("]"))
 
 
 def from_message(messages: DataFrame, body: str, columns: list[tuple[str, str]],
@@ -104,8 +108,9 @@ def from_message(messages: DataFrame, body: str, columns: list[tuple[str, str]],
     """
     slots = messages.withColumn("_a", F.from_json(body, "array<string>"))
     zero = F.get("_a", F.lit(0))
-    when = F.coalesce(F.timestamp_seconds(zero.try_cast("bigint")),
-                      F.try_to_timestamp(zero, F.lit(TIME_FORMAT)))
+    # the pattern test spares every formatted time a failing number parse
+    epoch = F.when(zero.rlike(r"^-?\d{1,18}$"), zero).try_cast("bigint")
+    when = F.coalesce(F.timestamp_seconds(epoch), F.try_to_timestamp(zero, F.lit(TIME_FORMAT)))
     typed = [F.get("_a", F.lit(i + 1)).try_cast(t).alias(n) for i, (n, t) in enumerate(columns)]
     out = slots.select(*[c for c in messages.columns if c != body], when.alias("ts"), *typed)
     if sentiment_from:

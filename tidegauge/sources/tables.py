@@ -47,6 +47,11 @@ def round_trip(df: DataFrame, path: str, fmt: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def read_sql(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
+    """Result of a SQL statement that names its tables as ``{name}``."""
+    return spark.sql(statement, **tables)
+
+
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row per file holding its whole text."""
     return (spark.read.text(path, wholetext=True)

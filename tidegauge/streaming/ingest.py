@@ -25,7 +25,7 @@ POST_LOCATION = "Washington, DC"
 def messages(df: DataFrame, ts: str, columns: list[str]) -> DataFrame:
     """One message per row: event time as header, JSON array as body."""
     return df.select(F.col(ts).cast("timestamp").alias("header_ts"),
-                     to_message(ts, columns).alias("body"))
+                     to_message(df, ts, columns).alias("body"))
 
 
 def replay(df: DataFrame, ts: str, columns: list[str], path: str) -> None:
