@@ -18,7 +18,6 @@ from tidegauge.functions.labels import CLASS_LABELS
 from tidegauge.functions.text import TOKEN_PATTERN
 from tidegauge.operators.quantiles import totals_below
 from tidegauge.operators.text import MAX_TERMS
-from tidegauge.session import spread
 
 # Promotion thresholds on r2.
 MIN_R2, MIN_ABSOLUTE_GAIN, MIN_RELATIVE_GAIN = 0.5, 0.05, 0.05
@@ -43,7 +42,7 @@ def fit_vectoriser(docs: DataFrame, text: str, max_terms: int = MAX_TERMS) -> Pi
     """
     tokenizer = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN,
                                gaps=False, toLowercase=True)
-    tokenised = tokenizer.transform(spread(docs.select(text)))
+    tokenised = tokenizer.transform(docs.select(text))
     counter = CountVectorizer(inputCol="_tokens", outputCol="_counts",
                               vocabSize=max_terms).fit(tokenised)
     idf = IDF(inputCol="_counts", outputCol="_unused").fit(counter.transform(tokenised)).idf
@@ -61,7 +60,7 @@ def fit_text_classifier(docs: DataFrame, text: str, target: str, c: float = 1.0,
     lr = LogisticRegression(featuresCol="features", labelCol=target, family="multinomial",
                             maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False)
-    train = vectoriser.transform(spread(docs.select(text, target))).select(
+    train = vectoriser.transform(docs.select(text, target)).select(
         "features", F.col(target).cast("double"))
     # the optimiser passes over the training rows once per iteration
     train = train.persist()

@@ -40,13 +40,13 @@ w AS (SELECT c.doc_id, c.term, tf * (ln((1 + (SELECT count(*) FROM documents)) /
   FROM c JOIN v ON v.term = c.term)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def tfidf(spark, folder):
-    out = tf_idf(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = tf_idf(table(spark, folder, "documents", spread=True).select("doc_id", "text"), "doc_id", "text")
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query("ml02_tf_idf_vectors")
 def tfidf_vectors(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
     vectors = M.fit_vectoriser(docs, "text").transform(docs)
     a = vector_to_array("features")
     return vectors.select("doc_id", F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x).alias("n2"),
@@ -215,7 +215,7 @@ def encode(spark, folder):
 @query("ml14_save_load_model")
 def save_load(spark, folder):
     root = scratch(spark, "registry")
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
     save_model(M.fit_vectoriser(docs, "text"), root, "sentiment_analysis_vectorizer", "Staging")
     loaded = load_model(root, "sentiment_analysis_vectorizer", "Staging")
     return loaded.transform(docs).select(

@@ -177,19 +177,19 @@ v AS (SELECT ch, (row_number() OVER (ORDER BY encode(ch)) - 1)::INTEGER AS code
 
 
 def _chars(spark, folder):
-    return characters(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    return characters(table(spark, folder, "documents", spread=True).select("doc_id", "text"), "doc_id", "text")
 
 
 @query("fun20_character_vocabulary", f"WITH {SQL_VOCAB} SELECT ch, code FROM v")
 def vocabulary(spark, folder):
-    return character_vocabulary(table(spark, folder, "documents").select("text"), "text")
+    return character_vocabulary(table(spark, folder, "documents", spread=True).select("text"), "text")
 
 
 @query("fun21_encode_characters", f"""WITH {SQL_VOCAB}
 SELECT doc_id, count(*) AS chars, sum(code)::BIGINT AS code_sum, sum(code * (pos % 97))::BIGINT AS check_sum
 FROM c JOIN v ON v.ch = c.ch GROUP BY 1""")
 def encode_chars(spark, folder):
-    vocab = character_vocabulary(table(spark, folder, "documents").select("text"), "text")
+    vocab = character_vocabulary(table(spark, folder, "documents", spread=True).select("text"), "text")
     coded = encode_characters(_chars(spark, folder), vocab)
     return coded.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chars"), F.sum("code").alias("code_sum"),
@@ -198,7 +198,7 @@ def encode_chars(spark, folder):
 
 @query("fun21_decode_characters", "SELECT doc_id, text FROM documents WHERE length(text) > 0")
 def decode_chars(spark, folder):
-    vocab = character_vocabulary(table(spark, folder, "documents").select("text"), "text")
+    vocab = character_vocabulary(table(spark, folder, "documents", spread=True).select("text"), "text")
     coded = encode_characters(_chars(spark, folder), vocab).select("doc_id", "pos", "code")
     decoded = decode_characters(coded, vocab)
     # one group is one document, bounded by the text that was a single cell before

@@ -218,7 +218,7 @@ k AS (SELECT doc_id, pos // 101 AS chunk, string_agg(c, '' ORDER BY pos) AS s, c
 
 
 def chunks(spark, folder):
-    return text_chunks(table(spark, folder, "documents"), "doc_id", "text", 101)
+    return text_chunks(table(spark, folder, "documents", spread=True), "doc_id", "text", 101)
 
 
 @query("win17_sequence_batches", f"""WITH {SQL_CHUNK}

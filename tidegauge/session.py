@@ -59,13 +59,3 @@ def spool(df: DataFrame) -> DataFrame:
     path = os.path.join(work_dir(spark), f"spool-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a *scan* at least one partition per core.
-
-    A table in one small file would otherwise be processed by one core. At cluster scale a scan has
-    far more partitions than there are cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
