@@ -233,6 +233,17 @@ def test_order_search_finds_the_lag(spark):
         M.build_model(series(spark, y), "y", ["k"], "ts", rebuild=False)
 
 
+def test_order_search_differences_a_random_walk(spark):
+    rng = np.random.default_rng(21)
+    noise, walk = rng.normal(size=400), np.cumsum(rng.normal(size=400))
+    both = series(spark, noise, "noise").unionByName(series(spark, walk, "walk"))
+    got = {r.k: r for r in M.build_model(both, "y", ["k"], "ts", 1, 1).collect()}
+    assert (got["noise"].d, got["walk"].d) == (0, 1)
+    level = M.build_model(series(spark, walk, "walk"), "y", ["k"], "ts", 1, 1, d=1).first()
+    assert (got["walk"].p, got["walk"].q, got["walk"].n) == (level.p, level.q, level.n)
+    assert got["walk"].aic == pytest.approx(level.aic)
+
+
 def test_unit_root_decisions(spark):
     rng = np.random.default_rng(11)
     noise, walk = rng.normal(size=600), np.cumsum(rng.normal(size=600))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidegauge.operators.timeseries import ordered, series_position
+from tidegauge.session import spool
 
 MODEL = ("p int, q int, n bigint, aic double, sigma2 double, const double, "
          "phi array<double>, theta array<double>")
@@ -198,19 +199,23 @@ def build_model(series: DataFrame, value: str, keys: list[str], ts: str, max_p:
         return stored
     combos = [(p, q) for p in range(max_p + 1) for q in range(max_q + 1)]
 
-    def best(models: DataFrame) -> DataFrame:
+    def best(models: DataFrame, by: list[str]) -> DataFrame:
         rank = F.struct("aic", F.col("p") + F.col("q"), "p")
-        row = F.struct(*[c for c in models.columns if c not in keys])
-        return models.groupBy(*keys).agg(F.min_by(row, rank).alias("_m")).select(*keys, "_m.*")
+        row = F.struct(*[c for c in models.columns if c not in by])
+        return models.groupBy(*by).agg(F.min_by(row, rank).alias("_m")).select(*by, "_m.*")
 
     if d is not None:
-        return best(fit_grid(series, value, keys, ts, d, combos))
-    flags = adf(series, value, keys, ts).select(*keys, "stationary")
-    level = best(fit_grid(series, value, keys, ts, 0, combos)).join(
-        flags.where("stationary"), keys, "left_semi")
-    moving = best(fit_grid(series, value, keys, ts, 1, combos)).join(
-        flags.where("NOT stationary"), keys, "left_semi")
-    return level.unionByName(moving)
+        return best(fit_grid(series, value, keys, ts, d, combos), keys)
+    # the flag follows from the keys, so it can ride along as one of them: one fit, no second join
+    by = keys + ["stationary"]
+    flagged = series.select(*keys, ts, F.col(value).cast("double").alias("_y")).join(
+        adf(series, value, keys, ts).select(*by), keys)
+    change = F.col("_y") - F.lag("_y").over(ordered(by, ts))
+    chosen = flagged.withColumn("_x", F.when(F.col("stationary"), F.col("_y")).otherwise(change))
+    # written once: the fit reads its series twice and must not repeat the test each time
+    ready = spool(chosen.where("_x IS NOT NULL").select(*by, ts, "_x"))
+    models = best(fit_grid(ready, "_x", by, ts, 0, combos), by)
+    return models.withColumn("d", F.when(F.col("stationary"), 0).otherwise(1)).drop("stationary")
 
 
 def fitted_values(series: DataFrame, models: DataFrame, value: str, keys: list[str], ts: str,

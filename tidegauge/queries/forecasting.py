@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import forecast as M, stats as S
-from tidegauge.operators.timeseries import log_difference
+from tidegauge.operators.timeseries import log_difference, resample_counts
 from tidegauge.queries import query
-from tidegauge.queries.common import SQL_Z, monthly_orders, z_series
+from tidegauge.queries.common import SQL_MONTHLY, SQL_Z, monthly_orders, z_series
 from tidegauge.sources.tables import table
 
 KEY = ["sentiment"]
@@ -16,6 +16,23 @@ FREQ = "10 minutes"
 AR1 = (1, 0, 0)
 ARMA = (2, 0, 1)
 
+SQL_TYPES = """b AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts_bin, count(*) AS cnt
+  FROM events GROUP BY 1, 2),
+spine AS (SELECT event_type, unnest(generate_series(min(ts_bin), max(ts_bin), INTERVAL 1 HOUR)) AS ts_bin
+  FROM b GROUP BY 1),
+zs AS (SELECT s.event_type, s.ts_bin, coalesce(cnt, 0)::DOUBLE AS y FROM spine s
+  LEFT JOIN b ON b.event_type = s.event_type AND b.ts_bin = s.ts_bin)"""
+SQL_TYPES_HOURLY = SQL_TYPES + ", s AS (SELECT event_type AS k, ts_bin AS ts, y FROM zs)"
+SQL_USERS = SQL_TYPES.replace("event_type", "user_id")
+
+
+def hourly(spark, folder, key):
+    return resample_counts(table(spark, folder, "events").select("ts", key), "ts", "1 hour", [key])
+
+
+def hourly_types(spark, folder):
+    return hourly(spark, folder, "event_type")
+
 
 def rounded(df, *cols, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in cols})
@@ -88,6 +105,69 @@ def fit_ar_log(spark, folder):
     return rounded(m.select("priority", "const", F.element_at("phi", 1).alias("phi")), "const", "phi")
 
 
+def _two_regressors(source, group, y="y", a="a", b="b"):
+    """Least squares of y on a and b with constant, written out in co-moments."""
+    return f"""SELECT {group}, n, my - b1 * ma - b2 * mb AS c, b1, b2, n * (vy - b1 * cay - b2 * cby) AS rss FROM (
+  SELECT *, (bb * cay - ab * cby) / (aa * bb - ab * ab) AS b1,
+    (aa * cby - ab * cay) / (aa * bb - ab * ab) AS b2 FROM (
+    SELECT {group}, count(*) AS n, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb, var_pop({y}) AS vy,
+      var_pop({a}) AS aa, var_pop({b}) AS bb, covar_pop({a}, {b}) AS ab, covar_pop({a}, {y}) AS cay,
+      covar_pop({b}, {y}) AS cby FROM {source} GROUP BY {group}))"""
+
+
+SQL_LAGS = SQL_Z + """,
+l2 AS (SELECT * FROM (SELECT sentiment, ts_bin, z AS y, lag(z, 1) OVER w AS a, lag(z, 2) OVER w AS b
+  FROM zs WINDOW w AS (PARTITION BY sentiment ORDER BY ts_bin)) WHERE b IS NOT NULL)"""
+
+
+@query("sta10_fit_ar2", f"""WITH {SQL_LAGS}, m AS ({_two_regressors("l2", "sentiment")})
+SELECT sentiment, n, round(c, 6) AS const, round(b1, 6) AS phi_1, round(b2, 6) AS phi_2,
+  round(n * ln(rss / n) + 8, 4) AS aic FROM m""")
+def fit_ar2(spark, folder):
+    m = M.fit_arima(z_series(spark, folder), "z", KEY, TS, (2, 0, 0))
+    return m.select("sentiment", "n", F.round("const", 6).alias("const"),
+                    F.round(F.element_at("phi", 1), 6).alias("phi_1"),
+                    F.round(F.element_at("phi", 2), 6).alias("phi_2"), F.round("aic", 4).alias("aic"))
+
+
+SQL_INNOVATIONS = """x AS (SELECT * FROM (SELECT k, ts, y, lag(y) OVER (PARTITION BY k ORDER BY ts) AS x FROM s)
+  WHERE x IS NOT NULL AND y IS NOT NULL),
+far AS (SELECT k, regr_intercept(y, x) AS c, regr_slope(y, x) AS f FROM x GROUP BY 1),
+e AS (SELECT x.k, ts, y, y - c - f * x AS e FROM x JOIN far ON far.k = x.k),
+r AS (SELECT * FROM (SELECT k, ts, y, lag(y) OVER w AS a, lag(e) OVER w AS b FROM e
+  WINDOW w AS (PARTITION BY k ORDER BY ts)) WHERE b IS NOT NULL)"""
+
+
+@query("sta11_fit_ma1", f"""WITH {SQL_Z}, s AS (SELECT sentiment AS k, ts_bin AS ts, z AS y FROM zs),
+{SQL_INNOVATIONS}
+SELECT k AS sentiment, count(*) AS n, round(regr_intercept(y, b), 6) AS const,
+  round(regr_slope(y, b), 6) AS theta FROM r GROUP BY 1""")
+def fit_ma1(spark, folder):
+    m = M.fit_arima(z_series(spark, folder), "z", KEY, TS, (0, 0, 1), long_order=1)
+    return m.select("sentiment", "n", F.round("const", 6).alias("const"),
+                    F.round(F.element_at("theta", 1), 6).alias("theta"))
+
+
+@query("sta11_fit_arima_011", f"""WITH {SQL_MONTHLY}, s AS (SELECT priority AS k, ts,
+  y - lag(y) OVER (PARTITION BY priority ORDER BY ts) AS y FROM monthly),
+q AS (SELECT * FROM s WHERE y IS NOT NULL), {SQL_INNOVATIONS.replace("FROM s)", "FROM q)")}
+SELECT k AS priority, count(*) AS n, round(regr_slope(y, b), 6) AS theta FROM r GROUP BY 1""")
+def fit_arima_011(spark, folder):
+    m = M.fit_arima(monthly_orders(spark, folder), "y", ["priority"], "ts", (0, 1, 1), long_order=1)
+    return m.select("priority", "n", F.round(F.element_at("theta", 1), 6).alias("theta"))
+
+
+@query("sta11_fit_arma11", f"""WITH {SQL_TYPES_HOURLY}, {SQL_INNOVATIONS},
+m AS ({_two_regressors("r", "k")})
+SELECT k AS event_type, n, round(c, 4) AS const, round(b1, 4) AS phi, round(b2, 4) AS theta FROM m""")
+def fit_arma11(spark, folder):
+    series = hourly_types(spark, folder)
+    m = M.fit_arima(series, "cnt", ["event_type"], TS, (1, 0, 1), long_order=1)
+    return m.select("event_type", "n", F.round("const", 4).alias("const"),
+                    F.round(F.element_at("phi", 1), 4).alias("phi"),
+                    F.round(F.element_at("theta", 1), 4).alias("theta"))
+
+
 @query("sta11_fit_arma")
 def fit_arma(spark, folder):
     m = M.fit_arima(z_series(spark, folder), "z", KEY, TS, ARMA)
@@ -127,6 +207,16 @@ def order_search(spark, folder):
     return best.select("sentiment", "p", "d", "q", "n", F.round("aic", 4).alias("aic"))
 
 
+@query("sta13_order_search_ar", f"""WITH {SQL_AR1},
+c AS (SELECT lz.sentiment, any_value(n * ln(var_pop_z) + 4) AS aic0, any_value(n * ln(rss / n) + 6) AS aic1
+  FROM lz JOIN ar ON ar.sentiment = lz.sentiment JOIN (SELECT sentiment, var_pop(z) AS var_pop_z FROM lz
+    WHERE x IS NOT NULL GROUP BY 1) v ON v.sentiment = lz.sentiment GROUP BY 1)
+SELECT sentiment, CASE WHEN aic0 <= aic1 THEN 0 ELSE 1 END AS p, round(least(aic0, aic1), 4) AS aic FROM c""")
+def order_search_ar(spark, folder):
+    best = M.build_model(z_series(spark, folder), "z", KEY, TS, max_p=1, max_q=0, d=0)
+    return best.select("sentiment", "p", F.round("aic", 4).alias("aic"))
+
+
 @query("sta14_model_metrics", f"""WITH {SQL_AR1}
 SELECT lz.sentiment, round(any_value(n * ln(rss / n) + 6), 4) AS aic,
   round(avg(abs(z - a - b * x)), 6) AS mae
@@ -155,6 +245,26 @@ def sliding(spark, folder):
     return rounded(out, "forecast", digits=5)
 
 
+@query("sta15_generate_forecasts_ar2", f"""WITH {SQL_Z},
+n AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) - 1 AS pos,
+  count(*) OVER (PARTITION BY sentiment) AS len FROM zs),
+w AS (SELECT unnest(generate_series(0, 49)) AS window_id),
+r AS (SELECT sentiment, window_id, ts_bin, z AS y, lag(z, 1) OVER o AS a, lag(z, 2) OVER o AS b
+  FROM n JOIN w ON n.pos >= floor(0.73::DOUBLE * n.len) + 2 * window_id - 144
+    AND n.pos < floor(0.73::DOUBLE * n.len) + 2 * window_id
+  WINDOW o AS (PARTITION BY sentiment, window_id ORDER BY ts_bin)),
+q AS (SELECT * FROM r WHERE b IS NOT NULL), m AS ({_two_regressors("q", "sentiment, window_id")}),
+l AS (SELECT sentiment, window_id, max(ts_bin) AS last, max_by(y, ts_bin) AS y, max_by(a, ts_bin) AS a
+  FROM r GROUP BY 1, 2),
+f AS (SELECT l.sentiment, l.window_id, last, c, b1, b2, y, c + b1 * y + b2 * a AS f1 FROM l
+  JOIN m ON m.sentiment = l.sentiment AND m.window_id = l.window_id)
+SELECT sentiment, window_id, 1 AS step, last + INTERVAL 10 MINUTE AS ts_bin, round(f1, 5) AS forecast FROM f
+UNION ALL SELECT sentiment, window_id, 2, last + INTERVAL 20 MINUTE, round(c + b1 * f1 + b2 * y, 5) FROM f""")
+def sliding_ar2(spark, folder):
+    out = M.generate_forecasts(z_series(spark, folder), "z", KEY, TS, FREQ, (2, 0, 0), 144, 100, 0.73)
+    return rounded(out, "forecast", digits=5)
+
+
 @query("sta15_generate_forecasts_arma")
 def sliding_arma(spark, folder):
     out = M.generate_forecasts(z_series(spark, folder), "z", KEY, TS, FREQ, ARMA, 144, 100, 0.73)
@@ -179,29 +289,21 @@ def iterated(spark, folder):
     return rounded(M.forecast(z, models, "z", KEY, TS, FREQ, AR1, 24), "forecast")
 
 
-SQL_TYPES = """b AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts_bin, count(*) AS cnt
-  FROM events GROUP BY 1, 2),
-spine AS (SELECT event_type, unnest(generate_series(min(ts_bin), max(ts_bin), INTERVAL 1 HOUR)) AS ts_bin
-  FROM b GROUP BY 1),
-zs AS (SELECT s.event_type, s.ts_bin, coalesce(cnt, 0)::DOUBLE AS y FROM spine s
-  LEFT JOIN b ON b.event_type = s.event_type AND b.ts_bin = s.ts_bin)"""
+def _iterated(series, key, order, steps):
+    models = M.fit_arima(series, "cnt", [key], TS, order)
+    return rounded(M.forecast(series, models, "cnt", [key], TS, "1 hour", order, steps), "forecast")
 
 
 @query("sta17_multi_series_forecast", _iterate_sql(SQL_TYPES, "event_type", "y", 12, "1 HOUR"))
 def multi_series(spark, folder):
-    from tidegauge.operators.timeseries import resample_counts
-    ev = table(spark, folder, "events").select("ts", "event_type")
-    series = resample_counts(ev, "ts", "1 hour", ["event_type"])
-    models = M.fit_arima(series, "cnt", ["event_type"], TS, AR1)
-    out = M.forecast(series, models, "cnt", ["event_type"], TS, "1 hour", AR1, 12)
-    return rounded(out, "forecast")
+    return _iterated(hourly_types(spark, folder), "event_type", AR1, 12)
 
 
-@query("sta17_per_user_forecast")
+@query("sta17_per_user_forecast", _iterate_sql(SQL_USERS, "user_id", "y", 6, "1 HOUR"))
 def per_user(spark, folder):
-    from tidegauge.operators.timeseries import resample_counts
-    ev = table(spark, folder, "events").select("ts", "user_id")
-    series = resample_counts(ev, "ts", "1 hour", ["user_id"])
-    models = M.fit_arima(series, "cnt", ["user_id"], TS, (3, 0, 0))
-    out = M.forecast(series, models, "cnt", ["user_id"], TS, "1 hour", (3, 0, 0), 6)
-    return rounded(out, "forecast")
+    return _iterated(hourly(spark, folder, "user_id"), "user_id", AR1, 6)
+
+
+@query("sta17_per_user_forecast_ar3")
+def per_user_ar3(spark, folder):
+    return _iterated(hourly(spark, folder, "user_id"), "user_id", (3, 0, 0), 6)

@@ -60,7 +60,7 @@ def custom_order(spark, folder):
     return category_order(counts, "o_orderpriority", PRIORITIES)
 
 
-@query("ord07_seeded_shuffle")
+@query("ord07_seeded_shuffle", "SELECT doc_id, lang FROM documents")
 def shuffle(spark, folder):
     return shuffle_rows(table(spark, folder, "documents").select("doc_id", "lang"), ["doc_id"], 42)
 

@@ -239,6 +239,14 @@ def dummy_data(spark, folder):
     return TB.dummy_model_data(ev, "ts", 3, seed=7)
 
 
+@query("src19_dummy_model_times", """WITH n AS (SELECT count(*) AS n, max(ts) AS last FROM events)
+SELECT round(i * 8 * pi() / greatest(n - 1, 1), 6) AS x, last + i * INTERVAL 1 MINUTE AS ts
+FROM n, (SELECT unnest(generate_series(0, (SELECT count(*) FROM events) - 1)) AS i)""")
+def dummy_times(spark, folder):
+    ev = table(spark, folder, "events").select("ts")
+    return TB.dummy_model_data(ev, "ts", 3, seed=7).select(F.round("x", 6).alias("x"), "ts")
+
+
 @query("src20_inline_table", """SELECT e.event_id, m.label FROM events e JOIN (VALUES
   ('purchase', 'positive'), ('signup', 'positive'), ('view', 'neutral'), ('click', 'neutral'),
   ('error', 'negative')) AS m(event_type, label) ON m.event_type = e.event_type""")
