@@ -170,7 +170,7 @@ def detect(spark, folder):
     return rounded(flags(spark, folder), "fittedvalues", "median_values", "threshold", "actualvalues")
 
 
-@query("sta21_detect_anomalies_positional", f"""WITH {SQL_PRED},
+@query("sta21_detect_anomalies_positional", f"""WITH {SQL_PRED.replace("OVER (PARTITION BY sentiment ORDER BY ts_bin) AS p", "OVER (PARTITION BY sentiment ORDER BY ts_bin) / 2 AS p")},
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) AS k
   FROM pred) WHERE k <= {TRAIN}),
 a AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) AS k FROM zs),
@@ -186,8 +186,11 @@ SELECT r.sentiment, ts_bin, round(p, 6) AS fittedvalues, round(med, 6) AS median
     THEN 1 ELSE 0 END AS anomaly, round(coalesce(z, 0.0), 6) AS actualvalues
 FROM r JOIN e ON e.sentiment = r.sentiment""")
 def detect_positional(spark, folder):
+    """Half the previous bin as prediction: plain persistence paired by position is the series
+    paired with itself, whose error is 0 and whose flags hang on the last float digit."""
     z = z_series(spark, folder)
-    out = S.detect_anomalies(lag_predictions(z), z, KEY, TS, TRAIN, "first", positional=True)
+    damped = lag_predictions(z).withColumn("forecast", F.col("forecast") / 2)
+    out = S.detect_anomalies(damped, z, KEY, TS, TRAIN, "first", positional=True)
     return rounded(out, "fittedvalues", "median_values", "threshold", "actualvalues")
 
 
