@@ -136,6 +136,7 @@ def totals_below(counted: DataFrame, value: str, counts: list[str],
     """
     keys = list(keys)
     marks = [i / SLICES for i in range(1, SLICES)]
+    # always true, but naming every count keeps all uses of ``counted`` alike: one exchange
     present = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) >= 0
     cuts = F.percentile_approx(F.when(present, F.col(value)), marks, 20 * SLICES)
     named = counted.withColumn("_v", F.col(value))
@@ -145,8 +146,8 @@ def totals_below(counted: DataFrame, value: str, counts: list[str],
         cut = named.withColumn("_cuts", counted.agg(cuts).scalar())
     sliced = _slice_number(cut).select(*keys, value, *counts, "_s")
     before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.groupBy(*keys, "_s").agg(*[F.sum(c).alias(f"_m{i}")
-                                                for i, c in enumerate(counts)])
+    offsets = sliced.groupBy(*keys, "_s").agg(*[
+        F.sum(F.when(present, F.col(c))).alias(f"_m{i}") for i, c in enumerate(counts)])
     offsets = offsets.select(*keys, "_s", *[
         F.coalesce(F.sum(f"_m{i}").over(before), F.lit(0)).alias(f"_o{i}")
         for i in range(len(counts))])

@@ -11,8 +11,12 @@ MAX_TERMS = 2000
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, term, tf)``. Every occurrence is counted before rows move."""
-    terms = docs.select(id_col, F.explode(tokens(text)).alias("term"))
+    """``(id, term, tf)``. Every occurrence is counted before rows move.
+
+    The null test never drops a term; it gives the vocabulary and the weighting the same plan, so
+    that texts are tokenised once.
+    """
+    terms = docs.select(id_col, F.explode(tokens(text)).alias("term")).where("term IS NOT NULL")
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
