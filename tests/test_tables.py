@@ -263,3 +263,11 @@ def test_chunks_drop_the_remainder(spark):
     got = timeseries.input_target(timeseries.chunk_sequences(df, ["k"], "pos", "item", 4))
     assert [(r.chunk, r.input, r.target) for r in got.orderBy("chunk").collect()] == [
         (0, ["0", "1", "2"], ["1", "2", "3"]), (1, ["4", "5", "6"], ["5", "6", "7"])]
+
+
+def test_sample_is_reproducible_across_layouts(spark):
+    df = spark.range(5000)
+    a = aggregate.sample_rows(df, ["id"], 0.1, 3).orderBy("id").collect()
+    b = aggregate.sample_rows(df.repartition(3), ["id"], 0.1, 3).orderBy("id").collect()
+    assert a == b and 400 < len(a) < 600
+    assert aggregate.sample_rows(df, ["id"], 1.0).count() == 5000

@@ -129,9 +129,16 @@ def time_bounds(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
+def sample_rows(df: DataFrame, ids: list[str], share: float, seed: int = 0) -> DataFrame:
+    """Reproducible share of the rows, chosen by a seeded id hash.
+
+    ``DataFrame.sample`` draws per partition, so its rows change with the file layout.
+    """
+    limit = int(share * 1_000_000)
+    return df.where(F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) < limit)
+
+
 def sample_points(df: DataFrame, x: str, y: str, ids: list[str], share: float,
                   seed: int = 0) -> DataFrame:
-    """Reproducible share of the (x, y) points of a scatter plot, chosen by a seeded id hash."""
-    limit = int(share * 1_000_000)
-    keep = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) < limit
-    return df.where(keep).select(*ids, x, y)
+    """Reproducible share of the (x, y) points of a scatter plot."""
+    return sample_rows(df, ids, share, seed).select(*ids, x, y)

@@ -288,7 +288,8 @@ def bounds(spark, folder):
 
 @query("agg29_random_sample")
 def sample(spark, folder):
-    return table(spark, folder, "orders").select("o_orderkey", "o_totalprice").sample(0.1, seed=42)
+    o = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return A.sample_rows(o, ["o_orderkey"], 0.1, seed=42)
 
 
 @query("agg30_scatter_points")
