@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import byte_bpe, simhash
+from tidegauge.llm import byte_bpe, language, mixing, pii, rules, simhash
 from tidegauge.llm.common import read
 from tidegauge.session import configure
 
@@ -21,6 +21,14 @@ def query(fn):
     return fn
 
 
+@query
+def op3_risk_rules(spark, sf_dir):
+    found = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept",
+                        F.concat_ws(",", "rejected_by").alias("rejected_by"))
+
+
 @query
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -28,6 +36,47 @@ def op4_simhash(spark, sf_dir):
                         F.col("component").alias("component_id"))
 
 
+@query
+def op5_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_pii(spark, sf_dir):
+    return pii.span_digests(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_mixing(spark, sf_dir):
+    taken = mixing.mix(read(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+SQL["op9_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    length(text) AS chars,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+k AS (SELECT doc_id, source, size, -ln(u) / coalesce(1.0::DOUBLE / (1.0 + abs(chars::DOUBLE / nullif(size, 0) - 6.0)
+    / 6.0), 1.0::DOUBLE) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS w,
+    source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM l WHERE level * w <= cap
+    ORDER BY cap / w, source NULLS LAST LIMIT 1)) AS target FROM l),
+e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM t),
+r AS (SELECT *, target - epochs * source_size AS rest FROM e)
+SELECT k.doc_id, k.size::BIGINT AS size, r.source_size, r.target,
+  (k.size * (r.epochs + CASE WHEN r.rest > 0 AND sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id
+    ROWS UNBOUNDED PRECEDING) - k.size / 2.0::DOUBLE <= r.rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source"""
