@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import byte_bpe, language, mixing, pii, rules, simhash
+from tidegauge.llm import byte_bpe, fingerprint, language, mixing, pii, rules, simhash
 from tidegauge.llm.common import read
 from tidegauge.session import configure
 
@@ -21,6 +21,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_fingerprints(spark, sf_dir):
+    found = fingerprint.compare(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        fingerprint.as_string(F.col("choice")).alias("fingerprint"),
+                        fingerprint.as_string(F.col("edited_choice")).alias("edited_fingerprint"),
+                        "near_edited", "near_next")
+
+
 @query
 def op3_risk_rules(spark, sf_dir):
     found = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -128,7 +128,7 @@ def fit_cutoffs(rows: DataFrame, stratum: str = "lang", risk: float = RISK, delt
     names = list(signals())
     n_strata = max(1, rows.agg(F.count_distinct(F.coalesce(stratum, F.lit("")))).first()[0])
     grid = F.lit(list(GRID))
-    below = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(grid, lambda g, s=s: g < s)).alias("above"))
+    below = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(grid, s.__gt__)).alias("above"))
              for r, s in signals().items()]
     counts = (rows.select(F.col(stratum).alias("stratum"), "quality", F.inline(F.array(*below)))
               .groupBy("stratum", "rule", "above", "quality").agg(F.count(F.lit(1)).alias("n")))
