@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import byte_bpe, fingerprint, language, mixing, pii, rules, simhash
+from tidegauge.llm import byte_bpe, chat, fingerprint, language, mixing, pii, rules, simhash, suffixes
 from tidegauge.llm.common import read
 from tidegauge.session import configure
 
@@ -62,6 +62,32 @@ def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_chat(spark, sf_dir):
+    told = spark.sql(r"""SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
+        FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(told)
+    found = chat.read_back(chat.format_trees(chat.from_turns(rows)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                        F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+                        F.sha2("loss_text", 256).alias("loss_sha256"),
+                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+SQL["op8_chat"] = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + 14 + length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')))::BIGINT
+    AS formatted_chars
+FROM r GROUP BY conv_id"""
+
+
 @query
 def op9_mixing(spark, sf_dir):
     taken = mixing.mix(read(spark, sf_dir, "documents"))
@@ -89,3 +115,8 @@ SELECT k.doc_id, k.size::BIGINT AS size, r.source_size, r.target,
   (k.size * (r.epochs + CASE WHEN r.rest > 0 AND sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id
     ROWS UNBOUNDED PRECEDING) - k.size / 2.0::DOUBLE <= r.rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source"""
+
+
+@query
+def op10_suffixes(spark, sf_dir):
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
