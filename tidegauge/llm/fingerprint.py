@@ -54,11 +54,16 @@ def chosen(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         step *= 2
     values = F.transform(values, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), POSITION_BITS)
                          .bitwiseOR(F.lit(LAST) - i))
+    return F.array_distinct(_let(values, lambda a: F.when(
+        F.size(a) < window, F.array_compact(F.array(F.array_min(a)))).otherwise(_minima(a, window))))
+
+
+def _minima(values: Column, window: int) -> Column:
     step = 1
     while step < window:
         values = _zip(values, step, lambda a, b: F.least(a, b))
         step *= 2
-    return F.array_distinct(values)
+    return values
 
 
 def hashes(choice: Column) -> Column:

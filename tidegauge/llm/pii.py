@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm.common import id_text, map_rows
@@ -168,10 +169,8 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def mask_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; a null text stays null, ``n_chars`` (where
     it exists) becomes the new length, all other columns and the order of columns stay."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def masked(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else mask(t))
 
     out = docs.withColumn("text", masked("text"))
