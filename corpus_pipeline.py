@@ -1,23 +1,52 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids, stage by stage.
+
+Each stage works on all rows that its predecessor kept, and hands on the columns of documents; the
+last one returns token ids. The stages are the operators of the library with their own parameters;
+near-duplicates are found on shingles of five words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import byte_bpe
+from tidegauge.llm import byte_bpe, cotraining, mixing, pii, simhash
 from tidegauge.llm.common import read
 from tidegauge.session import configure, spool
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return cotraining.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced."""
+    return pii.mask_texts(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id`` and token ids of every row."""
     return byte_bpe.encode(docs)
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [("quality_classifier", classify), ("simhash", deduplicate), ("pii", redact), ("mixing", mix),
+          ("byte_bpe", encode)]
+#: The stages are no SQL; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written before the next one reads it."""
     configure(spark)
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import byte_bpe, chat, fingerprint, language, mixing, pii, rules, simhash, suffixes
+from tidegauge.llm import byte_bpe, chat, cotraining, fingerprint, language, mixing, pii, rules, simhash, suffixes
 from tidegauge.llm.common import read
 from tidegauge.session import configure
 
@@ -30,6 +30,12 @@ def op1_fingerprints(spark, sf_dir):
                         "near_edited", "near_next")
 
 
+@query
+def op2_cotraining(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, read(spark, sf_dir, "labels")))
+
+
 @query
 def op3_risk_rules(spark, sf_dir):
     found = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

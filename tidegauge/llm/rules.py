@@ -4,8 +4,8 @@ Each rule compares one signal with a cutoff of a fixed grid. A cutoff is allowed
 the exact (Clopper-Pearson) upper bound of the share of good documents that it rejects is at most
 ``risk`` divided by the number of rules, at a confidence corrected for all rules and strata
 (Bonferroni); along the grid, from the gentlest cutoff on, testing stops at the first failure
-(fixed sequence), which needs no further correction. Of the allowed cutoffs the gentlest of those
-that reject most bad documents is taken. With probability ``1 - delta``, then, all rules together
+(fixed sequence), which needs no further correction. Of the allowed cutoffs the one with most bad
+documents rejected, less a price for each good one, is taken, the gentlest of equal ones. With probability ``1 - delta``, then, all rules together
 reject at most ``risk`` of the good documents of every stratum. A stratum with too few labels to
 prove anything keeps its documents.
 """
@@ -24,6 +24,8 @@ from tidegauge.session import spool
 #: Largest share of good documents of a stratum that the rules may reject, and the chance to fail.
 RISK = 0.05
 DELTA = 0.05
+#: Of the allowed cutoffs the best by bad rows rejected, less so many for each good one.
+GOOD_COST = 10
 #: Cutoffs of every rule, gentlest last.
 GRID = tuple(i / 50 for i in range(50))
 #: Fixed values of the base rule.
@@ -112,14 +114,15 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> float:
     """Cutoff of ``GRID`` from counts of good and bad rows by number of grid values below their
-    signal; infinite where none is allowed or none rejects a bad row."""
+    signal; infinite where none is allowed or none is worth its good rows."""
     n = int(good.sum())
     best, most = math.inf, 0
     for g in range(len(GRID) - 1, -1, -1):
         if binomial_tail(int(good[g + 1:].sum()), n, risk) > delta:
             break
-        if bad[g + 1:].sum() > most:
-            best, most = GRID[g], int(bad[g + 1:].sum())
+        gain = int(bad[g + 1:].sum()) - GOOD_COST * int(good[g + 1:].sum())
+        if gain > most:
+            best, most = GRID[g], gain
     return best
 
 
