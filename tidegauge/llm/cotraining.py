@@ -21,11 +21,11 @@ from xxhash import xxh64_intdigest
 from tidegauge.llm.common import map_rows, unit_hash
 
 #: Labelled rows and unlabelled rows to learn from, picked by a hash of the id.
-LABELLED = 3000
-POOL = 3000
+LABELLED = 2000
+POOL = 2000
 ROUNDS = 4
 #: Pseudo-labels that a view may give per round, and the probability from which it is sure.
-GIVEN = 300
+GIVEN = 200
 SURE = 0.98
 #: Part of the labelled rows kept aside for calibration and the cutoff.
 ASIDE = 0.3
@@ -33,15 +33,10 @@ ASIDE = 0.3
 LOST = 0.002
 WIDTH = 1 << 12
 META_WIDTH = 1 << 8
-DENSE = 6
 
 SAMPLE_SCHEMA = "doc_id long, quality int, content binary, dense array<double>, meta binary"
 
 
-def _log(x: float) -> float:
-    return math.log1p(x) / 10
-
-
 def content(text: str) -> tuple[np.ndarray, list[float]]:
     """Presence of hashed n-grams of 1 to 3 characters, and dense features of repetition and shape."""
     marks = np.zeros(WIDTH, bool)
@@ -77,34 +72,32 @@ def _features(docs: DataFrame, *more: str) -> DataFrame:
                        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
 
 
-def _logit(p):
-    return np.log(p) - np.log1p(-p)
-
-
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
-    """Weights, bias last, by accelerated gradient; both classes weigh the same."""
-    x = np.c_[x, np.ones(len(x))]
-    share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
+    """Weights, bias last, by accelerated gradient; both classes weigh the same. ``x`` is not copied."""
+    share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(x.dtype)
+
+    def back(r):
+        return np.r_[x.T @ r, r.sum()].astype(float)
     # Lipschitz bound of the gradient by a few power iterations
-    v = np.ones(x.shape[1])
+    v, size = np.ones(x.shape[1] + 1), 1.0
     for _ in range(20):
-        v = x.T @ (share * (x @ v))
-        size = np.linalg.norm(v) or 1.0
+        v = back(share * _score(x, v))
+        size = float(np.linalg.norm(v)) or 1.0
         v /= size
     rate = 1 / (0.3 * size + ridge)
-    w = u = np.zeros(x.shape[1])
+    w = u = np.zeros(x.shape[1] + 1)
     for t in range(steps):
-        step = u - rate * (x.T @ (share * (_sigmoid(x @ u) - y)) + ridge * u)
+        step = u - rate * (back(share * (_sigmoid(_score(x, u)) - y).astype(x.dtype)) + ridge * u)
         w, u = step, step + t / (t + 3) * (step - w)
     return w
 
 
 def _score(x, w):
-    return x @ w[:-1] + w[-1]
+    return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
 @dataclass
@@ -184,10 +177,14 @@ def co_train(content: np.ndarray, meta: np.ndarray, quality: np.ndarray, rounds:
     return model
 
 
-def _matrix(packed: list[bytes], width: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width // 8), axis=1)
-    x = bits.astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+def _matrix(packed: list[bytes], width: int, dense: list | None = None) -> np.ndarray:
+    """Feature rows in single precision: presence, of length 1, and the dense features after it."""
+    dense = np.array(dense) if dense else np.zeros((len(packed), 0))
+    x = np.zeros((len(packed), width + dense.shape[1]), np.float32)
+    x[:, :width] = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width // 8), axis=1)
+    x[:, :width] /= np.sqrt(np.maximum(x[:, :width].sum(1, keepdims=True), 1))
+    x[:, width:] = dense
+    return x
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
@@ -220,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if not sample:
         return None
     quality = np.array([r[1] for r in sample])
-    return co_train(np.c_[_matrix([r[2] for r in sample], WIDTH), np.array([r[3] for r in sample])],
+    return co_train(_matrix([r[2] for r in sample], WIDTH, [r[3] for r in sample]),
                     _matrix([r[4] for r in sample], META_WIDTH), quality)
 
 

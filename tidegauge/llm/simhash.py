@@ -131,8 +131,8 @@ def _ball_edges(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints ``fp``: true links, enough to connect every two
-    fingerprints joined by a chain of links of at most DISTANCE differing bits."""
+    """Edges ``a, b`` between distinct fingerprints ``fp``: their components are those of all links
+    of at most DISTANCE differing bits (an edge may stand for a chain of links)."""
     fp = F.col("fp")
     keyed = fps.select(fp, F.explode(F.array(*block_keys(fp))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
