@@ -320,3 +320,59 @@ def test_refit_plan_matches_windows(spark):
     plan = W.refit_plan(df, 40, 7, 2).orderBy("window_id").collect()
     assert [(r.start_pos, r.end_pos) for r in plan] == [(60, 100), (62, 102), (64, 104), (66, 106)]
     assert W.refit_plan(df, 40, 3, 0).count() == 3
+
+
+def _levels(spark, change):
+    import random
+    from datetime import datetime, timedelta
+    rng, rows = random.Random(9), []
+    for name, n in (("long", 300), ("mid", 30), ("short", 16), ("flat", 40), ("one", 1)):
+        y = 0.0
+        for i in range(n):
+            y = 0.0 if name == "flat" else 0.6 * y + rng.gauss(0, 1)
+            rows.append((name, datetime(2024, 1, 1) + timedelta(hours=i), change(y)))
+    return spark.createDataFrame(rows, "k string, ts timestamp_ntz, y double")
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e6, 0.0), (1e-6, 0.0), (1.0, 1e9)])
+def test_fits_do_not_depend_on_unit_or_level(spark, scale, shift):
+    from tidegauge.operators import forecast as M
+    plain, moved = _levels(spark, lambda y: y), _levels(spark, lambda y: y * scale + shift)
+    tested = [{r.k: r for r in M.adf(s, "y", ["k"], "ts").collect()} for s in (plain, moved)]
+    fitted = [{r.k: r for r in M.fit_arima(s, "y", ["k"], "ts", (2, 0, 1)).collect()} for s in (plain, moved)]
+    assert set(tested[0]) == set(fitted[0]) == {"long", "mid", "short", "flat", "one"}
+    for k in ("long", "mid", "short"):
+        a, b = tested[0][k], tested[1][k]
+        assert (a.used_lag, a.n_obs, a.stationary) == (b.used_lag, b.n_obs, b.stationary)
+        assert b.statistic == pytest.approx(a.statistic, rel=1e-4)
+    a, b = fitted[0]["long"], fitted[1]["long"]
+    assert b.phi == pytest.approx(a.phi, abs=1e-4) and b.theta == pytest.approx(a.theta, abs=1e-4)
+    assert b.sigma2 == pytest.approx(a.sigma2 * scale ** 2, rel=1e-4)
+    assert b["const"] == pytest.approx(a["const"] * scale + shift * (1 - sum(a.phi)), rel=1e-3, abs=1e-3 * scale)
+    assert tested[0]["one"].statistic is None and fitted[0]["one"].phi is None
+
+
+def test_a_series_gives_the_same_row_alone_and_in_company(spark):
+    from tidegauge.operators import forecast as M
+    series = _levels(spark, lambda y: y)
+    tested = {r.k: r for r in M.adf(series, "y", ["k"], "ts").collect()}
+    models = {r.k: r for r in M.build_model(series, "y", ["k"], "ts").collect()}
+    for k in ("long", "mid", "short", "one"):
+        alone = series.where(F.col("k") == k)
+        for want, got in ((tested[k], M.adf(alone, "y", ["k"], "ts").first()),
+                          (models[k], M.build_model(alone, "y", ["k"], "ts").first())):
+            assert [round(v, 9) if isinstance(v, float) else str(v)[:12] for v in want] == [
+                round(v, 9) if isinstance(v, float) else str(v)[:12] for v in got]
+    assert models["mid"].p is not None and models["short"].p is not None
+
+
+def test_lags_stop_at_holes(spark):
+    from tidegauge.operators import forecast as M
+    series = _levels(spark, lambda y: y).where("k = 'long'")
+    holed = series.withColumn("y", F.when(F.hour("ts") != 5, F.col("y")))
+    rows = M.arma_rows(holed, "y", ["k"], "ts", 2, 0, 0)
+    hours = {r.h for r in rows.select(F.hour("ts").alias("h")).distinct().collect()}
+    assert hours == set(range(24)) - {5, 6, 7}
+    ends = M.forecast(series.withColumn("y", F.when(F.col("ts") < "2024-01-13 10:00:00", F.col("y"))), M.fit_arima(
+        series, "y", ["k"], "ts", (1, 0, 0)), "y", ["k"], "ts", "1 hour", (1, 0, 0), 2).collect()
+    assert len(ends) == 2 and all(r.forecast is not None for r in ends)

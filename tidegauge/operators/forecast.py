@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tidegauge.operators.joins import null_safe_join
 from tidegauge.operators.timeseries import ordered, series_position
 from tidegauge.session import spool
 
@@ -69,39 +70,61 @@ def gram(rows: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
                     lambda c: c["_g"]).alias("g"))
 
 
-def _solve_grid(combos: list[tuple[int, int]], max_p: int):
+def _least_squares(m, cols: list[int]):
+    """Coefficients and residual sum of squares of the last column on ``cols``, from products."""
+    import numpy as np
+    size = np.sqrt(np.maximum(np.diag(m)[cols], 1e-300))
+    xtx = m[np.ix_(cols, cols)] / np.outer(size, size)
+    coef = np.linalg.lstsq(xtx, m[cols, -1] / size, rcond=None)[0] / size
+    whole = np.r_[coef, -1.0]
+    rows = [*cols, len(m) - 1]
+    return coef, max(float(whole @ m[np.ix_(rows, rows)] @ whole), 0.0)
+
+
+def _solve_grid(combos: list[tuple[int, int]], max_p: int, exact: bool = False):
     """Vectorised solver: least squares of every (p, q) sub-block of one product matrix.
 
-    Column order: constant, y lags 1..max_p, residual lags 1..max_q, y.
+    Column order: constant, y lags 1..max_p, residual lags 1..max_q, y; values less their mean,
+    over their deviation, so that the system is as well conditioned on any level and in any unit.
+    Coefficients come back in the units of the series. Orders above the caps of a series (or, if
+    ``exact``, other than them) are left out.
     """
-    def solve(g: pd.Series, n: pd.Series) -> pd.Series:
+    def solve(g, n, mean, scale, p_cap, q_cap) -> pd.Series:
         import numpy as np
         out = []
-        for flat, rows in zip(g, n):
-            k = int(round(math.sqrt(len(flat))))
-            m = np.asarray(flat, dtype=float).reshape(k, k)
+        for flat, rows, mu, s, p_top, q_top in zip(g, n, mean, scale, p_cap, q_cap):
             fits = []
-            for p, q in combos:
+            k = 0 if flat is None else int(round(math.sqrt(len(flat))))
+            m = np.asarray(flat if k else [], dtype=float).reshape(k, k)
+            for p, q in combos if k else ():
                 cols = [0] + list(range(1, 1 + p)) + list(range(1 + max_p, 1 + max_p + q))
-                if rows <= len(cols):
+                if p > p_top or q > q_top or rows <= len(cols) or exact and (p, q) != (p_top, q_top):
                     continue
-                xtx, xty = m[np.ix_(cols, cols)], m[cols, -1]
-                coef = np.linalg.lstsq(xtx, xty, rcond=None)[0]
-                rss = max(float(m[-1, -1] - coef @ xty), 0.0)
-                sigma2 = rss / rows
+                coef, rss = _least_squares(m, cols)
+                sigma2 = rss / rows * s * s
                 aic = rows * math.log(max(sigma2, 1e-300)) + 2 * (len(cols) + 1)
-                fits.append((p, q, int(rows), aic, sigma2, float(coef[0]),
-                             [float(v) for v in coef[1:1 + p]], [float(v) for v in coef[1 + p:]]))
+                phi = [float(v) for v in coef[1:1 + p]]
+                fits.append((p, q, int(rows), aic, sigma2, float(coef[0]) * s + mu * (1 - sum(phi)),
+                             phi, [float(v) for v in coef[1 + p:]]))
             out.append(fits)
         return pd.Series(out)
 
     names = ["p", "q", "n", "aic", "sigma2", "const", "phi", "theta"]
 
-    def as_dicts(g: pd.Series, n: pd.Series) -> pd.Series:
-        return solve(g, n).map(lambda fits: [dict(zip(names, f)) for f in fits])
+    def as_dicts(g: pd.Series, n: pd.Series, mean: pd.Series, scale: pd.Series, p_cap: pd.Series,
+                 q_cap: pd.Series) -> pd.Series:
+        return solve(g, n, mean, scale, p_cap, q_cap).map(lambda fits: [dict(zip(names, f)) for f in fits])
     return F.pandas_udf(as_dicts, f"array<struct<{_struct(MODEL)}>>")
 
 
+#: Per series, beside its keys: mean and deviation of the values, highest orders it can be fitted with.
+FRAME = ["_mean", "_scale", "_p", "_q"]
+
+
+def _solved(fits: DataFrame, solver) -> Column:
+    return solver("g", "n", *FRAME)
+
+
 def _struct(ddl: str) -> str:
     return ", ".join(f"{part.split()[0]}:{part.split(' ', 1)[1]}" for part in ddl.split(", "))
 
@@ -109,11 +132,30 @@ def _struct(ddl: str) -> str:
 # ---- lag rows ------------------------------------------------------------------------------
 
 def with_lags(df: DataFrame, value: str, n: int, keys: list[str], ts: str, out: str) -> DataFrame:
-    """Array of the ``n`` previous values, newest first; shorter at the start of a series."""
+    """Array of the values 1 to ``n`` rows back, newest first: by position, null where there is none."""
     if n == 0:
         return df.withColumn(out, F.expr("cast(array() as array<double>)"))
-    past = ordered(keys, ts).rowsBetween(-n, -1)
-    return df.withColumn(out, F.reverse(F.collect_list(F.col(value).cast("double")).over(past)))
+    w = ordered(keys, ts)
+    return df.withColumn(out, F.array(*(F.lag(F.col(value).cast("double"), k).over(w) for k in range(1, n + 1))))
+
+
+def complete(lags: str, n) -> Column:
+    """Whether the first ``n`` lags are all there."""
+    return F.forall(F.slice(lags, 1, n), lambda v: v.isNotNull())
+
+
+def _scaled(lags: str, shift, n) -> Column:
+    """The first ``n`` lags less ``shift``, over the deviation of the series; 0 in place of the rest."""
+    return F.transform(lags, lambda v, i: F.when(i < n, (v - shift) / F.col("_scale")).otherwise(0.0))
+
+
+def _framed(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """``_mean`` and ``_scale`` of ``value``, and ``_len``, its number of values, per series."""
+    whole = Window.partitionBy(*keys)
+    spread = F.stddev_pop(value).over(whole)
+    return (df.withColumn("_mean", F.coalesce(F.avg(value).over(whole), F.lit(0.0)))
+            .withColumn("_scale", F.when(spread > 0, spread).otherwise(1.0))
+            .withColumn("_len", F.count(value).over(whole)))
 
 
 def dot(a, b) -> Column:
@@ -121,7 +163,7 @@ def dot(a, b) -> Column:
 
 
 def differenced(series: DataFrame, value: str, d: int, keys: list[str], ts: str) -> DataFrame:
-    """``_w``: the d-times differenced value; rows without one are dropped. ``_level`` stays.
+    """``_w``: the d-times differenced value, null beside a hole; rows and ``_level`` stay.
 
     ``_ends`` holds the last value of each differencing level, needed to undo the differences.
     """
@@ -135,7 +177,7 @@ def differenced(series: DataFrame, value: str, d: int, keys: list[str], ts: str)
     names = [F.col(f"_d{i + 1}") for i in range(d)]
     empty = F.expr("cast(array() as array<double>)")
     return (df.withColumn("_ends", F.array(*names) if names else empty)
-            .where(F.col("_w").isNotNull()).select(*keys, ts, "_level", "_w", "_ends"))
+            .select(*keys, ts, "_level", "_w", "_ends"))
 
 
 def _with_innovations(df: DataFrame, keys: list[str], ts: str, q: int,
@@ -143,40 +185,59 @@ def _with_innovations(df: DataFrame, keys: list[str], ts: str, q: int,
     """``_e``: residuals of a long autoregression, the stand-in for unobserved innovations."""
     if q == 0:
         return df.withColumn("_e", F.lit(0.0))
-    lagged = with_lags(df, "_w", long_order, keys, ts, "_far").where(F.size("_far") == long_order)
-    x = F.concat(F.array(F.lit(1.0)), "_far", F.array("_w"))
-    solver = _solve_grid([(long_order, 0)], long_order)
-    fits = gram(lagged.select(*keys, x.alias("x")), keys)
-    coef = fits.select(*keys, F.get(solver("g", "n"), F.lit(0)).alias("_m")).where("_m IS NOT NULL")
-    joined = lagged.join(coef, keys)
-    return joined.withColumn(
-        "_e", F.col("_w") - F.col("_m.const") - dot(F.col("_m.phi"), F.col("_far"))).drop("_m", "_far")
+    # a short series takes a shorter autoregression
+    order = F.least(F.lit(long_order), F.greatest(F.lit(1), F.floor((F.col("_len") - 4) / 4))).cast("int")
+    lagged = _framed(with_lags(df, "_w", long_order, keys, ts, "_far"), "_w", keys).withColumns(
+        {"_p": order, "_q": F.lit(0)})
+    usable = complete("_far", F.col("_p")) & F.col("_w").isNotNull()
+    x = F.concat(F.array(F.lit(1.0)), _scaled("_far", F.col("_mean"), F.col("_p")),
+                 F.array((F.col("_w") - F.col("_mean")) / F.col("_scale")))
+    solver = _solve_grid([(k, 0) for k in range(1, long_order + 1)], long_order, exact=True)
+    fits = gram(lagged.where(usable).select(*keys, *FRAME, x.alias("x")), [*keys, *FRAME])
+    coef = fits.select(*keys, F.get(_solved(fits, solver), F.lit(0)).alias("_m"))
+    joined = null_safe_join(lagged, coef, list(keys), "left")
+    far = F.slice("_far", 1, F.size("_m.phi"))
+    left = F.col("_w") - F.col("_m.const") - dot(F.col("_m.phi"), far)
+    return joined.withColumn("_e", F.when(usable & F.col("_m").isNotNull(), left)).drop("_m", "_far", "_len", *FRAME)
+
+
+def _lagged(series: DataFrame, value: str, keys: list[str], ts: str, p: int, d: int, q: int,
+            long_order: int | None) -> DataFrame:
+    far = long_order or p + q + 4
+    df = _with_innovations(differenced(series, value, d, keys, ts), keys, ts, q, far)
+    return with_lags(with_lags(df, "_w", p, keys, ts, "_yl"), "_e", q, keys, ts, "_el")
 
 
 def arma_rows(series: DataFrame, value: str, keys: list[str], ts: str, p: int, d: int, q: int,
               long_order: int | None = None) -> DataFrame:
-    """Rows with the lags an ARIMA(p, d, q) needs: ``_w, _level, _ends, _e, _yl, _el``."""
-    far = long_order or p + q + 4
-    df = _with_innovations(differenced(series, value, d, keys, ts), keys, ts, q, far)
-    df = with_lags(df, "_w", p, keys, ts, "_yl")
-    df = with_lags(df, "_e", q, keys, ts, "_el")
-    return df.where((F.size("_yl") == p) & (F.size("_el") == q))
+    """Rows with all the lags an ARIMA(p, d, q) needs: ``_w, _level, _ends, _e, _yl, _el``."""
+    df = _lagged(series, value, keys, ts, p, d, q, long_order)
+    return df.where(F.col("_w").isNotNull() & complete("_yl", p) & complete("_el", q))
 
 
 # ---- fitting -------------------------------------------------------------------------------
 
 def fit_grid(series: DataFrame, value: str, keys: list[str], ts: str, d: int,
-             combos: list[tuple[int, int]], long_order: int | None = None) -> DataFrame:
+             combos: list[tuple[int, int]], long_order: int | None = None,
+             adapt: bool = False) -> DataFrame:
     """One model row per series and (p, q), all from one product matrix per series.
 
-    All orders share the same rows, so their AIC values can be compared.
+    All orders share the same rows, so their AIC values can be compared. With ``adapt`` a short
+    series is asked for fewer lags, by its own length alone, and fitted with the orders that leaves.
+    A series that nothing can be fitted to has one row, of nulls. Lags never reach across a hole.
     """
     max_p, max_q = max(p for p, _ in combos), max(q for _, q in combos)
-    rows = arma_rows(series, value, keys, ts, max_p, d, max_q, long_order)
-    x = F.concat(F.array(F.lit(1.0)), "_yl", "_el", F.array("_w"))
-    fits = gram(rows.select(*keys, x.alias("x")), keys)
-    return fits.select(*keys, F.inline(_solve_grid(combos, max_p)("g", "n"))).withColumn(
-        "d", F.lit(d))
+    rows = _framed(_lagged(series, value, keys, ts, max_p, d, max_q, long_order), "_w", keys)
+    room = F.greatest(F.lit(0), F.floor((F.col("_len") - 4) / 6)).cast("int")
+    rows = rows.withColumns({"_p": F.least(F.lit(max_p), room) if adapt else F.lit(max_p),
+                             "_q": F.least(F.lit(max_q), room) if adapt else F.lit(max_q)})
+    used = rows.where(F.col("_w").isNotNull() & complete("_yl", F.col("_p")) & complete("_el", F.col("_q")))
+    x = F.concat(F.array(F.lit(1.0)), _scaled("_yl", F.col("_mean"), F.col("_p")),
+                 _scaled("_el", F.lit(0.0), F.col("_q")), F.array((F.col("_w") - F.col("_mean")) / F.col("_scale")))
+    fits = gram(used.select(*keys, *FRAME, x.alias("x")), [*keys, *FRAME])
+    models = fits.select(*keys, _solved(fits, _solve_grid(combos, max_p)).alias("_fits"))
+    every = null_safe_join(series.select(*keys).distinct(), models, list(keys), "left")
+    return every.select(*keys, F.inline_outer("_fits")).withColumn("d", F.lit(d))
 
 
 def fit_arima(series: DataFrame, value: str, keys: list[str], ts: str,
@@ -191,7 +252,8 @@ def build_model(series: DataFrame, value: str, keys: list[str], ts: str, max_p:
                 rebuild: bool = True) -> DataFrame:
     """Order search by AIC over p <= max_p, q <= max_q; the stored model when not rebuilding.
 
-    Without ``d`` a series is differenced once when the unit-root test does not reject.
+    Without ``d`` a series is differenced once when the unit-root test does not reject. Every series
+    has a row, which depends on that series alone; short ones are searched over fewer orders.
     """
     if not rebuild:
         if stored is None:
@@ -205,16 +267,16 @@ def build_model(series: DataFrame, value: str, keys: list[str], ts: str, max_p:
         return models.groupBy(*by).agg(F.min_by(row, rank).alias("_m")).select(*by, "_m.*")
 
     if d is not None:
-        return best(fit_grid(series, value, keys, ts, d, combos), keys)
+        return best(fit_grid(series, value, keys, ts, d, combos, adapt=True), keys)
     # the flag follows from the keys, so it can ride along as one of them: one fit, no second join
     by = keys + ["stationary"]
-    flagged = series.select(*keys, ts, F.col(value).cast("double").alias("_y")).join(
-        adf(series, value, keys, ts).select(*by), keys)
+    tested = adf(series, value, keys, ts).select(*keys, F.coalesce("stationary", F.lit(True)).alias("stationary"))
+    flagged = null_safe_join(series.select(*keys, ts, F.col(value).cast("double").alias("_y")), tested, list(keys))
     change = F.col("_y") - F.lag("_y").over(ordered(by, ts))
     chosen = flagged.withColumn("_x", F.when(F.col("stationary"), F.col("_y")).otherwise(change))
     # written once: the fit reads its series twice and must not repeat the test each time
-    ready = spool(chosen.where("_x IS NOT NULL").select(*by, ts, "_x"))
-    models = best(fit_grid(ready, "_x", by, ts, 0, combos), by)
+    ready = spool(chosen.select(*by, ts, "_x"))
+    models = best(fit_grid(ready, "_x", by, ts, 0, combos, adapt=True), by)
     return models.withColumn("d", F.when(F.col("stationary"), 0).otherwise(1)).drop("stationary")
 
 
@@ -241,7 +303,8 @@ def forecast(series: DataFrame, models: DataFrame, value: str, keys: list[str],
              order: tuple[int, int, int], steps: int, long_order: int | None = None) -> DataFrame:
     """``steps`` values ahead of each series, every prediction fed back as the newest lag.
 
-    The recursion runs on one short lag array per series. ``(keys..., step, ts, forecast)``
+    The recursion runs on one short lag array per series. ``(keys..., step, ts, forecast)``; the
+    forecast is null where the series has no model or its newest lags have a hole.
     """
     p, d, q = order
     rows = _with_innovations(differenced(series, value, d, keys, ts), keys, ts, q,
@@ -250,13 +313,13 @@ def forecast(series: DataFrame, models: DataFrame, value: str, keys: list[str],
     def newest(column: str, n: int) -> Column:
         if n == 0:
             return F.expr("cast(array() as array<double>)")
-        return F.reverse(F.collect_list(column).over(ordered(keys, ts).rowsBetween(-(n - 1), 0)))
+        return F.array(*(F.lag(column, k).over(ordered(keys, ts)) if k else F.col(column) for k in range(n)))
 
-    state = rows.select(*keys, ts, "_ends", newest("_w", p).alias("_yl"),
-                        newest("_e", q).alias("_el"))
-    last = state.groupBy(*keys).agg(F.max_by(F.struct(ts, "_ends", "_yl", "_el"), ts).alias("_s"))
-    ready = last.select(*keys, "_s.*").join(models.select(*keys, "const", "phi", "theta"), keys)
-    ready = ready.where((F.size("_yl") == p) & (F.size("_el") == q))
+    state = rows.select(*keys, ts, "_w", "_ends", newest("_w", p).alias("_yl"), newest("_e", q).alias("_el"))
+    # of a series that ends in a hole the last value counts
+    last = state.groupBy(*keys).agg(F.max_by(F.struct(ts, "_ends", "_yl", "_el"), F.when(
+        F.col("_w").isNotNull(), F.col(ts))).alias("_s"))
+    ready = null_safe_join(last.select(*keys, "_s.*"), models.select(*keys, "const", "phi", "theta"), list(keys))
 
     def push(lags: Column, new: Column, n: int) -> Column:
         return F.slice(F.concat(F.array(new), lags), 1, n) if n else lags
@@ -320,46 +383,45 @@ def generate_forecasts(series: DataFrame, value: str, keys: list[str], ts: str,
 # ---- unit root -----------------------------------------------------------------------------
 
 def adf(series: DataFrame, value: str, keys: list[str], ts: str,
-        max_lag: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller test with constant, lag order by AIC.
+        max_lag: int | None = None, search: bool = True) -> DataFrame:
+    """Augmented Dickey-Fuller test with constant; lag order by AIC, or without ``search`` the highest.
 
-    ``statistic, p_value, used_lag, n_obs, crit_1, crit_5, crit_10, stationary`` per series.
+    ``statistic, p_value, used_lag, n_obs, crit_1, crit_5, crit_10, stationary`` per series; a
+    series that cannot be tested (too short, constant) has nulls.
     """
-    if max_lag is None:
-        longest = series.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        max_lag = _default_max_lag(longest)
-    w = ordered(keys, ts)
     base = series.select(*keys, ts, F.col(value).cast("double").alias("_y")).withColumn(
-        "_prev", F.lag("_y").over(w)).withColumn("_dy", F.col("_y") - F.col("_prev"))
-    rows = with_lags(base.where("_dy IS NOT NULL"), "_dy", max_lag, keys, ts, "_lags")
-
-    def design(df: DataFrame) -> DataFrame:
-        pad = F.concat("_lags", F.array_repeat(F.lit(0.0), F.lit(max_lag) - F.size("_lags")))
-        x = F.concat(F.array(F.lit(1.0), F.col("_prev")), pad, F.array("_dy"))
-        return df.select(*keys, x.alias("x"))
-
-    sizes = rows.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("_len"))
-    grams = gram(design(rows.where(F.size("_lags") == max_lag)), keys).join(sizes, keys)
-
-    def choose(g: pd.Series, n: pd.Series, length: pd.Series) -> pd.Series:
+        "_prev", F.lag("_y").over(ordered(keys, ts))).withColumn("_dy", F.col("_y") - F.col("_prev"))
+    limit = F.greatest(F.lit(0), F.least(F.ceil(12.0 * F.pow(F.col("_len") / 100.0, F.lit(0.25))),
+                                         F.floor(F.col("_len") / 2) - 2))
+    limit = (limit if max_lag is None else F.least(limit, F.lit(max_lag))).cast("int")
+    base = _framed(base, "_y", keys).withColumn("_limit", limit)
+    # how wide the array of lags must be; which of them a series uses depends on that series alone
+    width = max_lag if max_lag is not None else base.agg(F.max("_limit")).first()[0] or 0
+    rows = with_lags(base, "_dy", width, keys, ts, "_lags").where("_dy IS NOT NULL")
+
+    def design(df: DataFrame, lags: str) -> DataFrame:
+        x = F.concat(F.array(F.lit(1.0), (F.col("_prev") - F.col("_mean")) / F.col("_scale")),
+                     _scaled("_lags", F.lit(0.0), F.col(lags)), F.array(F.col("_dy") / F.col("_scale")))
+        return df.select(*keys, lags, x.alias("x"))
+
+    grams = gram(design(rows.where(complete("_lags", F.col("_limit"))), "_limit"), [*keys, "_limit"])
+
+    def choose(g: pd.Series, n: pd.Series, limit: pd.Series) -> pd.Series:
         import numpy as np
         out = []
-        for flat, rows_, len_ in zip(g, n, length):
+        for flat, rows_, top in zip(g, n, limit):
             k = int(round(math.sqrt(len(flat))))
             m = np.asarray(flat, dtype=float).reshape(k, k)
-            top = min(max_lag, int(math.ceil(12.0 * (len_ / 100.0) ** 0.25)), len_ // 2 - 2)
             best = (math.inf, 0)
-            for lag in range(max(top, 0) + 1):
-                cols = list(range(2 + lag))
-                coef = np.linalg.lstsq(m[np.ix_(cols, cols)], m[cols, -1], rcond=None)[0]
-                rss = max(float(m[-1, -1] - coef @ m[cols, -1]), 1e-300)
-                best = min(best, (rows_ * math.log(rss / rows_) + 2 * len(cols), lag))
+            for lag in range(0 if search else int(top), int(top) + 1):
+                _, rss = _least_squares(m, list(range(2 + lag)))
+                best = min(best, (rows_ * math.log(max(rss, 1e-300) / rows_) + 2 * (2 + lag), lag))
             out.append(best[1])
         return pd.Series(out)
 
-    lag_of = grams.select(*keys, F.pandas_udf(choose, "int")("g", "n", "_len").alias("used_lag"))
-    chosen = rows.join(lag_of, keys).where(F.size("_lags") >= F.col("used_lag"))
-    final = gram(design(chosen), keys).join(lag_of, keys)
+    lag_of = grams.select(*keys, F.pandas_udf(choose, "int")("g", "n", "_limit").alias("used_lag"))
+    chosen = null_safe_join(rows, lag_of, list(keys)).where(complete("_lags", F.col("used_lag")))
+    final = gram(design(chosen, "used_lag"), [*keys, "used_lag"])
 
     stat_names = ["statistic", "p_value", "used_lag", "n_obs", *CRITICAL]
     fixed = (TAU_STAR, TAU_MIN, TAU_MAX, list(SMALL_P), list(LARGE_P), dict(CRITICAL))
@@ -373,11 +435,14 @@ def adf(series: DataFrame, value: str, keys: list[str], ts: str,
             m = np.asarray(flat, dtype=float).reshape(k, k)
             cols = list(range(2 + int(lag_)))
             xtx = m[np.ix_(cols, cols)]
-            coef = np.linalg.lstsq(xtx, m[cols, -1], rcond=None)[0]
-            rss = max(float(m[-1, -1] - coef @ m[cols, -1]), 0.0)
-            var = rss / (rows_ - len(cols)) * np.linalg.pinv(xtx)[1, 1]
-            tau = float(coef[1] / math.sqrt(var)) if var > 0 else float("nan")
-            if tau > high:
+            tau = math.nan
+            if rows_ > len(cols) and np.linalg.matrix_rank(xtx) == len(cols):
+                coef, rss = _least_squares(m, cols)
+                var = rss / (rows_ - len(cols)) * np.linalg.inv(xtx)[1, 1]
+                tau = float(coef[1] / math.sqrt(var)) if var > 0 else math.nan
+            if math.isnan(tau):
+                prob = math.nan
+            elif tau > high:
                 prob = 1.0
             elif tau < low:
                 prob = 0.0
@@ -392,11 +457,8 @@ def adf(series: DataFrame, value: str, keys: list[str], ts: str,
     ddl = "statistic double, p_value double, used_lag int, n_obs bigint, " + ", ".join(
         f"{c} double" for c in CRITICAL)
     tested = final.select(*keys, F.pandas_udf(test, ddl)("g", "n", "used_lag").alias("_t"))
-    return tested.select(*keys, "_t.*").withColumn("stationary", check_stationarity())
-
-
-def _default_max_lag(n: int) -> int:
-    return max(min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2), 0)
+    every = null_safe_join(series.select(*keys).distinct(), tested, list(keys), "left")
+    return every.select(*keys, "_t.*").withColumn("stationary", check_stationarity())
 
 
 def check_stationarity(p_value: str = "p_value") -> Column:

@@ -56,6 +56,39 @@ def df_test(spark, folder):
     return rounded(out.select("sentiment", "n_obs", "statistic"), "statistic", digits=4)
 
 
+SQL_LEVELS = SQL_MONTHLY + """,
+l2 AS (SELECT * FROM (SELECT priority, ts, y, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b
+  FROM monthly WINDOW w AS (PARTITION BY priority ORDER BY ts)) WHERE a IS NOT NULL)"""
+
+
+@query("sta05_adf_levels_one_lag", f"""WITH {SQL_LEVELS},
+d AS (SELECT priority, y - a AS y, a, a - b AS b FROM l2 WHERE b IS NOT NULL),
+k AS (SELECT priority, count(*) AS n, var_pop(y) AS vy, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+  covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM d GROUP BY 1),
+c AS (SELECT *, (bb * cay - ab * cby) / (aa * bb - ab * ab) AS b1, (aa * cby - ab * cay) / (aa * bb - ab * ab) AS b2 FROM k),
+z AS (SELECT priority, n, b1 / sqrt((vy - b1 * cay - b2 * cby) / (n - 3) * bb / (aa * bb - ab * ab)) AS with_lag FROM c)
+SELECT priority, n AS n_obs, round(with_lag, 4) AS statistic FROM z""")
+def adf_levels(spark, folder):
+    """On totals of 1e7 and more, in their own units; all series take the one lag by force."""
+    return M.adf(monthly_orders(spark, folder), "y", ["priority"], "ts", max_lag=1, search=False).select(
+        "priority", "n_obs", F.round("statistic", 4).alias("statistic"))
+
+
+@query("sta05_adf_every_user", """SELECT DISTINCT user_id, true AS has_row FROM events""")
+def adf_users(spark, folder):
+    tested = M.adf(hourly(spark, folder, "user_id"), "cnt", ["user_id"], TS)
+    return tested.select("user_id", F.lit(True).alias("has_row"))
+
+
+@query("sta10_fit_ar1_levels", f"""WITH {SQL_LEVELS}
+SELECT priority, count(*) AS n, round(regr_slope(y, a), 5) AS phi, round(regr_intercept(y, a) / 1e6, 4) AS const_millions
+FROM l2 GROUP BY 1""")
+def fit_ar1_levels(spark, folder):
+    m = M.fit_arima(monthly_orders(spark, folder), "y", ["priority"], "ts", AR1)
+    return m.select("priority", "n", F.round(F.element_at("phi", 1), 5).alias("phi"),
+                    F.round(F.col("const") / 1e6, 4).alias("const_millions"))
+
+
 @query("sta06_stationarity")
 def stationarity(spark, folder):
     logged = log_difference(monthly_orders(spark, folder), "y", ["priority"], "ts")
@@ -138,6 +171,31 @@ r AS (SELECT * FROM (SELECT k, ts, y, lag(y) OVER w AS a, lag(e) OVER w AS b FRO
   WINDOW w AS (PARTITION BY k ORDER BY ts)) WHERE b IS NOT NULL)"""
 
 
+@query("sta10_fit_ar2_levels", f"""WITH {SQL_LEVELS}, q AS (SELECT * FROM l2 WHERE b IS NOT NULL),
+m AS ({_two_regressors("q", "priority")})
+SELECT priority, n, round(b1, 5) AS phi_1, round(b2, 5) AS phi_2, round(n * ln(rss / n) + 8, 3) AS aic FROM m""")
+def fit_ar2_levels(spark, folder):
+    m = M.fit_arima(monthly_orders(spark, folder), "y", ["priority"], "ts", (2, 0, 0))
+    return m.select("priority", "n", F.round(F.element_at("phi", 1), 5).alias("phi_1"),
+                    F.round(F.element_at("phi", 2), 5).alias("phi_2"), F.round("aic", 3).alias("aic"))
+
+
+SQL_HOLES = SQL_Z.replace("zs AS (", "zs0 AS (") + """,
+zs AS (SELECT sentiment, ts_bin, CASE WHEN cnt = 2 THEN NULL ELSE z END AS z FROM zs0)"""
+
+
+@query("sta10_fit_ar2_with_holes", f"""WITH {SQL_LAGS.replace(SQL_Z, SQL_HOLES)},
+q AS (SELECT * FROM l2 WHERE y IS NOT NULL AND a IS NOT NULL), m AS ({_two_regressors("q", "sentiment")})
+SELECT sentiment, n, round(c, 6) AS const, round(b1, 6) AS phi_1, round(b2, 6) AS phi_2 FROM m""")
+def fit_ar2_holes(spark, folder):
+    """No lag reaches across a bin whose value is missing."""
+    holed = z_series(spark, folder).withColumn("z", F.when(F.nullif(F.col("cnt"), F.lit(2)).isNotNull(), F.col("z")))
+    m = M.fit_arima(holed, "z", KEY, TS, (2, 0, 0))
+    return m.select("sentiment", "n", F.round("const", 6).alias("const"),
+                    F.round(F.element_at("phi", 1), 6).alias("phi_1"),
+                    F.round(F.element_at("phi", 2), 6).alias("phi_2"))
+
+
 @query("sta11_fit_ma1", f"""WITH {SQL_Z}, s AS (SELECT sentiment AS k, ts_bin AS ts, z AS y FROM zs),
 {SQL_INNOVATIONS}
 SELECT k AS sentiment, count(*) AS n, round(regr_intercept(y, b), 6) AS const,
@@ -217,6 +275,12 @@ def order_search_ar(spark, folder):
     return best.select("sentiment", "p", F.round("aic", 4).alias("aic"))
 
 
+@query("sta13_order_search_every_user", """SELECT DISTINCT user_id, true AS has_row FROM events""")
+def order_search_users(spark, folder):
+    best = M.build_model(hourly(spark, folder, "user_id"), "cnt", ["user_id"], TS, max_p=2, max_q=1)
+    return best.select("user_id", F.lit(True).alias("has_row"))
+
+
 @query("sta14_model_metrics", f"""WITH {SQL_AR1}
 SELECT lz.sentiment, round(any_value(n * ln(rss / n) + 6), 4) AS aic,
   round(avg(abs(z - a - b * x)), 6) AS mae
@@ -277,7 +341,7 @@ lx AS (SELECT {key}, ts_bin, {value} AS y, lag({value}) OVER (PARTITION BY {key}
   FROM zs),
 m AS (SELECT {key}, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM lx WHERE x IS NOT NULL GROUP BY 1),
 s AS (SELECT {key}, max(ts_bin) AS last, max_by(y, ts_bin) AS y FROM lx GROUP BY 1),
-f AS (SELECT s.{key}, 1 AS step, last, a, b, a + b * y AS y FROM s JOIN m ON m.{key} = s.{key}
+f AS (SELECT s.{key}, 1 AS step, last, a, b, a + b * y AS y FROM s LEFT JOIN m ON m.{key} = s.{key}
   UNION ALL SELECT {key}, step + 1, last, a, b, a + b * y FROM f WHERE step < {steps})
 SELECT {key}, step, last + step * INTERVAL {freq} AS ts_bin, round(y, 6) AS forecast FROM f"""
 
