@@ -232,13 +232,10 @@ def test_tokens_need_two_word_characters(spark):
     assert df.select(tokens("t")).first()[0] == ["über", "cool", "i_d", "x2"]
 
 
-def test_dummies_and_level_limit(spark, monkeypatch):
+def test_dummies(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "c string, v int")
-    assert encode.dummies(df, "c").columns == ["v", "c_a", "c_b"]
-    assert encode.dummies(df, "c", drop_first=True).columns == ["v", "c_b"]
-    monkeypatch.setattr(encode, "MAX_LEVELS", 1)
-    with pytest.raises(ValueError):
-        encode.dummies(df, "c")
+    assert encode.dummies(df, "c", ["a", "b"]).columns == ["v", "c_a", "c_b"]
+    assert encode.dummies(df, "c", ["a", "b"], drop_first=True).columns == ["v", "c_b"]
     assert encode.one_hot_long(df, "v", "c").count() == 2
 
 

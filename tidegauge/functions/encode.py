@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A one-hot table is as wide as its level list; beyond this use ``one_hot_long``.
-MAX_LEVELS = 1000
+from tidegauge.functions.hashing import unit_hash
 
+def dummies(df: DataFrame, column: str, levels: list, drop_first: bool = False) -> DataFrame:
+    """0/1 column ``<column>_<level>`` per level; the source column is dropped.
 
-def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted distinct values that will become columns; refuses a list too long for a schema."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(
-        MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; use one_hot_long")
-    return sorted(r[0] for r in rows)
-
-
-def dummies(df: DataFrame, column: str, levels: list | None = None,
-            drop_first: bool = False) -> DataFrame:
-    """0/1 column ``<column>_<level>`` per sorted level; the source column is dropped."""
-    levels = levels_of(df, column) if levels is None else levels
+    The levels are part of the schema, so the caller names them; ``one_hot_long`` takes any.
+    """
     kept = levels[1:] if drop_first else levels
     cols = [F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}")
             for v in kept]
@@ -38,7 +28,10 @@ def binarise(column: str, levels: list) -> Column:
     return F.array(*[(F.col(column) == v).cast("int") for v in sorted(levels)])
 
 
-def random_columns(df: DataFrame, seed: int, low: int = 0, high: int = 100) -> DataFrame:
-    """Seeded uniform, normal and integer columns."""
-    return (df.withColumn("uniform", F.rand(seed)).withColumn("normal", F.randn(seed + 1))
-            .withColumn("integer", (F.floor(F.rand(seed + 2) * (high - low)) + low).cast("int")))
+def random_columns(df: DataFrame, ids: list[str], seed: int, low: int = 0, high: int = 100) -> DataFrame:
+    """Uniform, normal and integer columns that follow from the ids and the seed."""
+    u = [unit_hash(*ids, seed=seed + k) for k in range(4)]
+    # Box-Muller: 1 - u is never 0
+    normal = F.sqrt(-2.0 * F.log(1.0 - u[1])) * F.cos(2.0 * F.pi() * u[2])
+    return (df.withColumn("uniform", u[0]).withColumn("normal", normal)
+            .withColumn("integer", (F.floor(u[3] * (high - low)) + low).cast("int")))

@@ -6,6 +6,9 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions.hashing import unit_hash
+from tidegauge.operators.joins import null_safe_join
+
 from tidegauge.operators.timeseries import fill_gaps
 
 
@@ -40,7 +43,7 @@ def mean_absolute_deviation(df: DataFrame, column: str, keys: list[str] = ()) ->
         return df.select(column).withColumn("_mean", mean).agg(
             F.avg(F.abs(F.col(column) - F.col("_mean"))).alias("mad"))
     means = df.groupBy(*keys).agg(F.avg(column).alias("_mean"))
-    return df.join(means, list(keys)).groupBy(*keys).agg(
+    return null_safe_join(df, means, list(keys)).groupBy(*keys).agg(
         F.avg(F.abs(F.col(column) - F.col("_mean"))).alias("mad"))
 
 
@@ -134,8 +137,7 @@ def sample_rows(df: DataFrame, ids: list[str], share: float, seed: int = 0) -> D
 
     ``DataFrame.sample`` draws per partition, so its rows change with the file layout.
     """
-    limit = int(share * 1_000_000)
-    return df.where(F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) < limit)
+    return df.where(unit_hash(*ids, seed=seed) < share)
 
 
 def sample_points(df: DataFrame, x: str, y: str, ids: list[str], share: float,

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from itertools import permutations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, VectorAssembler,
+    PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidegauge.functions.hashing import unit_hash
 from tidegauge.functions.labels import CLASS_LABELS
 from tidegauge.functions.text import TOKEN_PATTERN
 from tidegauge.operators.quantiles import totals_below
-from tidegauge.operators.text import MAX_TERMS
+from tidegauge.operators.text import MAX_TERMS, term_counts, vocabulary
 
 # Promotion thresholds on r2.
 MIN_R2, MIN_ABSOLUTE_GAIN, MIN_RELATIVE_GAIN = 0.5, 0.05, 0.05
@@ -29,8 +31,7 @@ def split_by_hash(df: DataFrame, ids: list[str], test_share: float = 0.25,
 
     Unlike ``randomSplit`` the result does not depend on partitioning or on a recomputed plan.
     """
-    test = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) < int(test_share * 1_000_000)
-    return df.withColumn("part", F.when(test, "test").otherwise("train"))
+    return df.withColumn("part", F.when(unit_hash(*ids, seed=seed) < test_share, "test").otherwise("train"))
 
 
 # ---- text classifier -----------------------------------------------------------------------
@@ -38,23 +39,28 @@ def split_by_hash(df: DataFrame, ids: list[str], test_share: float = 0.25,
 def fit_vectoriser(docs: DataFrame, text: str, max_terms: int = MAX_TERMS) -> PipelineModel:
     """Tokens, counts, smooth idf and unit length as one storable pipeline.
 
-    Spark's idf lacks the "+ 1" of the smooth form, so the fitted weights are raised by one.
+    The vocabulary is that of the SQL form, ties by term, so that no partitioning changes it; texts
+    are tokenised once for it and its weights. It is the model itself: ``max_terms`` strings.
     """
     tokenizer = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN,
                                gaps=False, toLowercase=True)
-    tokenised = tokenizer.transform(docs.select(text))
-    counter = CountVectorizer(inputCol="_tokens", outputCol="_counts",
-                              vocabSize=max_terms).fit(tokenised)
-    idf = IDF(inputCol="_counts", outputCol="_unused").fit(counter.transform(tokenised)).idf
-    weight = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="_counts",
-                                outputCol="_weighted")
+    numbered = docs.select(F.monotonically_increasing_id().alias("_id"), text)
+    terms, n = vocabulary(term_counts(numbered, "_id", text), max_terms).collect(), docs.count()
+    counter = CountVectorizerModel.from_vocabulary([r.term for r in terms], inputCol="_tokens",
+                                                   outputCol="_counts")
+    idf = [math.log((1 + n) / (1 + r.df)) + 1 for r in terms]
+    weight = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_weighted")
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
     return PipelineModel(stages=[tokenizer, counter, weight, unit])
 
 
 def fit_text_classifier(docs: DataFrame, text: str, target: str, c: float = 1.0,
-                        max_iter: int = 500, max_terms: int = MAX_TERMS) -> PipelineModel:
-    """Multinomial logistic regression on tf-idf with L2 strength 1 / (C n)."""
+                        max_iter: int = 500, max_terms: int = MAX_TERMS,
+                        parts: int | None = None) -> PipelineModel:
+    """Multinomial logistic regression on tf-idf with L2 strength 1 / (C n).
+
+    Training rows are dealt to ``parts`` partitions (default: one per core), however the files lie.
+    """
     vectoriser = fit_vectoriser(docs, text, max_terms)
     n = docs.count()
     lr = LogisticRegression(featuresCol="features", labelCol=target, family="multinomial",
@@ -63,7 +69,7 @@ def fit_text_classifier(docs: DataFrame, text: str, target: str, c: float = 1.0,
     train = vectoriser.transform(docs.select(text, target)).select(
         "features", F.col(target).cast("double"))
     # the optimiser passes over the training rows once per iteration
-    train = train.persist()
+    train = train.repartition(parts or docs.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         model = lr.fit(train)
     finally:

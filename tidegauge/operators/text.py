@@ -32,9 +32,7 @@ def tf_idf(docs: DataFrame, id_col: str, text: str, max_terms: int = MAX_TERMS)
     n = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.ln((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1.0
     terms = vocabulary(counts, max_terms).withColumn("_idf", idf).select("term", "_idf")
-    # the vocabulary has at most max_terms rows; a document has no more than that either
-    if max_terms <= 100_000:
-        terms = F.broadcast(terms)
+    # a document has no more than max_terms rows; whether the terms are broadcast is Spark's choice
     weighted = counts.join(terms, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import aggregate as A, quantiles as Q
+from tidegauge.functions.hashing import sql_unit_hash
 from tidegauge.queries import query
 from tidegauge.queries.common import SQL_EVENTS, labelled_events
 from tidegauge.sources.tables import table
@@ -286,13 +287,15 @@ def bounds(spark, folder):
     return A.time_bounds(table(spark, folder, "events"), "ts")
 
 
-@query("agg29_random_sample")
+@query("agg29_random_sample", f"""SELECT o_orderkey, o_totalprice FROM orders
+WHERE {sql_unit_hash('o_orderkey', seed=42)} < 0.1""")
 def sample(spark, folder):
     o = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     return A.sample_rows(o, ["o_orderkey"], 0.1, seed=42)
 
 
-@query("agg30_scatter_points")
+@query("agg30_scatter_points", f"""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE {sql_unit_hash('o_orderkey', seed=42)} < 0.1""")
 def scatter(spark, folder):
     return A.sample_points(table(spark, folder, "orders"), "o_custkey", "o_totalprice",
                            ["o_orderkey"], 0.1, seed=42)

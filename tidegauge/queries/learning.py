@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidegauge.functions.hashing import sql_unit_hash
 from tidegauge.functions.labels import map_values
 from tidegauge.operators import model as M
 from tidegauge.operators.text import tf_idf
@@ -27,7 +28,8 @@ def language_model(spark, folder):
     return M.fit_text_classifier(documents(spark, folder), "text", "target")
 
 
-@query("ml01_train_test_split")
+@query("ml01_train_test_split", f"""SELECT doc_id,
+  CASE WHEN {sql_unit_hash('doc_id', seed=42)} < 0.25 THEN 'test' ELSE 'train' END AS part FROM documents""")
 def split(spark, folder):
     return M.split_by_hash(table(spark, folder, "documents").select("doc_id"), ["doc_id"], 0.25)
 
@@ -40,16 +42,23 @@ w AS (SELECT c.doc_id, c.term, tf * (ln((1 + (SELECT count(*) FROM documents)) /
   FROM c JOIN v ON v.term = c.term)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def tfidf(spark, folder):
-    out = tf_idf(table(spark, folder, "documents", spread=True).select("doc_id", "text"), "doc_id", "text")
+    out = tf_idf(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
-@query("ml02_tf_idf_vectors")
+SQL_TERMS = r"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+v AS (SELECT term, count(*) AS total FROM t GROUP BY 1 ORDER BY total DESC, term LIMIT 2000),
+k AS (SELECT doc_id, count(DISTINCT t.term) AS terms FROM t JOIN v ON v.term = t.term GROUP BY 1)"""
+
+
+@query("ml02_tf_idf_vectors", f"""WITH {SQL_TERMS} SELECT d.doc_id, CASE WHEN terms > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS n2,
+  coalesce(terms, 0)::INTEGER AS terms FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""")
 def tfidf_vectors(spark, folder):
-    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     vectors = M.fit_vectoriser(docs, "text").transform(docs)
     a = vector_to_array("features")
-    return vectors.select("doc_id", F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x).alias("n2"),
+    length = F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    return vectors.select("doc_id", F.round(length, 6).alias("n2"),
                           F.size(F.filter(a, lambda x: x != 0)).alias("terms"))
 
 
@@ -212,10 +221,11 @@ def encode(spark, folder):
                                            F.round("y", 6).alias("y"))
 
 
-@query("ml14_save_load_model")
+@query("ml14_save_load_model", f"""WITH {SQL_TERMS} SELECT d.doc_id, coalesce(terms, 0)::INTEGER AS terms
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""")
 def save_load(spark, folder):
     root = scratch(spark, "registry")
-    docs = table(spark, folder, "documents", spread=True).select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     save_model(M.fit_vectoriser(docs, "text"), root, "sentiment_analysis_vectorizer", "Staging")
     loaded = load_model(root, "sentiment_analysis_vectorizer", "Staging")
     return loaded.transform(docs).select(

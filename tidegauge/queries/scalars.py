@@ -9,6 +9,7 @@ from tidegauge.functions.text import (
     character_vocabulary, characters, decode_characters, encode_characters,
 )
 from tidegauge.functions.udfs import apply_vectorised
+from tidegauge.functions.hashing import sql_unit_hash
 from tidegauge.queries import query
 from tidegauge.sources.tables import table
 
@@ -149,16 +150,19 @@ def reshape(spark, folder):
         F.aggregate("_r", F.lit(0.0), lambda s, x: s + x), 5).alias("row_total"))
 
 
-@query("fun17_random_columns")
+@query("fun17_random_columns", f"""SELECT c_custkey, {sql_unit_hash('c_custkey', seed=101)} AS uniform,
+  round(sqrt(-2 * ln(1 - {sql_unit_hash('c_custkey', seed=102)})) * cos(2 * pi() * {sql_unit_hash('c_custkey', seed=103)}), 6)
+    AS normal, floor({sql_unit_hash('c_custkey', seed=104)} * 100)::INTEGER AS integer FROM customer""")
 def random_columns(spark, folder):
-    return E.random_columns(table(spark, folder, "customer").select("c_custkey"), 101)
+    return E.random_columns(table(spark, folder, "customer").select("c_custkey"), ["c_custkey"], 101).withColumn(
+        "normal", F.round("normal", 6))
 
 
 @query("fun18_dummies", """SELECT o_orderkey, (o_orderstatus = 'O')::INTEGER AS "o_orderstatus_O",
   (o_orderstatus = 'P')::INTEGER AS "o_orderstatus_P" FROM orders""")
 def dummies(spark, folder):
     return E.dummies(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"),
-                     "o_orderstatus", drop_first=True)
+                     "o_orderstatus", ["F", "O", "P"], drop_first=True)
 
 
 @query("fun19_binarise", """SELECT doc_id, (lang = 'de')::INTEGER AS de, (lang = 'en')::INTEGER AS en,
@@ -177,19 +181,19 @@ v AS (SELECT ch, (row_number() OVER (ORDER BY encode(ch)) - 1)::INTEGER AS code
 
 
 def _chars(spark, folder):
-    return characters(table(spark, folder, "documents", spread=True).select("doc_id", "text"), "doc_id", "text")
+    return characters(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("fun20_character_vocabulary", f"WITH {SQL_VOCAB} SELECT ch, code FROM v")
 def vocabulary(spark, folder):
-    return character_vocabulary(table(spark, folder, "documents", spread=True).select("text"), "text")
+    return character_vocabulary(table(spark, folder, "documents").select("text"), "text")
 
 
 @query("fun21_encode_characters", f"""WITH {SQL_VOCAB}
 SELECT doc_id, count(*) AS chars, sum(code)::BIGINT AS code_sum, sum(code * (pos % 97))::BIGINT AS check_sum
 FROM c JOIN v ON v.ch = c.ch GROUP BY 1""")
 def encode_chars(spark, folder):
-    vocab = character_vocabulary(table(spark, folder, "documents", spread=True).select("text"), "text")
+    vocab = character_vocabulary(table(spark, folder, "documents").select("text"), "text")
     coded = encode_characters(_chars(spark, folder), vocab)
     return coded.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chars"), F.sum("code").alias("code_sum"),
@@ -198,7 +202,7 @@ def encode_chars(spark, folder):
 
 @query("fun21_decode_characters", "SELECT doc_id, text FROM documents WHERE length(text) > 0")
 def decode_chars(spark, folder):
-    vocab = character_vocabulary(table(spark, folder, "documents", spread=True).select("text"), "text")
+    vocab = character_vocabulary(table(spark, folder, "documents").select("text"), "text")
     coded = encode_characters(_chars(spark, folder), vocab).select("doc_id", "pos", "code")
     decoded = decode_characters(coded, vocab)
     # one group is one document, bounded by the text that was a single cell before

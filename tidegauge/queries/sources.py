@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidegauge.operators.timeseries import date_range
+from tidegauge.functions.hashing import sql_unit_hash
 from tidegauge.queries import query
 from tidegauge.queries.common import EVENT_SENTIMENT, SQL_EVENTS, labelled_events
 from tidegauge.session import work_dir
@@ -232,11 +233,13 @@ def dictionary_lookup(spark, folder):
     return TB.lookup(report, "column_name", "non_null", "o_totalprice")
 
 
-@query("src19_dummy_model_data")
+@query("src19_dummy_model_data", f"""WITH n AS (SELECT count(*) AS n, max(ts) AS last FROM events)
+SELECT round(i * 8 * pi() / greatest(n - 1, 1), 6) AS x, floor({sql_unit_hash('i', seed=7)} * 3)::INTEGER AS target,
+  last + i * INTERVAL 1 MINUTE AS ts FROM n, (SELECT unnest(generate_series(0, (SELECT count(*) FROM events) - 1)) AS i)""")
 def dummy_data(spark, folder):
     """As many synthetic rows as there are events, at one-minute steps after the newest event."""
     ev = table(spark, folder, "events").select("ts")
-    return TB.dummy_model_data(ev, "ts", 3, seed=7)
+    return TB.dummy_model_data(ev, "ts", 3, seed=7).withColumn("x", F.round("x", 6))
 
 
 @query("src19_dummy_model_times", """WITH n AS (SELECT count(*) AS n, max(ts) AS last FROM events)

@@ -8,19 +8,12 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from tidegauge.functions.hashing import unit_hash
 
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """Parquet scan of one named table in ``folder``.
 
-    ``spread`` asks for at least one partition per core before CPU-heavy work such as parsing or
-    training. A small file would otherwise keep one core busy; a large table already has more
-    partitions than there are cores and is returned without a shuffle.
-    """
-    scan = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if spread and scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores)
-    return scan
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Parquet scan of one named table in ``folder``."""
+    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -114,7 +107,7 @@ def dummy_model_data(like: DataFrame, ts: str, classes: int, seed: int) -> DataF
     size = like.count()
     return (like.sparkSession.range(size).withColumn("_f", facts).select(
         (F.col("id") * F.lit(8 * math.pi) / F.greatest(F.col("_f.n") - 1, F.lit(1))).alias("x"),
-        F.floor(F.rand(seed) * classes).cast("int").alias("target"),
+        F.floor(unit_hash("id", seed=seed) * classes).cast("int").alias("target"),
         (F.col("_f.last") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts")))
 
 
