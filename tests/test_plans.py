@@ -51,12 +51,18 @@ def test_filters_and_columns_reach_the_scan(spark, name, pushed, absent):
     assert pushed in scan and absent not in scan.split("ReadSchema:", 1)[1]
 
 
-@pytest.mark.parametrize("name", ["ord03_top_k", "ord04_tail", "prj12_filter_head"])
+@pytest.mark.parametrize("name", ["ord03_top_k", "ord04_tail"])
 def test_top_rows_never_sort_everything(spark, name):
     plan = executed(spark, name)
     assert "TakeOrderedAndProject" in plan and "Exchange rangepartitioning" not in plan
 
 
+def test_slices_filter_the_scan(spark):
+    """Only the order columns are put in order; the rows themselves are not moved."""
+    plan = executed(spark, "prj11_positional_slice")
+    assert "Sort" not in plan.split("Subquery")[0] and "Exchange range" not in plan.split("Subquery")[0]
+
+
 def test_text_chunks_do_not_move_rows(spark):
     plan = executed(spark, "win17_sequence_batches")
     assert "hashpartitioning" not in plan

@@ -118,12 +118,20 @@ def test_daily_pivot_spans(spark):
     (True, None, 3, list(range(7))), (False, None, 3, [7, 8, 9]),
     (True, 0, None, []), (False, 0, None, list(range(10))), (True, 99, None, list(range(10))),
     (False, 99, None, []), (True, None, 0, list(range(10))), (False, None, 99, list(range(10)))])
-def test_filter_data(spark, monkeypatch, head, n_head, n_tail, want):
-    df = spark.range(10)
-    for top_k in (100_000, 0):  # by cut-off, and by position as for large n
-        monkeypatch.setattr(position, "TOP_K_ROWS", top_k)
-        got = position.filter_data(df, ["id"], head, n_head, n_tail)
-        assert [r.id for r in got.orderBy("id").collect()] == want
+def test_filter_data(spark, head, n_head, n_tail, want):
+    got = position.filter_data(spark.range(10), ["id"], head, n_head, n_tail)
+    assert [r.id for r in got.orderBy("id").collect()] == want
+
+
+def test_null_keys_come_first_in_slices_and_last_in_values(spark):
+    df = spark.range(20).select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 3).alias("k"))
+    want = [r.id for r in df.orderBy("k", "id").collect()]
+    for a, b in ((0, 3), (2, 9), (None, -4), (-4, None), (5, 99), (None, None)):
+        assert {r.id for r in position.slice_rows(df, ["k", "id"], a, b).collect()} == set(want[a:b])
+    by_value = [r.id for r in df.orderBy(F.desc("k"), "id").collect()]
+    for share in (0, 0.1, 0.8, 1.0):
+        got = {r.id for r in position.skip_top_share(df, "k", "id", share).collect()}
+        assert got == set(by_value[int(share * 20):])
 
 
 def test_filter_data_needs_exactly_one_size(spark):

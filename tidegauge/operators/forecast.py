@@ -89,13 +89,14 @@ def _solve_grid(combos: list[tuple[int, int]], max_p: int, exact: bool = False):
     Coefficients come back in the units of the series. Orders above the caps of a series (or, if
     ``exact``, other than them) are left out.
     """
-    def solve(g, n, mean, scale, p_cap, q_cap) -> pd.Series:
+    def solve(g, mean, scale, p_cap, q_cap) -> pd.Series:
         import numpy as np
         out = []
-        for flat, rows, mu, s, p_top, q_top in zip(g, n, mean, scale, p_cap, q_cap):
+        for flat, mu, s, p_top, q_top in zip(g, mean, scale, p_cap, q_cap):
             fits = []
             k = 0 if flat is None else int(round(math.sqrt(len(flat))))
             m = np.asarray(flat if k else [], dtype=float).reshape(k, k)
+            rows = int(round(m[0, 0])) if k else 0  # the constant's square: rows that took part
             for p, q in combos if k else ():
                 cols = [0] + list(range(1, 1 + p)) + list(range(1 + max_p, 1 + max_p + q))
                 if p > p_top or q > q_top or rows <= len(cols) or exact and (p, q) != (p_top, q_top):
@@ -111,9 +112,9 @@ def _solve_grid(combos: list[tuple[int, int]], max_p: int, exact: bool = False):
 
     names = ["p", "q", "n", "aic", "sigma2", "const", "phi", "theta"]
 
-    def as_dicts(g: pd.Series, n: pd.Series, mean: pd.Series, scale: pd.Series, p_cap: pd.Series,
+    def as_dicts(g: pd.Series, mean: pd.Series, scale: pd.Series, p_cap: pd.Series,
                  q_cap: pd.Series) -> pd.Series:
-        return solve(g, n, mean, scale, p_cap, q_cap).map(lambda fits: [dict(zip(names, f)) for f in fits])
+        return solve(g, mean, scale, p_cap, q_cap).map(lambda fits: [dict(zip(names, f)) for f in fits])
     return F.pandas_udf(as_dicts, f"array<struct<{_struct(MODEL)}>>")
 
 
@@ -121,8 +122,11 @@ def _solve_grid(combos: list[tuple[int, int]], max_p: int, exact: bool = False):
 FRAME = ["_mean", "_scale", "_p", "_q"]
 
 
-def _solved(fits: DataFrame, solver) -> Column:
-    return solver("g", "n", *FRAME)
+def _vector(usable: Column, size: int, *parts: Column) -> Column:
+    """Row of a product matrix, constant first; zeros, which add nothing, where it is not usable. So
+    a series without a usable row keeps its place without a second look at the data."""
+    x = F.concat(F.array(F.lit(1.0)), *parts)
+    return F.when(usable, x).otherwise(F.array_repeat(F.lit(0.0), size)).alias("x")
 
 
 def _struct(ddl: str) -> str:
@@ -190,12 +194,12 @@ def _with_innovations(df: DataFrame, keys: list[str], ts: str, q: int,
     lagged = _framed(with_lags(df, "_w", long_order, keys, ts, "_far"), "_w", keys).withColumns(
         {"_p": order, "_q": F.lit(0)})
     usable = complete("_far", F.col("_p")) & F.col("_w").isNotNull()
-    x = F.concat(F.array(F.lit(1.0)), _scaled("_far", F.col("_mean"), F.col("_p")),
-                 F.array((F.col("_w") - F.col("_mean")) / F.col("_scale")))
+    x = _vector(usable, long_order + 2, _scaled("_far", F.col("_mean"), F.col("_p")),
+                F.array((F.col("_w") - F.col("_mean")) / F.col("_scale")))
     solver = _solve_grid([(k, 0) for k in range(1, long_order + 1)], long_order, exact=True)
-    fits = gram(lagged.where(usable).select(*keys, *FRAME, x.alias("x")), [*keys, *FRAME])
-    coef = fits.select(*keys, F.get(_solved(fits, solver), F.lit(0)).alias("_m"))
-    joined = null_safe_join(lagged, coef, list(keys), "left")
+    fits = gram(lagged.select(*keys, *FRAME, x), [*keys, *FRAME])
+    coef = fits.select(*keys, F.get(solver("g", *FRAME), F.lit(0)).alias("_m"))
+    joined = null_safe_join(lagged, coef, list(keys))
     far = F.slice("_far", 1, F.size("_m.phi"))
     left = F.col("_w") - F.col("_m.const") - dot(F.col("_m.phi"), far)
     return joined.withColumn("_e", F.when(usable & F.col("_m").isNotNull(), left)).drop("_m", "_far", "_len", *FRAME)
@@ -231,13 +235,11 @@ def fit_grid(series: DataFrame, value: str, keys: list[str], ts: str, d: int,
     room = F.greatest(F.lit(0), F.floor((F.col("_len") - 4) / 6)).cast("int")
     rows = rows.withColumns({"_p": F.least(F.lit(max_p), room) if adapt else F.lit(max_p),
                              "_q": F.least(F.lit(max_q), room) if adapt else F.lit(max_q)})
-    used = rows.where(F.col("_w").isNotNull() & complete("_yl", F.col("_p")) & complete("_el", F.col("_q")))
-    x = F.concat(F.array(F.lit(1.0)), _scaled("_yl", F.col("_mean"), F.col("_p")),
-                 _scaled("_el", F.lit(0.0), F.col("_q")), F.array((F.col("_w") - F.col("_mean")) / F.col("_scale")))
-    fits = gram(used.select(*keys, *FRAME, x.alias("x")), [*keys, *FRAME])
-    models = fits.select(*keys, _solved(fits, _solve_grid(combos, max_p)).alias("_fits"))
-    every = null_safe_join(series.select(*keys).distinct(), models, list(keys), "left")
-    return every.select(*keys, F.inline_outer("_fits")).withColumn("d", F.lit(d))
+    usable = F.col("_w").isNotNull() & complete("_yl", F.col("_p")) & complete("_el", F.col("_q"))
+    x = _vector(usable, max_p + max_q + 2, _scaled("_yl", F.col("_mean"), F.col("_p")),
+                _scaled("_el", F.lit(0.0), F.col("_q")), F.array((F.col("_w") - F.col("_mean")) / F.col("_scale")))
+    fits = gram(rows.select(*keys, *FRAME, x), [*keys, *FRAME])
+    return fits.select(*keys, F.inline_outer(_solve_grid(combos, max_p)("g", *FRAME))).withColumn("d", F.lit(d))
 
 
 def fit_arima(series: DataFrame, value: str, keys: list[str], ts: str,
@@ -397,42 +399,43 @@ def adf(series: DataFrame, value: str, keys: list[str], ts: str,
     base = _framed(base, "_y", keys).withColumn("_limit", limit)
     # how wide the array of lags must be; which of them a series uses depends on that series alone
     width = max_lag if max_lag is not None else base.agg(F.max("_limit")).first()[0] or 0
-    rows = with_lags(base, "_dy", width, keys, ts, "_lags").where("_dy IS NOT NULL")
+    rows = with_lags(base, "_dy", width, keys, ts, "_lags")
 
     def design(df: DataFrame, lags: str) -> DataFrame:
-        x = F.concat(F.array(F.lit(1.0), (F.col("_prev") - F.col("_mean")) / F.col("_scale")),
-                     _scaled("_lags", F.lit(0.0), F.col(lags)), F.array(F.col("_dy") / F.col("_scale")))
-        return df.select(*keys, lags, x.alias("x"))
+        usable = F.col("_dy").isNotNull() & complete("_lags", F.col(lags))
+        x = _vector(usable, width + 3, F.array((F.col("_prev") - F.col("_mean")) / F.col("_scale")),
+                    _scaled("_lags", F.lit(0.0), F.col(lags)), F.array(F.col("_dy") / F.col("_scale")))
+        return df.select(*keys, lags, x)
 
-    grams = gram(design(rows.where(complete("_lags", F.col("_limit"))), "_limit"), [*keys, "_limit"])
+    grams = gram(design(rows, "_limit"), [*keys, "_limit"])
 
-    def choose(g: pd.Series, n: pd.Series, limit: pd.Series) -> pd.Series:
+    def choose(g: pd.Series, limit: pd.Series) -> pd.Series:
         import numpy as np
         out = []
-        for flat, rows_, top in zip(g, n, limit):
+        for flat, top in zip(g, limit):
             k = int(round(math.sqrt(len(flat))))
             m = np.asarray(flat, dtype=float).reshape(k, k)
-            best = (math.inf, 0)
-            for lag in range(0 if search else int(top), int(top) + 1):
+            rows_, best = m[0, 0], (math.inf, 0)
+            for lag in () if rows_ == 0 else range(0 if search else int(top), int(top) + 1):
                 _, rss = _least_squares(m, list(range(2 + lag)))
                 best = min(best, (rows_ * math.log(max(rss, 1e-300) / rows_) + 2 * (2 + lag), lag))
             out.append(best[1])
         return pd.Series(out)
 
-    lag_of = grams.select(*keys, F.pandas_udf(choose, "int")("g", "n", "_limit").alias("used_lag"))
-    chosen = null_safe_join(rows, lag_of, list(keys)).where(complete("_lags", F.col("used_lag")))
-    final = gram(design(chosen, "used_lag"), [*keys, "used_lag"])
+    lag_of = grams.select(*keys, F.pandas_udf(choose, "int")("g", "_limit").alias("used_lag"))
+    final = gram(design(null_safe_join(rows, lag_of, list(keys)), "used_lag"), [*keys, "used_lag"])
 
     stat_names = ["statistic", "p_value", "used_lag", "n_obs", *CRITICAL]
     fixed = (TAU_STAR, TAU_MIN, TAU_MAX, list(SMALL_P), list(LARGE_P), dict(CRITICAL))
 
-    def test(g: pd.Series, n: pd.Series, lag: pd.Series) -> pd.DataFrame:
+    def test(g: pd.Series, lag: pd.Series) -> pd.DataFrame:
         import numpy as np
         star, low, high, small, large, critical = fixed
         out = []
-        for flat, rows_, lag_ in zip(g, n, lag):
+        for flat, lag_ in zip(g, lag):
             k = int(round(math.sqrt(len(flat))))
             m = np.asarray(flat, dtype=float).reshape(k, k)
+            rows_ = int(round(m[0, 0]))
             cols = list(range(2 + int(lag_)))
             xtx = m[np.ix_(cols, cols)]
             tau = math.nan
@@ -451,14 +454,13 @@ def adf(series: DataFrame, value: str, keys: list[str], ts: str,
                 z = sum(c * tau ** i for i, c in enumerate(poly))
                 prob = 0.5 * math.erfc(-z / math.sqrt(2.0))
             out.append([tau, prob, int(lag_), int(rows_)] + [
-                sum(c / rows_ ** i for i, c in enumerate(cs)) for cs in critical.values()])
+                sum(c / rows_ ** i for i, c in enumerate(cs)) if rows_ else math.nan for cs in critical.values()])
         return pd.DataFrame(out, columns=stat_names)
 
     ddl = "statistic double, p_value double, used_lag int, n_obs bigint, " + ", ".join(
         f"{c} double" for c in CRITICAL)
-    tested = final.select(*keys, F.pandas_udf(test, ddl)("g", "n", "used_lag").alias("_t"))
-    every = null_safe_join(series.select(*keys).distinct(), tested, list(keys), "left")
-    return every.select(*keys, "_t.*").withColumn("stationary", check_stationarity())
+    tested = final.select(*keys, F.pandas_udf(test, ddl)("g", "used_lag").alias("_t"))
+    return tested.select(*keys, "_t.*").withColumn("stationary", check_stationarity())
 
 
 def check_stationarity(p_value: str = "p_value") -> Column:

@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegauge.operators.joins import null_safe_join
 from tidegauge.session import spool
 
-#: Up to this many rows, head/tail cut-offs use Spark's bounded top-k; beyond it, positions.
-TOP_K_ROWS = 100_000
-
 
 def with_position(df: DataFrame, order: list, name: str = "pos", keys: list[str] = ()) -> DataFrame:
     """Zero-based position of each row in ``order``, within ``keys`` when given.
@@ -44,24 +41,38 @@ def with_position(df: DataFrame, order: list, name: str = "pos", keys: list[str]
             .withColumn(name, F.col(name) - F.col("_first")).drop("_first"))
 
 
-def slice_rows(df: DataFrame, order: list, start: int | None = None,
-               stop: int | None = None) -> DataFrame:
-    """Positional slice ``[start:stop]`` in ``order``; negative bounds count from the end."""
-    numbered = with_position(df, order, "_pos")
-    size = df.agg(F.count(F.lit(1))).scalar()
+def _bound(value: int) -> Column:
+    return F.lit(value) if value >= 0 else F.greatest(F.lit(0), F.col("_size") + F.lit(value))
 
-    def bound(value: int) -> Column:
-        return F.lit(value) if value >= 0 else size + F.lit(value)
 
-    if start is not None:
-        numbered = numbered.where(F.col("_pos") >= bound(start))
-    if stop is not None:
-        numbered = numbered.where(F.col("_pos") < bound(stop))
-    return numbered.drop("_pos")
+def _edges(df: DataFrame, order: list, **at: Column) -> Column:
+    """Struct with the order key of the row at each position of ``at`` (over ``_size``, the number of
+    rows); null beyond the end. Only the order columns are put in order."""
+    names = [c for c in order if isinstance(c, str)] or df.columns
+    numbered = with_position(df.select(*names), order, "_pos").withColumn(
+        "_size", df.agg(F.count(F.lit(1))).scalar())
+    # struct comparison puts nulls first, as sorting does
+    key = F.struct(*names)
+    return numbered.agg(F.struct(*(F.min(F.when(F.col("_pos") == p, key)).alias(n) for n, p in at.items()))).scalar()
 
 
-def _reverse(order: list[str]) -> list[Column]:
-    return [F.col(c).desc() for c in order]
+def slice_rows(df: DataFrame, order: list[str], start: int | None = None,
+               stop: int | None = None) -> DataFrame:
+    """Positional slice ``[start:stop]`` in ``order``; negative bounds count from the end.
+
+    The rows at the bounds are found by position, the slice is a filter on the scan. ``order`` names
+    ascending columns, nulls first, and ends in a unique one.
+    """
+    cuts = {n: _bound(v) for n, v in (("start", start), ("stop", stop)) if v is not None}
+    if not cuts:
+        return df
+    cut = df.withColumn("_cut", _edges(df, order, **cuts))
+    key = F.struct(*order)
+    if start is not None:
+        cut = cut.where(key >= F.col("_cut.start"))
+    if stop is not None:
+        cut = cut.where(F.coalesce(key < F.col("_cut.stop"), F.lit(True)))
+    return cut.drop("_cut")
 
 
 def filter_data(df: DataFrame, order: list[str], head: bool = True,
@@ -70,7 +81,7 @@ def filter_data(df: DataFrame, order: list[str], head: bool = True,
 
     ``head`` with ``num_rows_head`` keeps the first n, with ``num_rows_tail`` all but the last n;
     not ``head`` keeps all after the first n, or the last n. Exactly one size must be given.
-    ``order`` holds ascending columns without nulls and ends in a unique one.
+    ``order`` holds ascending columns, nulls first, and ends in a unique one.
     """
     if (num_rows_head is None) == (num_rows_tail is None):
         raise ValueError("give exactly one of num_rows_head and num_rows_tail")
@@ -80,22 +91,8 @@ def filter_data(df: DataFrame, order: list[str], head: bool = True,
     from_start = num_rows_head is not None
     if n == 0:
         return df.where(F.lit(head != from_start))
-    keep_n = head == from_start
-    if n > TOP_K_ROWS:
-        if from_start:
-            return slice_rows(df, order, None, n) if head else slice_rows(df, order, n)
-        return slice_rows(df, order, None, -n) if head else slice_rows(df, order, -n)
-    edge_rows = df.orderBy(*(order if from_start else _reverse(order))).limit(n)
-    if keep_n:
-        return edge_rows
-    # everything beyond the edge: one bounded top-k, then a plain filter on the scan
-    key = F.struct(*order)
-    edge = edge_rows.agg(F.max(key) if from_start else F.min(key)).scalar()
-    # the first column alone is a plain comparison that the scan can use to skip row groups
-    lead = F.col(order[0])
-    if from_start:
-        return df.where((lead >= edge[order[0]]) & (key > edge))
-    return df.where((lead <= edge[order[0]]) & (key < edge))
+    cut = n if from_start else -n
+    return slice_rows(df, order, None, cut) if head else slice_rows(df, order, cut)
 
 
 def reset_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
@@ -103,26 +100,29 @@ def reset_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     return with_position(df, order, name)
 
 
-def split_by_share(df: DataFrame, order: list, share: float,
-                   name: str = "part") -> DataFrame:
+def _tagged(df: DataFrame, order: list[str], at: Column, name: str) -> DataFrame:
+    """``train`` before the row at a position, ``test`` from it on."""
+    cut = df.withColumn("_cut", _edges(df, order, at=at))
+    before = F.coalesce(F.struct(*order) < F.col("_cut.at"), F.lit(True))
+    return cut.withColumn(name, F.when(before, "train").otherwise("test")).drop("_cut")
+
+
+def split_by_share(df: DataFrame, order: list[str], share: float, name: str = "part") -> DataFrame:
     """Tag the first ``int(share * n)`` rows ``train`` and the rest ``test``."""
-    numbered = with_position(df, order, "_pos")
-    size = df.agg(F.floor(F.lit(share) * F.count(F.lit(1)))).scalar()
-    return (numbered.withColumn(name, F.when(F.col("_pos") < size, "train").otherwise("test"))
-            .drop("_pos"))
+    return _tagged(df, order, F.floor(F.lit(share) * F.col("_size")), name)
 
 
-def split_last(df: DataFrame, order: list, test_rows: int, name: str = "part") -> DataFrame:
+def split_last(df: DataFrame, order: list[str], test_rows: int, name: str = "part") -> DataFrame:
     """Tag the last ``test_rows`` rows ``test`` and all before them ``train``."""
-    numbered = with_position(df, order, "_pos")
-    size = df.agg(F.count(F.lit(1))).scalar()
-    return (numbered.withColumn(
-        name, F.when(F.col("_pos") < size - F.lit(test_rows), "train").otherwise("test"))
-        .drop("_pos"))
+    return _tagged(df, order, F.greatest(F.lit(0), F.col("_size") - F.lit(test_rows)), name)
 
 
 def skip_top_share(df: DataFrame, value: str, tie: str, share: float = 0.01) -> DataFrame:
-    """Drop the ``floor(share * n)`` rows with the largest values."""
-    numbered = with_position(df, [F.col(value).desc(), F.col(tie)], "_pos")
-    skipped = df.agg(F.floor(F.lit(share) * F.count(F.lit(1)))).scalar()
-    return numbered.where(F.col("_pos") >= skipped).drop("_pos")
+    """Drop the ``floor(share * n)`` rows with the largest values; nulls count as the smallest."""
+    pairs = df.select(F.col(value).alias("_v"), F.col(tie).alias("_t"))
+    edge = _edges(pairs, [F.col("_v").desc(), F.col("_t")], at=F.floor(F.lit(share) * F.col("_size")))
+    cut = df.withColumn("_cut", edge)
+    v, last = F.col(value), F.col("_cut.at._v")
+    below = (v < last) | v.isNull() & last.isNotNull()
+    kept = F.coalesce(below, F.lit(False)) | v.eqNullSafe(last) & (F.col(tie) >= F.col("_cut.at._t"))
+    return cut.where(kept).drop("_cut")

@@ -11,18 +11,18 @@ from tidegauge.queries.common import SQL_SERIES, SQL_Z, class_series, lag_predic
 from tidegauge.sources.tables import table
 
 SQL_YEARS = """a AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders
-  WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+  WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1),
 b AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS v FROM orders
-  WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1)"""
+  WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1)"""
 
 
 def years(spark, folder):
-    """Spend per customer in the first and in the last year; many customers miss one of them."""
+    """Spend per customer before 1999 and from then on; some customers miss one of them."""
     o = table(spark, folder, "orders")
     spend = F.round(F.sum("o_totalprice"), 2).alias("v")
     key = F.col("o_custkey").alias("k")
-    first = o.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    last = o.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    first = o.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    last = o.where(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
     return first.groupBy(key).agg(spend), last.groupBy(key).agg(spend)
 
 
@@ -43,26 +43,23 @@ def aligned_add_fill(spark, folder):
 
 @query("jon03_aligned_assign", f"""WITH {SQL_SERIES},
 neg AS (SELECT ts_bin, cnt FROM series WHERE sentiment = -1)
-SELECT s.ts_bin, s.cnt, coalesce(neg.cnt, 0)::BIGINT AS negative
-FROM series s LEFT JOIN neg ON neg.ts_bin = s.ts_bin WHERE s.sentiment = 1""")
+SELECT s.sentiment, s.ts_bin, s.cnt, coalesce(neg.cnt, 0)::BIGINT AS negative
+FROM series s LEFT JOIN neg ON neg.ts_bin = s.ts_bin""")
 def assign(spark, folder):
     series = class_series(spark, folder)
-    pos = series.where("sentiment = 1").select("ts_bin", "cnt")
     neg = series.where("sentiment = -1")
-    return A.assign(pos, neg, ["ts_bin"], "cnt", "negative", 0)
+    return A.assign(series.select("sentiment", "ts_bin", "cnt"), neg, ["ts_bin"], "cnt", "negative", 0)
 
 
 @query("jon04_reindex", f"""WITH {SQL_SERIES},
-pos AS (SELECT ts_bin FROM series WHERE sentiment = 1),
-neg AS (SELECT ts_bin + INTERVAL 3 HOUR AS ts_bin, cnt::DOUBLE AS cnt FROM series WHERE sentiment = -1)
-SELECT pos.ts_bin, neg.cnt FROM pos LEFT JOIN neg ON neg.ts_bin = pos.ts_bin""")
+m AS (SELECT sentiment, ts_bin + INTERVAL 3 HOUR AS ts_bin, cnt::DOUBLE AS cnt FROM series)
+SELECT s.sentiment, s.ts_bin, m.cnt FROM series s LEFT JOIN m ON m.ts_bin = s.ts_bin AND m.sentiment = s.sentiment""")
 def reindex(spark, folder):
     series = class_series(spark, folder)
-    target = series.where("sentiment = 1")
-    moved = series.where("sentiment = -1").select(
-        (F.col("ts_bin") + F.expr("INTERVAL 3 HOURS")).alias("ts_bin"),
+    moved = series.select(
+        "sentiment", (F.col("ts_bin") + F.expr("INTERVAL 3 HOURS")).alias("ts_bin"),
         F.col("cnt").cast("double").alias("cnt"))
-    return A.reindex(moved, target, ["ts_bin"], "cnt")
+    return A.reindex(moved, series, ["sentiment", "ts_bin"], "cnt")
 
 
 @query("jon05_concat_columns", """WITH c AS (SELECT c_custkey,

@@ -80,6 +80,16 @@ def rule_predictions(spark, folder):
         "doc_id", F.col("quality").alias("y"), (F.col("n_chars") > 500).cast("int").alias("p"))
 
 
+@query("ml03_mean_probability", """SELECT lang, round(count(*) / (SELECT count(*) FROM documents), 3) AS share
+FROM documents GROUP BY 1""")
+def mean_probability(spark, folder):
+    """With a free intercept the mean predicted probability of a class is its share."""
+    docs = documents(spark, folder)
+    scored = M.predict(language_model(spark, folder), docs, LANGS)
+    means = scored.agg(*(F.avg(F.get("scores", F.lit(i))).alias(c) for i, c in enumerate(LANGS)))
+    return means.unpivot([], LANGS, "lang", "share").withColumn("share", F.round("share", 3))
+
+
 @query("ml04_accuracy", f"WITH {SQL_PRED} SELECT round(avg((y = p)::INTEGER), 6) AS accuracy FROM p")
 def accuracy(spark, folder):
     return M.accuracy(rule_predictions(spark, folder), "y", "p").select(
@@ -150,8 +160,7 @@ def report(spark, folder):
 
 @query("ml08_predict_text")
 def predict(spark, folder):
-    posts = table(spark, folder, "conversations").where("role = 'user'").select(
-        "conv_id", "turn", "text")
+    posts = table(spark, folder, "conversations").select("conv_id", "turn", "text")
     return M.predict(language_model(spark, folder), posts, LANGS).select(
         "conv_id", "turn", "label")
 
@@ -214,6 +223,13 @@ def early_stop(spark, folder):
         F.pow(F.col("prediction") - F.col("l_extendedprice"), 2))).alias("rmse"))
 
 
+@query("ml13_codes_are_uncorrelated", """SELECT count(*) AS n, 0.0::DOUBLE AS covariance FROM embeddings""")
+def uncorrelated(spark, folder):
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return M.encode_2d(e, "embedding").agg(F.count(F.lit(1)).alias("n"),
+                                           F.abs(F.round(F.covar_pop("x", "y"), 6)).alias("covariance"))
+
+
 @query("ml13_encode_2d")
 def encode(spark, folder):
     return M.encode_2d(table(spark, folder, "embeddings").select("vec_id", "embedding"),

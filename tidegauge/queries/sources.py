@@ -154,10 +154,13 @@ FROM documents GROUP BY 1""")
 def text_corpus(spark, folder):
     path = scratch(spark, "corpus")
     docs = table(spark, folder, "documents").select("lang", "text")
-    # one text per line, JSON-escaped, so every partition writes whole texts
+    # files of many texts, one JSON-escaped text per line; each file is read as a whole
     docs.select("lang", F.to_json(F.struct("text")).alias("value")).write.partitionBy("lang").text(path)
-    lines = spark.read.text(path).select("lang", F.from_json("value", "text string").alias("_t"))
-    return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"),
+    files = TB.read_text_corpus(spark, path)
+    lines = files.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), F.explode(
+        F.split("text", "\n")).alias("_line")).where("_line != ''")
+    texts = lines.select("lang", F.from_json("_line", "text string").alias("_t"))
+    return texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"),
                                      F.sum(F.length("_t.text")).alias("chars"))
 
 

@@ -60,11 +60,10 @@ def replay(spark, folder):
 
 @query("str03_post_collector", """SELECT conv_id, turn, 'neutral' AS airline_sentiment, 0.6771::DOUBLE AS confidence,
   'American' AS airline, 'johnydoe' AS name, text, 'Washington, DC' AS tweet_location
-FROM conversations WHERE role = 'user'""")
+FROM conversations""")
 def post_collector(spark, folder):
     from tidegauge.sources.events import EVENT_COLUMNS, from_message
-    posts = table(spark, folder, "conversations").where("role = 'user'").withColumn(
-        "sentiment", F.lit("neutral"))
+    posts = table(spark, folder, "conversations").withColumn("sentiment", F.lit("neutral"))
     at = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
     path = scratch(spark, "posts")
     I.post_message(posts, "text", "sentiment", at, ["conv_id", "turn"]).write.parquet(path)
@@ -117,8 +116,27 @@ def stream_trailing(spark, folder):
     return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar()).drop("batch_id")
 
 
+@query("str07_stream_trailing_quiet_class", f"""WITH {SQL_SERIES.replace("FROM events)", "FROM events WHERE event_type <> 'error' OR ts < (SELECT min(ts) + INTERVAL 2 DAY FROM events))")},
+neg AS (SELECT * FROM series WHERE sentiment = -1), l AS (SELECT max(ts_bin) AS last FROM neg)
+SELECT coalesce(sum(cnt) FILTER (ts_bin >= last - INTERVAL 1 MINUTE), 0)::BIGINT AS "1min",
+  coalesce(sum(cnt) FILTER (ts_bin >= last - INTERVAL 10 MINUTE), 0)::BIGINT AS "10min",
+  coalesce(sum(cnt) FILTER (ts_bin >= last - INTERVAL 60 MINUTE), 0)::BIGINT AS "60min",
+  false AS anomaly_found, false AS last_bin_anomaly FROM neg, l""")
+def stream_trailing_quiet(spark, folder):
+    """The class falls silent after two days; its sums stay those of its last hour."""
+    events = labelled_events(spark, folder)
+    end = events.agg(F.min("ts") + F.expr("INTERVAL 2 DAYS")).scalar()
+    loud = events.where((F.col("event_type") != "error") | (F.col("ts") < end))
+    path, out, summary = scratch(spark, "messages"), scratch(spark, "counts"), scratch(spark, "summary")
+    I.replay(loud.repartitionByRange(4, "ts"), "ts", [c for c, _ in COLUMNS], path)
+    counts = N.stream_counts(I.parse(I.read_messages(spark, path, 2), COLUMNS), "ts", FREQ, KEY, "60 days")
+    I.run_available(N.trailing_stats(counts, out, summary, scratch(spark, "ckpt"), KEY, "sentiment = -1", FREQ))
+    rows = spark.read.parquet(summary)
+    return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
 @query("str08_stream_anomalies", f"""WITH {SQL_FLAGS}
-SELECT b.sentiment, b.ts_bin, b.cnt, coalesce(f.anomaly, 0) AS anomaly FROM bins b
+SELECT b.sentiment, b.ts_bin, b.cnt, f.anomaly FROM bins b
 LEFT JOIN flags f ON f.sentiment = b.sentiment AND f.ts_bin = b.ts_bin""")
 def stream_anomalies(spark, folder):
     z = anomaly.prepare(labelled_events(spark, folder))
@@ -135,14 +153,47 @@ def stream_anomalies(spark, folder):
                "ts_bin")
 
 
-@query("str09_stream_scoring")
-def stream_scoring(spark, folder):
+def scoring_model(spark, folder):
     docs = table(spark, folder, "documents").select(
         "text", map_values("lang", LANG_ID).alias("target"))
-    model = fit_text_classifier(docs, "text", "target", max_iter=50)
+    return fit_text_classifier(docs, "text", "target", max_iter=50)
+
+
+@query("str03_scored_posts", """SELECT count(*) AS posts, 0::BIGINT AS changed FROM conversations""")
+def scored_posts(spark, folder):
+    """Every post is scored by the model, published with its label and parsed again."""
+    from tidegauge.sources.events import EVENT_COLUMNS, from_message
+    posts = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    scored = I.score_posts(posts, scoring_model(spark, folder), LANGS)
+    path = scratch(spark, "posts")
+    at = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    I.post_message(scored, "text", "label", at, ["conv_id", "turn"]).write.parquet(path)
+    parsed = from_message(spark.read.schema(I.MESSAGE_SCHEMA).parquet(path), "body", EVENT_COLUMNS[1:])
+    ids = scored.select(F.abs(F.xxhash64("conv_id", "turn")).alias("tweet_id"), "label")
+    both = ids.join(parsed, "tweet_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("posts"), F.count_if(
+        ~F.col("label").eqNullSafe(F.col("airline_sentiment"))).alias("changed"))
+
+
+@query("str09_stream_equals_batch", """SELECT count(*) AS texts, 0::BIGINT AS different FROM conversations""")
+def stream_equals_batch(spark, folder):
+    """Labels from the stream against those of one batch, under the same model."""
+    posts = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    path, out, model = scratch(spark, "posts"), scratch(spark, "scored"), scoring_model(spark, folder)
+    posts.write.parquet(path)
+    scored = I.score_texts(spark.readStream.schema(posts.schema).parquet(path), model, LANGS)
+    I.run_available(I.append_to_table(scored.select("conv_id", "turn", "label"), out, scratch(spark, "ckpt")))
+    batch = I.score_posts(posts, model, LANGS).select("conv_id", "turn", F.col("label").alias("want"))
+    both = batch.join(spark.read.parquet(out), ["conv_id", "turn"], "full")
+    return both.agg(F.count(F.lit(1)).alias("texts"), F.count_if(
+        ~F.col("label").eqNullSafe(F.col("want"))).alias("different"))
+
+
+@query("str09_stream_scoring")
+def stream_scoring(spark, folder):
+    model = scoring_model(spark, folder)
     path = scratch(spark, "posts")
-    posts = table(spark, folder, "conversations").where("role = 'user'").select(
-        "conv_id", "turn", "text")
+    posts = table(spark, folder, "conversations").select("conv_id", "turn", "text")
     posts.write.parquet(path)
     out = scratch(spark, "scored")
     stream = spark.readStream.schema(posts.schema).parquet(path)

@@ -101,6 +101,11 @@ def score_texts(stream: DataFrame, model: PipelineModel, labels: list[str]) -> D
     return predict(model, stream, labels)
 
 
+def score_posts(posts: DataFrame, model: PipelineModel, labels: list[str]) -> DataFrame:
+    """Posts with the label under which they are published."""
+    return predict(model, posts, labels).select(*posts.columns, "label")
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process everything there is, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

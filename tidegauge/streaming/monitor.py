@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidegauge.operators.timeseries import fill_gaps, summary_row
@@ -26,8 +26,8 @@ def write_updates(counts: DataFrame, path: str, checkpoint: str,
                   after=None) -> DataStreamWriter:
     """Changed bins of every micro-batch, under ``day=.../batch_id=...``.
 
-    A repeated batch replaces only its own folders. ``after(spark, batch_id, newest)`` runs once
-    the batch is durable; ``newest`` is the newest bin of the batch, or None when it was empty.
+    A repeated batch replaces only its own folders. ``after(spark, batch_id, rows)`` runs once the
+    batch is durable; ``rows`` reads back what it wrote.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         dated = batch.withColumn("day", F.to_date("ts_bin")).withColumn("batch_id", F.lit(batch_id))
@@ -35,7 +35,10 @@ def write_updates(counts: DataFrame, path: str, checkpoint: str,
         dated.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "day", "batch_id").parquet(path)
         if after is not None:
-            after(batch.sparkSession, batch_id, batch.agg(F.max("ts_bin")).first()[0])
+            # what was written, not the batch again: that would run its aggregation twice
+            spark = batch.sparkSession
+            stored = spark.read.schema(dated.schema).parquet(path).where(F.col("batch_id") == batch_id)
+            after(spark, batch_id, stored)
 
     return (counts.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint))
@@ -59,9 +62,20 @@ def trailing_stats(counts: DataFrame, counts_path: str, summary_path: str, check
                    keys: list[str], only: str, freq: str) -> DataStreamWriter:
     """Update counts, then write the 1, 10 and 60 minute sums of the rows matching ``only``.
 
-    Only the day folders that can hold the last hour are read, however long the history.
+    The sums end at the newest bin of those rows, which may be long ago. Every batch writes the last
+    bin of each key, as of that batch, so that only the day folders which can hold the hour before
+    it are read, however long the history and however quiet the rows.
     """
-    def summarise(spark, batch_id: int, newest) -> None:
+    lasts_path = summary_path.rstrip("/") + "-last"
+
+    def summarise(spark, batch_id: int, rows: DataFrame) -> None:
+        seen = rows.select(*keys, "ts_bin")
+        if batch_id > 0:
+            seen = seen.unionByName(spark.read.schema(seen.schema).parquet(per_batch(lasts_path, batch_id - 1)))
+        lasts = seen.groupBy(*keys).agg(F.max("ts_bin").alias("ts_bin"))
+        lasts.write.mode("overwrite").parquet(per_batch(lasts_path, batch_id))
+        stored = spark.read.schema(lasts.schema).parquet(per_batch(lasts_path, batch_id))
+        newest = stored.where(only).agg(F.max("ts_bin")).first()[0]
         if newest is None:
             return
         since = (newest - timedelta(days=1)).date()
@@ -75,17 +89,18 @@ def trailing_stats(counts: DataFrame, counts_path: str, summary_path: str, check
 def score_bins(counts: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """Flag streamed bins against stored ``keys, ts_bin, threshold, mean, sd``.
 
-    The stored table is the static side of a stream-static join; bins without a forecast pass
-    unflagged.
+    The stored table is the static side of a stream-static join; a bin without a threshold has a
+    null flag, which tells it from one that was scored and found normal.
     """
     joined = counts.join(limits, keys + ["ts_bin"], "left")
     z = (F.col("cnt") - F.col("mean")) / F.col("sd")
     return joined.withColumn("actualvalues", z).withColumn(
-        "anomaly", F.coalesce((z > F.col("threshold")).cast("int"), F.lit(0)))
+        "anomaly", (z > F.col("threshold")).cast("int"))
 
 
 def latest_flags(spark, path: str, keys: list[str]) -> DataFrame:
-    """Newest flag of every bin."""
-    w = Window.partitionBy(*keys, "ts_bin").orderBy(F.col("batch_id").desc())
-    return (spark.read.parquet(path).withColumn("_k", F.row_number().over(w))
-            .where("_k = 1").drop("_k"))
+    """Newest flag of every bin; versions of a bin are combined before they move."""
+    stored = spark.read.parquet(path)
+    rest = [c for c in stored.columns if c not in (*keys, "ts_bin")]
+    newest = stored.groupBy(*keys, "ts_bin").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
+    return newest.select(*keys, "ts_bin", "_r.*")
