@@ -47,24 +47,28 @@ def chosen_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     nodes = messages.select("key", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     nodes = nodes.join(known, ["key", "parent"], "left").select(
         "key", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps"))
-    jumps = [spool(nodes)]
+    nodes = spool(nodes)
+    done, active = nodes.where("up IS NULL"), nodes.where("up IS NOT NULL")
+    jumps = [active]
     most = messages.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     # a path longer than the tree has messages runs in a circle
-    while (1 << (len(jumps) - 1)) <= most and not jumps[-1].where("up IS NOT NULL").isEmpty():
-        last = jumps[-1]
-        far = last.select("key", F.col("node").alias("up"), F.col("up").alias("_up"),
-                          F.col("score").alias("_score"), F.col("steps").alias("_steps"))
-        jumps.append(spool(last.join(far, ["key", "up"], "left").select(
-            "key", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))))
-    parents = jumps[0].where("up IS NOT NULL").select("key", F.col("up").alias("node"))
-    leaves = jumps[-1].where("up IS NULL").join(parents, ["key", "node"], "left_anti")
+    while (1 << (len(jumps) - 1)) <= most and not active.isEmpty():
+        far = active.unionByName(done).select("key", F.col("node").alias("up"), F.col("up").alias("_up"),
+                                              F.col("score").alias("_score"), F.col("steps").alias("_steps"))
+        moved = spool(active.join(far, ["key", "up"]).select(
+            "key", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"),
+            (F.col("steps") + F.col("_steps")).alias("steps")))
+        # messages whose path is known take no further part
+        done, active = done.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
+        jumps.append(active)
+    parents = jumps[0].select("key", F.col("up").alias("node"))
+    leaves = done.join(parents, ["key", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
     leaves = leaves.select("key", F.col("node").alias("leaf"), "steps", rank.alias("rank"))
     rows = (leaves if top is None else leaves.where(F.col("rank") <= top)).select(
         "key", "leaf", "rank", F.col("steps").alias("depth"), F.col("leaf").alias("node"))
     for k, jump in enumerate(jumps[:-1]):
-        step = jump.where("up IS NOT NULL").select("key", "node", "up")
+        step = jump.select("key", "node", "up")
         above = rows.join(step, ["key", "node"]).select(
             "key", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
         rows = rows.unionByName(above)
