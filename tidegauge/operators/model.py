@@ -21,6 +21,9 @@ from tidegauge.functions.text import TOKEN_PATTERN
 from tidegauge.operators.quantiles import totals_below
 from tidegauge.operators.text import MAX_TERMS, term_counts, vocabulary
 
+#: Training rows that one task of an optimiser pass reads; far fewer cost more to start than to read.
+ROWS_PER_PASS = 5000
+
 # Promotion thresholds on r2.
 MIN_R2, MIN_ABSOLUTE_GAIN, MIN_RELATIVE_GAIN = 0.5, 0.05, 0.05
 
@@ -59,21 +62,26 @@ def fit_text_classifier(docs: DataFrame, text: str, target: str, c: float = 1.0,
                         parts: int | None = None) -> PipelineModel:
     """Multinomial logistic regression on tf-idf with L2 strength 1 / (C n).
 
-    Training rows are dealt to ``parts`` partitions (default: one per core), however the files lie.
+    Texts are dealt to ``parts`` partitions (default: one per core), however the files lie.
     """
-    vectoriser = fit_vectoriser(docs, text, max_terms)
-    n = docs.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=target, family="multinomial",
-                            maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            standardization=False)
-    train = vectoriser.transform(docs.select(text, target)).select(
-        "features", F.col(target).cast("double"))
-    # the optimiser passes over the training rows once per iteration
-    train = train.repartition(parts or docs.sparkSession.sparkContext.defaultParallelism).persist()
+    spark = docs.sparkSession
+    # texts are dealt out once; the vocabulary and the training rows are both made from them
+    dealt = docs.select(text, target).repartition(parts or spark.sparkContext.defaultParallelism).persist()
     try:
-        model = lr.fit(train)
+        vectoriser = fit_vectoriser(dealt, text, max_terms)
+        n = dealt.count()
+        lr = LogisticRegression(featuresCol="features", labelCol=target, family="multinomial",
+                                maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
+                                standardization=False)
+        # the optimiser passes over the training rows once per iteration
+        train = vectoriser.transform(dealt).select("features", F.col(target).cast("double"))
+        train = train.coalesce(-(-n // ROWS_PER_PASS)).persist() if n else train.persist()
+        try:
+            model = lr.fit(train)
+        finally:
+            train.unpersist()
     finally:
-        train.unpersist()
+        dealt.unpersist()
     return PipelineModel(stages=[*vectoriser.stages, model])
 
 

@@ -1,9 +1,12 @@
-"""Events to anomaly flags as one lazy plan."""
+"""Events to anomaly flags: preparation, training and inference as lazy plans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
 
+from pyspark.sql import DataFrame, functions as F
+
+from tidegauge.operators.forecast import adf, fit_arima, forecast, generate_forecasts
 from tidegauge.operators.stats import detect_anomalies, standardise
 from tidegauge.operators.timeseries import resample_counts
 
@@ -27,3 +30,37 @@ def flag(series: DataFrame, predictions: DataFrame, key: str = "sentiment",
          size: int = TRAINING_WINDOW) -> DataFrame:
     """Flags for the last ``size`` predictions of every class."""
     return detect_anomalies(predictions, series, [key], "ts_bin", size, "last")
+
+
+class Training(NamedTuple):
+    """What training leaves behind: unit-root tests, models, stored forecasts, flags."""
+    tests: DataFrame
+    models: DataFrame
+    forecasts: DataFrame
+    flags: DataFrame
+
+
+def train(series: DataFrame, order: tuple[int, int, int], total: int, key: str = "sentiment",
+          size: int = TRAINING_WINDOW, prior: DataFrame | None = None) -> Training:
+    """Test and fit every class of a prepared series, forecast from the end of the training share by
+    sliding refits, and flag what was forecast. Earlier forecasts, if given, come first."""
+    keys = [key]
+    predicted = generate_forecasts(series, "z", keys, "ts_bin", BIN, order, SLIDING_WINDOW, total,
+                                   TRAINING_SHARE).select(key, "ts_bin", "forecast")
+    if prior is not None:
+        ended = prior.groupBy(key).agg(F.max("ts_bin").alias("_last"))
+        newer = predicted.join(ended, key, "left").where("_last IS NULL OR ts_bin > _last").drop("_last")
+        predicted = prior.select(key, "ts_bin", "forecast").unionByName(newer)
+    return Training(adf(series, "z", keys, "ts_bin"), fit_arima(series, "z", keys, "ts_bin", order), predicted,
+                    flag(series, predicted, key, size))
+
+
+def infer(series: DataFrame, stored: DataFrame, models: DataFrame, order: tuple[int, int, int],
+          key: str = "sentiment", steps: int = FUTURE_STEPS, size: int = TRAINING_WINDOW) -> DataFrame:
+    """Flags from stored forecasts up to their last bin and, after it, forecasts of stored models
+    that start at the end of the series."""
+    last = stored.groupBy(key).agg(F.max("ts_bin").alias("_last"))
+    ahead = forecast(series, models, "z", [key], "ts_bin", BIN, order, steps)
+    newer = ahead.join(last, key, "left").where("_last IS NULL OR ts_bin > _last")
+    every = stored.select(key, "ts_bin", "forecast").unionByName(newer.select(key, "ts_bin", "forecast"))
+    return flag(series, every, key, size)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import forecast as M, stats as S
+from tidegauge.plans import anomaly
 from tidegauge.operators.timeseries import log_difference, resample_counts
 from tidegauge.queries import query
 from tidegauge.queries.common import SQL_MONTHLY, SQL_Z, monthly_orders, z_series
+from tidegauge.queries.statistics import SQL_FLAGS
+from tidegauge.session import spool
 from tidegauge.sources.tables import table
 
 KEY = ["sentiment"]
@@ -371,3 +374,53 @@ def per_user(spark, folder):
 @query("sta17_per_user_forecast_ar3")
 def per_user_ar3(spark, folder):
     return _iterated(hourly(spark, folder, "user_id"), "user_id", (3, 0, 0), 6)
+
+
+SQL_SLIDING = """fn AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) - 1 AS pos,
+  count(*) OVER (PARTITION BY sentiment) AS len FROM zs),
+fw AS (SELECT unnest(generate_series(0, {last})) AS window_id),
+fr AS (SELECT fn.sentiment, window_id, ts_bin, z, lag(z) OVER (PARTITION BY fn.sentiment, window_id
+    ORDER BY ts_bin) AS x FROM fn JOIN fw ON fn.pos >= floor(0.73::DOUBLE * fn.len) + window_id - 144
+    AND fn.pos < floor(0.73::DOUBLE * fn.len) + window_id),
+ff AS (SELECT sentiment, window_id, regr_intercept(z, x) AS a, regr_slope(z, x) AS b,
+  max(ts_bin) + INTERVAL 10 MINUTE AS ts_bin, max_by(z, ts_bin) AS z FROM fr GROUP BY 1, 2)"""
+SQL_PREDICTED = "pred AS (SELECT sentiment, ts_bin, a + b * z AS p FROM ff)"
+SQL_PERSISTED = "pred AS (SELECT sentiment, ts_bin, lag(z) OVER (PARTITION BY sentiment ORDER BY ts_bin) AS p FROM zs)"
+SQL_ROUNDED_FLAGS = """SELECT sentiment, ts_bin, round(fittedvalues, 5) AS fittedvalues, round(threshold, 5) AS threshold,
+  anomaly, round(actualvalues, 5) AS actualvalues FROM flags"""
+assert SQL_PERSISTED in SQL_FLAGS
+
+
+def _flags(df):
+    return rounded(df, "fittedvalues", "threshold", "actualvalues", digits=5).drop("median_values")
+
+
+@query("sta21_training_pipeline", "WITH " + SQL_FLAGS.replace(
+    SQL_PERSISTED, SQL_SLIDING.format(last=199) + ",\n" + SQL_PREDICTED) + SQL_ROUNDED_FLAGS)
+def training_pipeline(spark, folder):
+    """Resample, standardise, test, fit, forecast by sliding refits, flag."""
+    return _flags(anomaly.train(z_series(spark, folder), AR1, 200).flags)
+
+
+@query("sta21_training_rebuild", "WITH " + SQL_FLAGS.replace(
+    SQL_PERSISTED, SQL_SLIDING.format(last=199) + ",\n" + SQL_PREDICTED) + SQL_ROUNDED_FLAGS)
+def training_rebuild(spark, folder):
+    """Training goes on from stored forecasts: those stay, only what follows them is new."""
+    z = z_series(spark, folder)
+    stored = spool(anomaly.train(z, AR1, 120).forecasts)
+    return _flags(anomaly.train(z, AR1, 200, prior=stored).flags)
+
+
+@query("sta21_inference_pipeline", "WITH " + SQL_FLAGS.replace(
+    SQL_PERSISTED, SQL_SLIDING.format(last=149) + """,
+fl AS (SELECT sentiment, ts_bin, z, lag(z) OVER (PARTITION BY sentiment ORDER BY ts_bin) AS x FROM zs),
+fm AS (SELECT sentiment, regr_intercept(z, x) AS a, regr_slope(z, x) AS b, max(ts_bin) AS last,
+  max_by(z, ts_bin) AS z FROM fl GROUP BY 1),
+pred AS (SELECT sentiment, ts_bin, a + b * z AS p FROM ff
+  UNION ALL SELECT sentiment, last + INTERVAL 10 MINUTE, a + b * z FROM fm
+  UNION ALL SELECT sentiment, last + INTERVAL 20 MINUTE, a + b * (a + b * z) FROM fm)""") + SQL_ROUNDED_FLAGS)
+def inference_pipeline(spark, folder):
+    """Stored forecasts and models, read back, and what the models say beyond the series."""
+    z = z_series(spark, folder)
+    trained = anomaly.train(z, AR1, 150)
+    return _flags(anomaly.infer(z, spool(trained.forecasts), spool(trained.models), AR1))
