@@ -376,3 +376,38 @@ def test_lags_stop_at_holes(spark):
     ends = M.forecast(series.withColumn("y", F.when(F.col("ts") < "2024-01-13 10:00:00", F.col("y"))), M.fit_arima(
         series, "y", ["k"], "ts", (1, 0, 0)), "y", ["k"], "ts", "1 hour", (1, 0, 0), 2).collect()
     assert len(ends) == 2 and all(r.forecast is not None for r in ends)
+
+
+def test_lag_frames_of_features(spark):
+    df = spark.createDataFrame([("a", i, float(i), None if i == 5 else 10.0 * i) for i in range(12)], "k string, ts int, y double, z double")
+    rows = {r.pos: r for r in W.lag_frames(df, ["y", "z"], 3, ["k"], "ts", shuffle_seed=1).collect()}
+    assert sorted(rows) == [3, 4, 5, 9, 10, 11]  # no frame over the hole
+    assert rows[9].frame == [[6.0, 60.0], [7.0, 70.0], [8.0, 80.0]] and rows[9].target == [9.0, 90.0] and rows[5].target is None
+    order = [r.sample_order for r in rows.values()]
+    again = {r.pos: r.sample_order for r in W.lag_frames(df.repartition(5), ["y", "z"], 3, ["k"], "ts", shuffle_seed=1).collect()}
+    assert len(set(order)) == 6 and again == {p: r.sample_order for p, r in rows.items()}
+
+
+def test_vector_autoregression(spark):
+    rng = np.random.default_rng(3)
+    y = np.zeros((400, 2))
+    for t in range(2, 400):
+        y[t] = [1, 2] + np.array([[.4, .2], [-.1, .5]]) @ y[t - 1] + [[.1, 0], [0, -.2]] @ y[t - 2] + rng.normal(size=2)
+    big = y * [1e6, 1e-3] + [1e9, 7]
+    rows = [("a", t, *map(float, big[t])) for t in range(400)] + [("b", t, 1.0 * t, 2.0) for t in range(4)]
+    df = spark.createDataFrame(rows, "k string, ts int, u double, v double").withColumn(
+        "ts", (F.lit(0) + F.col("ts")).cast("timestamp")).withColumn("v", F.when(F.col("v") != float(big[77, 1]), F.col("v")))
+    models = M.fit_vector(df, ["u", "v"], ["k"], "ts", 2)
+    got = {r.k: r for r in models.collect()}
+    ok = [t for t in range(2, 400) if 77 not in (t, t - 1, t - 2)]
+    x = np.array([[1, *big[t - 1], *big[t - 2]] for t in ok])
+    mid, dev = x[:, 1:].mean(0), x[:, 1:].std(0)
+    scaled = np.c_[np.ones(len(ok)), (x[:, 1:] - mid) / dev]
+    want = np.linalg.lstsq(scaled, big[ok], rcond=None)[0]
+    assert got["a"].n == len(ok) and got["b"].coef is None
+    assert np.allclose(np.array(got["a"].coef), (want[1:] / dev[:, None]).T, rtol=1e-6)
+    nxt = np.array(got["a"].const) + np.array(got["a"].coef) @ np.r_[big[399], big[398]]
+    out = {(r.k, r.step): r for r in M.forecast_vector(df, models, ["u", "v"], ["k"], "ts", "1 second", 2, 3).collect()}
+    assert len(out) == 6 and np.allclose([out["a", 1].u, out["a", 1].v], nxt) and out["b", 3].u is None
+    second = np.array(got["a"].const) + np.array(got["a"].coef) @ np.r_[nxt, big[399]]
+    assert np.allclose([out["a", 2].u, out["a", 2].v], second)

@@ -136,3 +136,19 @@ def test_scoring_equals_batch(spark, folder, sf, tmp_path):
     got = N.latest_flags(spark, out, KEY).select("sentiment", "ts_bin", "anomaly")
     assert same(got, N.score_bins(bins, stored, KEY).select("sentiment", "ts_bin", "anomaly"))
     assert got.where("anomaly = 1").count() > 0
+
+
+def test_compacted_days_keep_every_bin(spark, tmp_path):
+    out = str(tmp_path / "counts")
+    versions = {0: [(1, 0, 1), (1, 10, 1)], 1: [(1, 10, 4), (2, 0, 2)], 2: [(2, 0, 5), (3, 0, 1)], 3: [(1, 0, 9), (3, 0, 2)]}
+    for batch, bins in versions.items():
+        rows = [(-1, datetime(2024, 1, d, 0, m), n, batch) for d, m, n in bins]
+        df = spark.createDataFrame(rows, "sentiment int, ts_bin timestamp, cnt long, batch_id int")
+        df.withColumn("day", F.to_date("ts_bin")).write.mode("append").partitionBy("day", "batch_id").parquet(out)
+    before = sorted(N.latest_counts(spark, out, KEY).collect())
+    assert [r.cnt for r in before] == [9, 4, 5, 2]
+    assert N.compact_days(spark, out, KEY, datetime(2024, 1, 3).date()) == 2  # day 1: batch 0, day 2: batch 1
+    left = {(r.day.day, r.batch_id) for r in spark.read.parquet(out).select("day", "batch_id").distinct().collect()}
+    assert left == {(1, 1), (1, 3), (2, 2), (3, 2), (3, 3)}  # the last batch may be written again
+    assert sorted(N.latest_counts(spark, out, KEY).collect()) == before
+    assert N.compact_days(spark, out, KEY, datetime(2024, 1, 3).date()) == 0

@@ -382,6 +382,85 @@ def generate_forecasts(series: DataFrame, value: str, keys: list[str], ts: str,
     return new if prior is None else prior.unionByName(new, allowMissingColumns=True)
 
 
+# ---- vector autoregression -----------------------------------------------------------------
+
+VECTOR_MODEL = "n bigint, const array<double>, coef array<array<double>>"
+
+
+def fit_vector(series: DataFrame, values: list[str], keys: list[str], ts: str, p: int) -> DataFrame:
+    """Vector autoregression: every column of ``values`` on the last ``p`` rows of all of them.
+
+    ``(keys..., n, const, coef)``: one row of ``coef`` per column, holding the weights of all columns
+    one row back, then two, and so on. Lags go by position and never across a hole; a series with too
+    few rows has nulls. One product matrix per series serves all columns.
+    """
+    k = len(values)
+    whole = Window.partitionBy(*keys)
+    df = series.select(*keys, ts, *(F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)))
+    frame = {}
+    for i in range(k):
+        spread = F.stddev_pop(f"_v{i}").over(whole)
+        frame[f"_m{i}"] = F.coalesce(F.avg(f"_v{i}").over(whole), F.lit(0.0))
+        frame[f"_s{i}"] = F.when(spread > 0, spread).otherwise(1.0)
+    df = df.withColumns(frame).withColumns(
+        {f"_z{i}": (F.col(f"_v{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}") for i in range(k)})
+    now = [f"_z{i}" for i in range(k)]
+    cells = F.array(*(F.lag(z, back).over(ordered(keys, ts)) for back in range(1, p + 1) for z in now), *now)
+    df = df.withColumn("_x", cells)
+    x = _vector(F.forall("_x", lambda v: v.isNotNull()), 1 + k * (p + 1), F.col("_x"))
+    fits = gram(df.select(*keys, *frame, x), [*keys, *frame])
+
+    def solve(g: pd.Series, mean: pd.Series, scale: pd.Series) -> pd.DataFrame:
+        import numpy as np
+        out, n_cols = [], 1 + k * p
+        for flat, mu, s in zip(g, mean, scale):
+            m = np.asarray(flat, dtype=float).reshape(n_cols + k, -1)
+            rows = int(round(m[0, 0]))
+            if rows <= n_cols:
+                out.append((rows, None, None))
+                continue
+            size = np.sqrt(np.maximum(np.diag(m)[:n_cols], 1e-300))
+            found = np.linalg.lstsq(m[:n_cols, :n_cols] / np.outer(size, size), m[:n_cols, n_cols:] / size[:, None],
+                                    rcond=None)[0] / size[:, None]
+            coef = found[1:].T * np.asarray(s)[:, None] / np.tile(s, p)
+            const = found[0] * s + mu - coef @ np.tile(mu, p)
+            out.append((rows, const.tolist(), coef.tolist()))
+        return pd.DataFrame(out, columns=["n", "const", "coef"])
+
+    each = [F.array(*(f"_{c}{i}" for i in range(k))) for c in "ms"]
+    return fits.select(*keys, F.pandas_udf(solve, VECTOR_MODEL)("g", *each).alias("_m")).select(*keys, "_m.*")
+
+
+def forecast_vector(series: DataFrame, models: DataFrame, values: list[str], keys: list[str], ts: str, freq: str,
+                    p: int, steps: int) -> DataFrame:
+    """``steps`` rows ahead of each series, all columns fed back together: ``keys, step, ts, values``.
+
+    The columns are null where the series has no model or its newest ``p`` rows have a hole; of a
+    series that ends in rows with a hole the last whole row counts.
+    """
+    k, w = len(values), ordered(keys, ts)
+    cols = [F.col(v).cast("double") for v in values]
+    newest = F.array(*(F.lag(c, back).over(w) if back else c for back in range(p) for c in cols))
+    there = F.forall(F.array(*cols), lambda v: v.isNotNull())
+    state = series.select(*keys, ts, newest.alias("_lags"), there.alias("_there"))
+    last = state.groupBy(*keys).agg(F.max_by(F.struct(ts, "_lags"), F.when(F.col("_there"), F.col(ts))).alias("_s"))
+    ready = null_safe_join(last.select(*keys, "_s.*"), models.select(*keys, "const", "coef"), list(keys))
+
+    def step(s: Column, _) -> Column:
+        nxt = F.zip_with("const", "coef", lambda c, weights: c + dot(weights, s["lags"]))
+        return F.struct(F.slice(F.concat(nxt, s["lags"]), 1, k * p).alias("lags"),
+                        F.concat(s["out"], F.array(nxt)).alias("out"))
+
+    start = F.struct(F.col("_lags").alias("lags"), F.expr("cast(array() as array<array<double>>)").alias("out"))
+    path = F.when(F.col("const").isNotNull(), F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["out"])).otherwise(
+        F.array_repeat(F.lit(None).cast("array<double>"), steps))
+    return ready.select(*keys, ts, F.posexplode(path).alias("_k", "_y")).select(
+        *keys, (F.col("_k") + 1).alias("step"),
+        (F.col(ts) + (F.col("_k") + 1) * F.expr(f"INTERVAL {freq}")).alias(ts),
+        *(F.col("_y")[i].alias(v) for i, v in enumerate(values)))
+
+
 # ---- unit root -----------------------------------------------------------------------------
 
 def adf(series: DataFrame, value: str, keys: list[str], ts: str,

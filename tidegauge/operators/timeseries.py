@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidegauge.functions.hashing import unit_hash
+
 
 def ordered(keys: list[str], ts: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(ts)
@@ -132,17 +134,24 @@ def next_rolling_window(series: DataFrame, n: int, keys: list[str], ts: str, val
     return index.join(values, keys + ["_pos"]).select(*keys, ts, value)
 
 
-def lag_frames(df: DataFrame, value: str, length: int, keys: list[str], ts: str, stride: int = 1,
+def lag_frames(df: DataFrame, value: str | list[str], length: int, keys: list[str], ts: str, stride: int = 1,
                sampling_rate: int = 1, start_index: int = 0, end_index: int | None = None,
-               reverse: bool = False) -> DataFrame:
+               reverse: bool = False, shuffle_seed: int | None = None) -> DataFrame:
     """One row per training sample: ``frame`` holds past values, ``target`` the next one.
 
     Sample targets sit at positions ``start_index + length``, then every ``stride`` rows up to
-    ``end_index`` inclusive. ``sampling_rate`` thins the frame, ``reverse`` flips it.
+    ``end_index`` inclusive. ``sampling_rate`` thins the frame, ``reverse`` flips it. With a list of
+    columns every slot of the frame, and the target, is the array of their values. ``shuffle_seed``
+    adds ``sample_order``, a number from the hash of the sample's key and position: ascending, it
+    puts the samples in a random order that no file layout changes. A frame with a hole is left out.
     """
     past = ordered(keys, ts).rowsBetween(-length, -1)
-    framed = series_position(df, keys, ts, "pos").withColumn(
-        "frame", F.collect_list(F.col(value).cast("double")).over(past))
+    if isinstance(value, str):
+        item = F.col(value).cast("double")
+    else:
+        row = F.array(*(F.col(c).cast("double") for c in value))
+        item = F.when(F.forall(row, lambda v: v.isNotNull()), row)
+    framed = series_position(df, keys, ts, "pos").withColumn("frame", F.collect_list(item).over(past))
     keep = ((F.col("pos") >= start_index + length) & (F.size("frame") == length)
             & ((F.col("pos") - start_index - length) % stride == 0))
     if end_index is not None:
@@ -152,8 +161,8 @@ def lag_frames(df: DataFrame, value: str, length: int, keys: list[str], ts: str,
         frame = F.filter(frame, lambda _, i: i % sampling_rate == 0)
     if reverse:
         frame = F.reverse(frame)
-    return framed.where(keep).select(*keys, ts, "pos", frame.alias("frame"),
-                                     F.col(value).cast("double").alias("target"))
+    order = [] if shuffle_seed is None else [unit_hash(*keys, "pos", seed=shuffle_seed).alias("sample_order")]
+    return framed.where(keep).select(*keys, ts, "pos", frame.alias("frame"), item.alias("target"), *order)
 
 
 def trailing_sums(bins: DataFrame, minutes: list[int], ts: str = "ts_bin",

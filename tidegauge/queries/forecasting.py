@@ -376,6 +376,38 @@ def per_user_ar3(spark, folder):
     return _iterated(hourly(spark, folder, "user_id"), "user_id", (3, 0, 0), 6)
 
 
+SQL_MONTHLY_PAIRS = """mp AS (SELECT o_orderpriority AS priority, date_trunc('month', o_orderdate)::TIMESTAMP AS ts,
+  count(*)::DOUBLE AS orders, (sum(o_custkey) / count(*))::DOUBLE AS customer FROM orders
+  WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query("sta17_vector_forecast", f"""WITH RECURSIVE {SQL_MONTHLY_PAIRS},
+lx AS (SELECT *, lag(orders) OVER w AS a, lag(customer) OVER w AS b FROM mp
+  WINDOW w AS (PARTITION BY priority ORDER BY ts)),
+v AS (SELECT priority, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, avg(a) AS am, avg(b) AS bm,
+  covar_pop(orders, a) AS oa, covar_pop(orders, b) AS ob, avg(orders) AS om,
+  covar_pop(customer, a) AS ca, covar_pop(customer, b) AS cb, avg(customer) AS cm
+  FROM lx WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+k AS (SELECT *, (oa * bb - ob * ab) / (aa * bb - ab * ab) AS p1, (ob * aa - oa * ab) / (aa * bb - ab * ab) AS p2,
+  (ca * bb - cb * ab) / (aa * bb - ab * ab) AS q1, (cb * aa - ca * ab) / (aa * bb - ab * ab) AS q2 FROM v),
+e AS (SELECT priority, max(ts) AS last, max_by(orders, ts) AS y, max_by(customer, ts) AS z FROM mp GROUP BY 1),
+f AS (SELECT k.*, e.last, 1 AS step, om + p1 * (y - am) + p2 * (z - bm) AS y, cm + q1 * (y - am) + q2 * (z - bm) AS z
+  FROM k JOIN e ON e.priority = k.priority
+  UNION ALL SELECT f.* EXCLUDE (step, y, z), step + 1, om + p1 * (y - am) + p2 * (z - bm),
+    cm + q1 * (y - am) + q2 * (z - bm) FROM f WHERE step < 6)
+SELECT priority, step, last + step * INTERVAL 1 MONTH AS ts, round(y, 5) AS orders, round(z, 5) AS customer FROM f""")
+def vector_forecast(spark, folder):
+    """Number of orders and mean customer of each month, forecast jointly."""
+    months = (table(spark, folder, "orders").where("o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL")
+              .groupBy(F.col("o_orderpriority").alias("priority"),
+                       F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts"))
+              .agg(F.count(F.lit(1)).cast("double").alias("orders"),
+                   (F.sum("o_custkey") / F.count(F.lit(1))).alias("customer")))
+    values, key = ["orders", "customer"], ["priority"]
+    models = M.fit_vector(months, values, key, "ts", 1)
+    return rounded(M.forecast_vector(months, models, values, key, "ts", "1 month", 1, 6), *values, digits=5)
+
+
 SQL_SLIDING = """fn AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) - 1 AS pos,
   count(*) OVER (PARTITION BY sentiment) AS len FROM zs),
 fw AS (SELECT unnest(generate_series(0, {last})) AS window_id),

@@ -101,6 +101,19 @@ def stream_resample(spark, folder):
     return ntz(N.read_series(spark, out, KEY, FREQ), "ts_bin")
 
 
+@query("str06_compacted_counts", f"WITH {SQL_SERIES} SELECT sentiment, ts_bin, cnt FROM series")
+def compacted_counts(spark, folder):
+    """Several batches, then one folder for each closed day; the series stays the same."""
+    path, out = scratch(spark, "messages"), scratch(spark, "counts")
+    I.replay(labelled_events(spark, folder).repartitionByRange(4, "ts"), "ts", [c for c, _ in COLUMNS], path)
+    counts = N.stream_counts(I.parse(I.read_messages(spark, path, 1), COLUMNS), "ts", FREQ, KEY, "60 days")
+    I.run_available(N.write_updates(counts, out, scratch(spark, "ckpt")))
+    last = spark.read.parquet(out).agg(F.max("day")).first()[0]
+    if last is not None:
+        N.compact_days(spark, out, KEY, last)
+    return ntz(N.read_series(spark, out, KEY, FREQ), "ts_bin")
+
+
 @query("str07_stream_trailing", f"""WITH {SQL_SERIES},
 neg AS (SELECT * FROM series WHERE sentiment = -1), l AS (SELECT max(ts_bin) AS last FROM neg)
 SELECT coalesce(sum(cnt) FILTER (ts_bin >= last - INTERVAL 1 MINUTE), 0)::BIGINT AS "1min",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegauge.functions.hashing import sql_unit_hash
 from tidegauge.functions.text import text_chunks
 from tidegauge.operators import position as P, timeseries as W
 from tidegauge.queries import query
@@ -143,6 +144,27 @@ def lag_frames(spark, folder):
                          F.posexplode("frame").alias("slot", "lagged"))
 
 
+@query("win12_lag_frames_features", f"""WITH h AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts_bin,
+  count(*) AS cnt, max(user_id) AS top_user FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_bin) - 1 AS pos FROM h)
+SELECT a.event_type, a.pos, a.cnt::DOUBLE AS target_cnt, a.top_user::DOUBLE AS target_user,
+  ((a.pos - b.pos - 2) / 2)::INTEGER AS slot, b.cnt::DOUBLE AS cnt, b.top_user::DOUBLE AS top_user,
+  {sql_unit_hash("a.event_type", "a.pos", seed=7)} AS sample_order
+FROM n a JOIN n b ON b.event_type IS NOT DISTINCT FROM a.event_type AND b.pos BETWEEN a.pos - 12 AND a.pos - 1
+WHERE a.pos BETWEEN 16 AND 500 AND (a.pos - 16) % 3 = 0 AND (b.pos - a.pos + 12) % 2 = 0""")
+def lag_frames_features(spark, folder):
+    """Two features per slot, thinned and reversed frames, samples in a hashed order."""
+    hours = (table(spark, folder, "events").where("ts IS NOT NULL")
+             .groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias(TS))
+             .agg(F.count(F.lit(1)).alias("cnt"), F.max("user_id").alias("top_user")))
+    frames = W.lag_frames(hours, ["cnt", "top_user"], 12, ["event_type"], TS, stride=3, sampling_rate=2,
+                          start_index=4, end_index=500, reverse=True, shuffle_seed=7)
+    return frames.select(
+        "event_type", F.col("pos").cast("long").alias("pos"), F.col("target")[0].alias("target_cnt"),
+        F.col("target")[1].alias("target_user"), "sample_order", F.posexplode("frame").alias("slot", "_f")).select(
+        "*", F.col("_f")[0].alias("cnt"), F.col("_f")[1].alias("top_user")).drop("_f")
+
+
 SQL_TRAIL = SQL_SERIES + """,
 neg AS (SELECT * FROM series WHERE sentiment = -1), l AS (SELECT max(ts_bin) AS last FROM neg),
 t AS (SELECT coalesce(sum(cnt) FILTER (ts_bin >= last - INTERVAL 1 MINUTE), 0)::BIGINT AS "1min",

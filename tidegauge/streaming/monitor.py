@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidegauge.operators.timeseries import fill_gaps, summary_row
+from tidegauge.session import spool
 from tidegauge.streaming.ingest import per_batch
 
 #: Late rows beyond this are left to a batch rerun.
@@ -104,3 +105,30 @@ def latest_flags(spark, path: str, keys: list[str]) -> DataFrame:
     rest = [c for c in stored.columns if c not in (*keys, "ts_bin")]
     newest = stored.groupBy(*keys, "ts_bin").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
     return newest.select(*keys, "ts_bin", "_r.*")
+
+
+def compact_days(spark, path: str, keys: list[str], before: date) -> int:
+    """Bring every day before ``before`` into the folder of one batch; number of folders dropped.
+
+    For days that the watermark has closed. The newest version of every bin is added to the folder
+    of the day's last batch, then the older folders go: readers take the newest version and so see
+    the same bins at every moment, and a run that was broken off is finished by the next. The last
+    batch of all is left alone, since a restarted stream may write it again.
+    """
+    stored = spark.read.parquet(path)
+    closed = stored.where((F.col("day") < F.lit(before)) & (F.col("batch_id") < stored.agg(F.max("batch_id")).scalar()))
+    folders = spool(closed.select("day", "batch_id").distinct())
+    many = folders.groupBy("day").agg(F.max("batch_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rest = [c for c in stored.columns if c not in (*keys, "ts_bin", "day", "batch_id")]
+    newest = closed.join(many, "day").groupBy(*keys, "ts_bin", "day", F.col("_last").alias("batch_id")).agg(
+        F.max_by(F.struct(*rest), closed["batch_id"]).alias("_r"))
+    # names of folders, a bounded list: each run leaves one per closed day
+    old = folders.join(many, "day").where("batch_id < _last").select("day", "batch_id").collect()
+    if not old:
+        return 0
+    rows = newest.select(*keys, "ts_bin", "_r.*", "day", "batch_id")
+    spool(rows).hint("rebalance", "day").write.mode("append").partitionBy("day", "batch_id").parquet(path)
+    for day, batch_id in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/batch_id={batch_id}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(old)
