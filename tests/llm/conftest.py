@@ -16,7 +16,8 @@ def docs_of(spark):
         df = spark.createDataFrame(full, DOCS)
         if parts:
             df = df.repartition(parts)
-        for name in ("key", "size", "fp", "text_hash", "spans", "kept", "node", "label", "row", "hash"):
+        for name in ("key", "size", "fp", "text_hash", "spans", "kept", "node", "label", "row", "hash", "quality",
+                     "score", "copies", "target", "component", "cluster", "rank", "start", "end", "n"):
             df = df.selectExpr("*", f"'clash' AS `{name}`")
         return df
     return make

@@ -189,7 +189,8 @@ def _matrix(packed: list[bytes], width: int, dense: list | None = None) -> np.nd
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """Model from bounded samples of labelled rows and of documents without a label; None where the
-    labels do not hold both classes. A document with contradicting labels has none."""
+    labels do not hold both classes. A document with contradicting labels has none; of rows that share
+    an id the first by text, source and language is learned from."""
     marked = (labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
               .agg(F.min("quality").alias("quality"), F.max("quality").alias("_high"))
               .where("quality = _high").select("doc_id", F.col("quality").cast("int").alias("quality")))
@@ -204,7 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         F.when(F.col("quality") == 1, F.lit(labelled / 2 / counts[1])).otherwise(F.lit(labelled / 2 / counts[0])))
     # ids of the sample: their number is bounded by the two parameters
     chosen = (ids.join(marked, "doc_id", "left").where(u < part).orderBy(u, "doc_id").limit(labelled + pool))
-    rows = _features(docs.join(F.broadcast(chosen), "doc_id"), "quality")
+    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id")
+    # one row per id, so that the bound holds however often an id repeats
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "source", "lang")).alias("_r"))
+    rows = _features(rows.select("doc_id", "quality", "_r.*"), "quality")
 
     def start():
         def one(doc_id, quality, text, source, lang):
