@@ -84,16 +84,19 @@ def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS):
     """Model from the rows of ``docs`` (``doc_id, text, lang``) that are not held out.
 
     Rows without an id, language or letter teach nothing. The sample is bounded by ``sample``, in
-    equal parts per language (a part that one language cannot fill stays unfilled).
+    equal parts per language (a part that one language cannot fill stays unfilled); of rows that
+    share an id and a language only the first by text teaches.
     """
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # one row per language
+    ids = usable.select("lang", "doc_id").distinct()
+    counts = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return [], np.zeros((WIDTH, 0), np.float32)
     part = max(4.0, sample / len(counts))
     share = F.element_at(F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, part / n))),
                          F.col("lang"))
     chosen = id_text(usable.where(unit_hash("doc_id", seed=5) < share), "lang")
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def start():
         return lambda doc_id, text, lang: ([(doc_id, lang, np.packbits(presence(text)).tobytes())]
