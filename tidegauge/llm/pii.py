@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -122,7 +124,12 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         if kind in BASE or score >= ACCEPT:
             found.append((kind, a, b, score))
     base = sorted((a, b) for kind, a, b, _ in found if kind in BASE)
-    kept = [s for s in found if s[0] in BASE or not any(a < s[2] and s[1] < b for a, b in base)]
+    starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+
+    def free(a: int, b: int) -> bool:  # no base span that starts before b ends after a
+        before = bisect_left(starts, b)
+        return not before or ends[before - 1] <= a
+    kept = [s for s in found if s[0] in BASE or free(s[1], s[2])]
     return sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
