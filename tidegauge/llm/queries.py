@@ -44,6 +44,46 @@ def op3_risk_rules(spark, sf_dir):
                         F.concat_ws(",", "rejected_by").alias("rejected_by"))
 
 
+SQL["op3_risk_rules"] = r"""
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+u AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM r)),
+g AS (SELECT rid, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' ||
+    lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o || ' ' || lead(w, 6) OVER o || ' ' || lead(w, 7) OVER o AS gram
+  FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+tw AS (SELECT rid, gram FROM g WHERE gram IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+h AS (SELECT g.rid, max(tw.rid IS NOT NULL) OVER (PARTITION BY g.rid ORDER BY i ROWS 7 PRECEDING) AS again
+  FROM g LEFT JOIN tw ON tw.rid = g.rid AND tw.gram = g.gram),
+c AS (SELECT rid, count(*) AS n_words, count_if(again) AS n_repeat_words FROM h GROUP BY 1),
+b AS (SELECT r.rid, doc_id, lang, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '\p{Lu}')) AS n_upper,
+    len(regexp_extract_all(t, '[!?]')) AS n_marks, list_filter(string_split(t, chr(10)),
+      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM r LEFT JOIN c ON c.rid = r.rid),
+f AS (SELECT *, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM b),
+s AS (SELECT rid, doc_id, lang, base_failed, unnest([1, 2, 3, 4, 5]) AS no,
+    unnest(['symbols', 'upper', 'marks', 'dup_lines', 'repeats']) AS rule,
+    unnest([coalesce(n_symbols / nullif(word_chars, 0), 0.0::DOUBLE), coalesce(n_upper / nullif(word_chars, 0), 0.0::DOUBLE),
+      least(coalesce(n_marks / nullif(n_words, 0), 0.0::DOUBLE), 1.0::DOUBLE),
+      coalesce(n_dup_lines / nullif(n_lines, 0), 0.0::DOUBLE), coalesce(n_repeat_words / nullif(n_words, 0), 0.0::DOUBLE)]) AS signal
+  FROM f),
+m AS (SELECT s.*, quality FROM s JOIN labels l ON l.doc_id = s.doc_id WHERE NOT base_failed AND quality IN (0, 1)),
+k AS (SELECT lang, rule, cut, count_if(quality = 1) AS n, count_if(quality = 1 AND signal > cut) AS lost,
+    count_if(quality = 0 AND signal > cut) AS caught
+  FROM m, (SELECT i / 50.0::DOUBLE AS cut FROM range(50) t(i)) GROUP BY ALL),
+p AS (SELECT *, 0.05::DOUBLE / 5 AS p, 0.05::DOUBLE / (5 * (SELECT greatest(1, count(DISTINCT coalesce(lang, ''))) FROM m)) AS d FROM k),
+q AS (SELECT *, CASE WHEN lost >= n * p THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(0, (lost + 1)::BIGINT), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END > d AS fails FROM p),
+z AS (SELECT *, max(CASE WHEN fails THEN cut END) OVER (PARTITION BY lang, rule) AS floor FROM q),
+o AS (SELECT lang, rule, max_by(cut, (caught - 10 * lost, cut)) AS cut FROM z
+  WHERE (floor IS NULL OR cut > floor) AND caught > 10 * lost GROUP BY 1, 2),
+j AS (SELECT s.rid, coalesce(string_agg(s.rule, ',' ORDER BY no) FILTER (signal > cut), '') AS rejected_by
+  FROM s LEFT JOIN o ON o.lang IS NOT DISTINCT FROM s.lang AND o.rule = s.rule GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM f JOIN j ON j.rid = f.rid"""
+
+
 @query
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
