@@ -166,3 +166,25 @@ FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source"""
 @query
 def op10_suffixes(spark, sf_dir):
     return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def _hash_steps(*by: int) -> str:
+    """Hashes of longer and longer windows, each from two of the one before, ``by`` words apart."""
+    return "".join(f"""
+h{k + 1} AS (SELECT * REPLACE (hash(h, lead(h, {n}) OVER (PARTITION BY tid ORDER BY i)) AS h) FROM h{k}),"""
+                   for k, n in enumerate(by))
+
+
+SQL["op10_suffixes"] = rf"""
+WITH x AS (SELECT row_number() OVER () AS tid, t, n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT coalesce(text, '') AS t, count(*) AS n FROM documents GROUP BY 1)),
+u AS (SELECT tid, n, len(ws) AS nw, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM x WHERE len(ws) >= 50),
+h0 AS (SELECT tid, n, nw, i, hash(w) AS h FROM u),{_hash_steps(1, 2, 4, 8, 16, 18)}
+w AS (SELECT tid, n, i, h FROM h6 WHERE i <= nw - 50),
+tw AS (SELECT h FROM w GROUP BY 1 HAVING min(tid) <> max(tid)),
+s AS (SELECT tid, i, i - lag(i) OVER (PARTITION BY tid ORDER BY i) AS gap FROM w JOIN tw ON tw.h = w.h WHERE n = 1),
+p AS (SELECT tid, i, sum(CASE WHEN gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM s),
+q AS (SELECT tid, min(i) AS a, max(i) + 50 AS b FROM p GROUP BY tid, part
+  UNION ALL SELECT tid, 0, len(ws) FROM x WHERE n > 1 AND len(ws) >= 50)
+SELECT doc_id, a::INTEGER AS start, b::INTEGER AS "end" FROM documents d JOIN x ON x.t = coalesce(d.text, '')
+JOIN q ON q.tid = x.tid"""
