@@ -34,13 +34,22 @@ CRITICAL = {
 def gram(rows: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
     """``(keys..., n, g)``: row count and flattened sum of ``outer(vec, vec)`` per key.
 
-    Arrow batches are reduced where they are read; only k*k numbers per key and batch move on.
+    Arrow batches are reduced where they are read; only k*k numbers per key and batch move on. Columns
+    that are zero for a key are left out of its product, so that the width other keys need does not
+    change the order in which its numbers are added.
     """
     fields = [rows.schema[k] for k in keys]
     schema = T.StructType(fields + [T.StructField("n", T.LongType()),
                                     T.StructField("g", T.ArrayType(T.DoubleType()))])
     keys = list(keys)
 
+    def product(np, part):
+        used = np.flatnonzero(part.any(axis=0))
+        own = np.ascontiguousarray(part[:, used])
+        whole = np.zeros((part.shape[1], part.shape[1]))
+        whole[np.ix_(used, used)] = own.T @ own
+        return whole.ravel()
+
     def partial(batches):
         import numpy as np
         import pyarrow as pa
@@ -55,7 +64,7 @@ def gram(rows: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
             codes, x = codes[by], x[by]
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             ends = np.r_[starts[1:], len(codes)]
-            sums = [(x[s:e].T @ x[s:e]).ravel() for s, e in zip(starts, ends)]
+            sums = [product(np, x[s:e]) for s, e in zip(starts, ends)]
             firsts = pa.array(by[starts])
             columns = [batch.column(batch.schema.get_field_index(k)).take(firsts) for k in keys]
             columns += [pa.array(ends - starts), pa.array(sums, pa.list_(pa.float64()))]
