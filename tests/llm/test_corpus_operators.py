@@ -129,6 +129,33 @@ def test_similar_documents(spark, docs_of, bucket):
     assert set(ids) - {None} == set(found.values()) and ids[None] == 1 and max(ids.values()) == 1
 
 
+@pytest.mark.parametrize("bucket", [4096, 20])
+def test_links_are_exact_at_the_similarity(spark, docs_of, bucket):
+    rng = random.Random(12)
+    number = lambda: str(rng.randint(0, 99999))
+
+    def changed(w, spots):  # each spot lies in five shingles of its own
+        return " ".join(number() if i in spots else x for i, x in enumerate(w))
+    texts, alike = [], []
+    for k in range(40):  # of 200 shingles 20 changed are 180/220 = 0.82, 25 are 175/225 = 0.78
+        w = [number() for _ in range(204)]
+        spots = set(range(4, 4 + 6 * (4 if k % 2 else 5), 6))
+        alike += [(len(texts), len(texts) + 1)]
+        texts += [" ".join(w), changed(w, spots)]
+    template = [number() for _ in range(204)]
+    family = range(len(texts), len(texts) + 60)
+    for _ in family:  # two members share some 0.65 to 0.75
+        texts.append(changed(template, set(rng.sample(range(4, 200, 6), 4))))
+    sets = [shingles(t) for t in texts]
+    j = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert {j(a, b) >= 0.8 for a, b in alike} == {True, False}
+    pairs = alike + [(a, b) for a in family for b in family if a < b]
+    assert sum(0.6 < j(a, b) < 0.8 for a, b in pairs) > 1000
+    label = components(len(texts), [(a, b) for a, b in pairs if j(a, b) >= 0.8])
+    found = {r.doc_id: r.component for r in simhash.similar_documents(docs_of(texts), bucket=bucket).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+
+
 def brute_passages(rows, length=50):
     texts = [words(t) for _, t in rows]
     where = defaultdict(set)

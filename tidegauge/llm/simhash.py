@@ -164,29 +164,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) ->
     return rows.join(classes, "fp").select("doc_id", "fp", "component")
 
 
-#: Bits of the wide fingerprint, in 64-bit words, and the share of them in which texts of the wanted
-#: similarity may differ. Two shingle sets with Jaccard J have a cosine of about 2J/(1+J), and differ
-#: in acos(cosine)/pi of the bits: 15 % at 0.8. The margin is one standard deviation of 256 bits.
+#: Bits of the wide fingerprint, in 64-bit words. Two shingle sets with Jaccard J have a cosine of
+#: about 2J/(1+J), and differ in acos(cosine)/pi of the bits: 15 % at 0.8.
 WIDE = 4
+#: Texts are linked from this Jaccard similarity of their shingle sets, computed exactly.
 SIMILARITY = 0.8
+#: Standard deviations above the expected distance up to which two fingerprints are candidates.
+MARGIN = 3.0
 #: Expected number of blocks that two texts of just the wanted similarity share.
-SHARED_BLOCKS = 4.0
+SHARED_BLOCKS = 8.0
+#: Shingles, summed over texts, of one part of a group of candidates; a task compares two parts.
+PART_SHINGLES = 1 << 21
 
 
 def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: str, shingle: int = 5) -> bytes:
-    """SimHash of ``64 * WIDE`` bits of the set of word shingles; zero bytes for a text without words."""
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; empty for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8").lower().split()
     if not words:
-        return bytes(8 * WIDE)
+        return np.empty(0, np.uint64)
     k = min(shingle, len(words))
-    shingles = np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(
         *(words[i:] for i in range(k)))), np.uint64))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of ``64 * WIDE`` bits of a set of shingle hashes; zero bytes for the empty set."""
     ones, n = np.zeros(64 * WIDE, np.int64), len(shingles)
     more = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, n, SUM_ROWS >> 4):
@@ -290,26 +298,70 @@ def _block_edges(most: int, bucket: int | None):
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY,
-                      bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, text_hash, cluster, component`` per row of ``docs`` (``doc_id, text``): near-duplicates
-    by the similarity of their shingle sets rather than by 3 bits.
+def _exact_forest(sets: list[np.ndarray], similarity: float):
+    """Positions (root, member) of a spanning forest of the sets (sorted, distinct values) whose
+    Jaccard similarity is at least ``similarity``."""
+    place = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in place])
+    ends = np.r_[0, np.cumsum(sizes)]
+    values, codes = np.unique(np.concatenate([sets[i] for i in place]), return_inverse=True)
+    own, label = np.zeros(len(values), bool), np.full(len(sets), -1)
+    for i in range(len(sets)):
+        if label[i] >= 0:
+            continue
+        label[i], front = i, [i]
+        while front:
+            j = front.pop()
+            # only sets of about the same size can be similar enough
+            lo = np.searchsorted(sizes, math.floor(similarity * sizes[j]))
+            hi = np.searchsorted(sizes, math.ceil(sizes[j] / similarity), "right")
+            if not (label[lo:hi] < 0).any():
+                continue
+            own[codes[ends[j]:ends[j + 1]]] = True
+            sums = np.r_[0, np.cumsum(own[codes[ends[lo]:ends[hi]]])]
+            own[codes[ends[j]:ends[j + 1]]] = False
+            both = np.diff(sums[ends[lo:hi + 1] - ends[lo]])
+            alike = both / np.maximum(1, sizes[j] + sizes[lo:hi] - both) >= similarity
+            near = lo + np.flatnonzero(alike & (label[lo:hi] < 0))
+            label[near] = i
+            front.extend(near.tolist())
+    member = np.flatnonzero(label != np.arange(len(sets)))
+    return place[label[member]], place[member]
 
-    Texts of similarity 0.8 differ in some 15 % of the bits, which no split into a few blocks can
-    find. So fingerprints have 256 bits and many more blocks: of texts just as similar as wanted, 98
-    in 100 pairs share a block, of closer ones all but few. Pairs that share one are links if they
-    differ in at most the share of bits that belongs to ``similarity``, plus one standard deviation.
-    Nulls, copies and ids as in :func:`near_duplicates`.
-    """
-    share = differing_share(similarity)
-    most = math.floor(64 * WIDE * share + math.sqrt(64 * WIDE * share * (1 - share)))
 
-    def start():
-        return lambda doc_id, text, text_hash: [(doc_id, text_hash, wide_fingerprint(text, shingle))]
-    texts = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    rows = spool(map_rows(texts, "doc_id long, text_hash long, fp binary", start))
-    nodes = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.xxhash64("fp")))
-    blocks = _blocks(nodes.count(), similarity)
+def _set_edges(similarity: float):
+    """Function for ``mapInArrow`` over rows ``key, set, shingles`` sorted by key, a key complete in
+    its partition: edges ``a, b`` between sets of a key."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def edges(nodes, shingles):
+        root, member = _exact_forest([np.frombuffer(x, np.uint64) for x in shingles], similarity)
+        return np.array(nodes, np.int64)[[root, member]]
+
+    def run(batches):
+        key, nodes, shingles = None, [], []
+        for batch in batches:
+            found = []
+            for k, node, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    if len(nodes) > 1:
+                        found.append(edges(nodes, shingles))
+                    key, nodes, shingles = k, [], []
+                nodes.append(node)
+                shingles.append(x)
+            if found:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), schema=schema)
+        if len(nodes) > 1:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, edges(nodes, shingles))), schema=schema)
+    return run
+
+
+def _candidate_groups(fps: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """``node, label`` of the distinct ``fp`` that are connected by candidate pairs: those that share
+    a block and differ in at most the share of bits that belongs to ``similarity``, plus MARGIN."""
+    share = differing_share(similarity)
+    most = math.floor(64 * WIDE * share + MARGIN * math.sqrt(64 * WIDE * share * (1 - share)))
+    blocks = _blocks(fps.count(), similarity)
     keyed_schema = pa.schema([("key", pa.int64()), ("fp", pa.binary())])
 
     def keys(batches):
@@ -327,20 +379,71 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
     def compared(rows: DataFrame, limit: int | None) -> DataFrame:
         return (rows.repartition("key").sortWithinPartitions("key", "fp")
                 .mapInArrow(_block_edges(most, limit), "key long, a binary, b binary"))
-    found = spool(compared(nodes.select("fp").mapInArrow(keys, "key long, fp binary"), bucket))
+    found = spool(compared(fps.mapInArrow(keys, "key long, fp binary"), bucket))
     # blocks too large for one task: every two of their parts meet in a task of their own
     rest = found.where("b IS NULL").select("key", F.col("a").alias("fp"))
     parts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("parts"))
-    rest = rest.join(parts, "key").withColumn("_part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    large = compared(_paired_parts(rest.join(parts, "key"), "key", "fp").select("key", "fp"), None)
+    return connected_components(
+        found.where("b IS NOT NULL").unionByName(large)
+        .select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct())
+
+
+def _paired_parts(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """``rows`` dealt by ``item`` to as many ``parts`` of their ``key`` as the column says; ``key``
+    becomes one of each two parts that a row belongs to."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64(
-        F.col("key"), F.least("_part", j), F.greatest("_part", j)))
-    large = compared(rest.select(F.explode(pairs).alias("key"), "fp"), None)
-    edges = (found.where("b IS NOT NULL").unionByName(large)
-             .select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct())
-    labels = connected_components(edges)
-    placed = spool(nodes.join(labels, "node", "left").select("fp", "rep", F.coalesce("label", "node").alias("cluster")))
+        F.col(key), F.least("_part", j), F.greatest("_part", j)))
+    return rows.withColumn(key, F.explode(pairs)).drop("_part", "parts")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY,
+                      bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, text_hash, cluster, component`` per row of ``docs`` (``doc_id, text``): near-duplicates
+    by the similarity of their shingle sets rather than by 3 bits.
+
+    Texts of similarity 0.8 differ in some 15 % of the bits, which no split into a few blocks can
+    find. So fingerprints have 256 bits and many more blocks, and a wide cut on their distance; what
+    they connect are only candidates. All texts of such a group are compared by their shingle sets,
+    and those of a Jaccard similarity of at least ``similarity`` are linked. No pair below is a link;
+    a pair above can be missed where no block or distance brings it into one group (about 1 in 100
+    at just the similarity, fewer above). Nulls, copies and ids as in :func:`near_duplicates`.
+    """
+    from xxhash import xxh64_intdigest
+
+    def start():
+        def one(doc_id, text, text_hash):
+            found = shingle_set(text, shingle)
+            node = xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+            return [(doc_id, text_hash, wide_fingerprint(found), node, len(found))]
+        return one
+    texts = id_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    rows = spool(map_rows(texts, "doc_id long, text_hash long, fp binary, node long, n long", start))
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id")
+    sets = spool(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("doc_id").alias("rep"),
+                                          F.min(F.struct(place, F.col("text_hash").alias("_hash"))).alias("one")))
+    groups = _candidate_groups(sets.select("fp").distinct(), similarity, bucket)
+    point = F.xxhash64("fp").alias("point")
+    sets = spool(sets.withColumn("point", point).join(groups.withColumnRenamed("node", "point"), "point", "left")
+                 .select(F.coalesce("label", "point").alias("key"), "node", "n", "rep", "one"))
+    # groups of several sets, large ones in parts
+    parts = (sets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).where("m > 1")
+             .select("key", F.greatest(F.ceil(F.col("m") / bucket), F.ceil(F.col("n") / PART_SHINGLES))
+                     .cast("int").alias("parts")))
+    wanted = sets.join(parts, "key").select("key", "node", "parts", "one.*")
+    sources = (texts.select(place, "text", F.col("text_hash").alias("_hash")).join(wanted, ["_id", "_hash"])
+               .groupBy("node", "key", "parts").agg(F.min("text").alias("text")))
+
+    def shingled():
+        return lambda node, key, parts, text: [(node, key, parts, shingle_set(text, shingle).tobytes())]
+    dealt = _paired_parts(map_rows(sources, "node long, key long, parts int, shingles binary", shingled), "key", "node")
+    edges = (dealt.select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
+             .mapInArrow(_set_edges(similarity), "a long, b long").distinct())
+    labels = connected_components(edges).withColumnRenamed("label", "_class")
+    placed = spool(sets.join(labels, "node", "left").select("node", "rep", F.coalesce("_class", "node").alias("cluster")))
     first = placed.groupBy("cluster").agg(F.min("rep").alias("component"))
-    return rows.join(placed.join(first, "cluster").select("fp", "cluster", "component"), "fp").select(
+    return rows.join(placed.join(first, "cluster").select("node", "cluster", "component"), "node").select(
         "doc_id", "text_hash", "cluster", "component")
 
 
