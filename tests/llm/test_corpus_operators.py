@@ -274,6 +274,25 @@ def test_co_training_on_held_out_rows(spark, docs_of):
     assert np.allclose(again.content, model.content) and again.cutoff == pytest.approx(model.cutoff)
 
 
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark, docs_of, monkeypatch):
+    rows, labels = quality_rows(6000)
+    # one document of a rare source among thousands, clean as the good ones are
+    rare = next(i for i, *_ in reversed(rows) if i % 3 and i % 4)
+    rows = [(i, t, g, "rare" if i == rare else s) for i, t, g, s in rows]
+    picked, surest = [], cotraining.surest
+
+    def watched(*args):
+        picked.append([tuple(r) for r in surest(*args).collect()])
+        most = args[3]
+        assert all(sum((v, c) == r[:2] for r in picked[-1]) <= most[c] for v in (0, 1) for c in (0, 1))
+        return surest(*args)
+    monkeypatch.setattr(cotraining, "surest", watched)
+    monkeypatch.setattr(cotraining, "ROUNDS", 1)
+    assert cotraining.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int")).given > 0
+    known = {i for i, _ in labels}
+    assert (0, 1, rare) in picked[0] and not known & {r[2] for r in picked[0]}
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline
     import tiktoken

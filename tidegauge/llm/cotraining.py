@@ -2,30 +2,35 @@
 
 Two views of a document: its content (presence of hashed character n-grams, repetition of words and
 characters) and its page metadata (source, language, length and line layout). A logistic regression
-per view is fitted on a bounded sample of labelled rows; over some rounds each view labels the
-unlabelled rows of a bounded pool that it is sure of, for the other view to learn from. On labelled
-rows kept aside both are calibrated (Platt) and their log-odds combined by a further regression.
+per view is fitted on a bounded sample of labelled rows. Over some rounds each view scores every
+unlabelled document, and the ones it is surest of, dealt evenly over sources and languages, are what
+the other view learns from. On labelled rows kept aside both are calibrated (Platt) and their
+log-odds combined by a further regression.
 Every document is scored; the cutoff lies below all but ``LOST`` of the good rows kept aside.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from tidegauge.llm.common import map_rows, unit_hash
+from tidegauge.llm.common import CHUNK_ROWS, map_rows, unit_hash
+from tidegauge.session import spool
 
-#: Labelled rows and unlabelled rows to learn from, picked by a hash of the id.
-LABELLED = 2000
-POOL = 2000
+#: Labelled rows to learn from, picked by a hash of the id.
+LABELLED = 3000
 ROUNDS = 4
 #: Pseudo-labels that a view may give per round, and the probability from which it is sure.
-GIVEN = 200
+GIVEN = 300
 SURE = 0.98
 #: Part of the labelled rows kept aside for calibration and the cutoff.
 ASIDE = 0.3
@@ -34,7 +39,8 @@ LOST = 0.002
 WIDTH = 1 << 12
 META_WIDTH = 1 << 8
 
-SAMPLE_SCHEMA = "doc_id long, quality int, content binary, dense array<double>, meta binary"
+FEATURES = "doc_id long, content binary, dense array<double>, meta binary, source string, lang string"
+SURE_SCHEMA = "view int, quality int, source string, lang string, odds double, doc_id long"
 
 
 def content(text: str) -> tuple[np.ndarray, list[float]]:
@@ -120,41 +126,37 @@ class Model:
         return float(self.score(x[None], (meta / np.sqrt(max(1, np.count_nonzero(meta))))[None])[0])
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS,
-             given: int = GIVEN, sure: float = SURE) -> Model:
-    """Model from feature rows of both views; ``quality`` is 1, 0 or -1 (unlabelled)."""
+def co_train(content: np.ndarray, meta: np.ndarray, quality: np.ndarray, ask: Callable,
+             rounds: int = ROUNDS, given: int = GIVEN) -> Model:
+    """Model from feature rows of both views and their ``quality`` (1 or 0).
+
+    ``ask(weights, told, most)`` gives per view the rows ``doc_id, quality, content, meta`` (features)
+    it tells the other one: of the unlabelled documents it is sure of, without those ``told`` to that
+    other view before (ids), at most ``most[c]`` of class ``c``.
+    """
     views = (content, meta)
-    labelled = np.flatnonzero(quality >= 0)
     # rows come in a fixed order: every k-th of each class is kept aside
     aside = np.zeros(len(quality), bool)
     for c in (0, 1):
         own = np.flatnonzero(quality == c)
         aside[own[::max(2, round(1 / ASIDE))]] = True
-    known = [{i: float(quality[i]) for i in labelled if not aside[i]} for _ in views]
-    pool = set(np.flatnonzero(quality < 0).tolist())
+    own = np.flatnonzero(~aside)
+    told = [{}, {}]  # by the view that learns: id to class and feature row
 
     def fitted(v):
-        rows = np.fromiter(known[v], np.int64)
-        return fit_logistic(views[v][rows], np.fromiter(known[v].values(), float))
+        new = list(told[v].values())
+        x = np.concatenate([views[v][own], np.array([x for _, x in new], views[v].dtype).reshape(-1, views[v].shape[1])])
+        return fit_logistic(x, np.r_[quality[own], [c for c, _ in new]].astype(float))
     weights, n_given = [fitted(0), fitted(1)], 0
-    prior = np.mean([known[0][i] for i in known[0]])
+    # as many of each class as the labelled rows have
+    good = round(given * np.mean(quality[own]))
     for _ in range(rounds):
-        told = [{}, {}]
-        for v in (0, 1):
-            rows = np.array(sorted(pool - known[1 - v].keys()))
-            if not len(rows):
-                continue
-            p = _sigmoid(_score(views[v][rows], weights[v]))
-            # as many of each class as the labelled rows have, the surest first
-            for c, most in ((1, round(given * prior)), (0, given - round(given * prior))):
-                q = p if c else 1 - p
-                best = np.argsort(-q, kind="stable")[:most]
-                told[1 - v] |= {int(rows[i]): float(c) for i in best if q[i] >= sure}
-        if not any(told):
+        answers = ask(weights, [sorted(t) for t in told], {1: good, 0: given - good})
+        if not any(answers):
             break
         for v in (0, 1):
-            known[v] |= {i: c for i, c in told[v].items() if i not in known[v]}
-            n_given += len(told[v])
+            told[1 - v] |= {r[0]: (r[1], r[2 + 1 - v]) for r in answers[v]}
+            n_given += len(answers[v])
         weights = [fitted(0), fitted(1)]
     kept = np.flatnonzero(aside)
     odds = np.c_[_score(content[kept], weights[0]), _score(meta[kept], weights[1])]
@@ -187,42 +189,96 @@ def _matrix(packed: list[bytes], width: int, dense: list | None = None) -> np.nd
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Model from bounded samples of labelled rows and of documents without a label; None where the
+def _by_row(packed: list[bytes], w: np.ndarray, dense: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds of packed feature rows, each summed by itself: the same in whatever batch it comes."""
+    bits = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+    width = bits.shape[1]
+    z = (bits * w[:width]).sum(axis=1) / np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1)) + w[-1]
+    return z if dense is None else z + (dense * w[width:-1]).sum(axis=1)
+
+
+def surest(rows: DataFrame, weights: list[np.ndarray], told: list[list[int]], most: dict[int, int],
+           sure: float = SURE) -> DataFrame:
+    """``view, quality, doc_id`` of the unlabelled ``rows`` (FEATURES) that each view is sure of.
+
+    Every row is scored. Per view and class the surest of each source and language come first, then
+    the second of each, up to ``most[class]``; ids of ``told[v]`` are not told to view ``v`` again.
+    A task hands on at most that many rows per view, class, source and language.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((weights, [set(t) for t in told]))  # bounded by GIVEN
+    limit = math.log(sure / (1 - sure))
+    schema = pa.schema([("view", pa.int32()), ("quality", pa.int32()), ("source", pa.string()), ("lang", pa.string()),
+                        ("odds", pa.float64()), ("doc_id", pa.int64())])
+
+    def run(batches):
+        weights, told = shared.value
+        best = defaultdict(list)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                ids, marks, dense, meta, source, lang = (c.to_pylist() for c in batch.slice(at, CHUNK_ROWS).columns)
+                for v, z in enumerate((_by_row(marks, weights[0], np.array(dense)), _by_row(meta, weights[1]))):
+                    for i in np.flatnonzero(np.abs(z) >= limit):
+                        c = int(z[i] > 0)
+                        if ids[i] in told[1 - v] or not most[c]:
+                            continue
+                        heap, item = best[v, c, source[i], lang[i]], (abs(float(z[i])), ids[i])
+                        (heapq.heappush if len(heap) < most[c] else heapq.heappushpop)(heap, item)
+        found = [(*k, *item) for k, heap in best.items() for item in heap]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+    found = rows.select("doc_id", "content", "dense", "meta", "source", "lang").mapInArrow(run, SURE_SCHEMA)
+    order = [F.col("odds").desc(), F.col("doc_id").desc()]
+    w = Window.partitionBy("view", "quality", "source", "lang").orderBy(*order)
+    found = spool(found.withColumn("place", F.row_number().over(w)))
+    picked = [found.where((F.col("view") == v) & (F.col("quality") == c) & (F.col("place") <= n))
+              .orderBy("place", *order).limit(n) for v in (0, 1) for c, n in most.items()]
+    return picked[0].union(picked[1]).union(picked[2]).union(picked[3]).select("view", "quality", "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    """Model from a bounded sample of labelled rows and all documents without a label; None where the
     labels do not hold both classes. A document with contradicting labels has none; of rows that share
-    an id the first by text, source and language is learned from."""
+    an id the first by their features is learned from."""
     marked = (labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
               .agg(F.min("quality").alias("quality"), F.max("quality").alias("_high"))
-              .where("quality = _high").select("doc_id", F.col("quality").cast("int").alias("quality")))
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    counts = {r[0]: r[1] for r in ids.join(marked, "doc_id", "left").groupBy(
-        F.coalesce("quality", F.lit(-1))).count().collect()}  # three rows at most
-    if not counts.get(0) or not counts.get(1):
-        return None
-    u = unit_hash("doc_id", seed=2)
-    part = F.when(F.col("quality").isNull(), F.lit(pool / max(1, counts.get(-1, 0)))).otherwise(
-        # half of each class: both need enough rows to be calibrated
-        F.when(F.col("quality") == 1, F.lit(labelled / 2 / counts[1])).otherwise(F.lit(labelled / 2 / counts[0])))
-    # ids of the sample: their number is bounded by the two parameters
-    chosen = (ids.join(marked, "doc_id", "left").where(u < part).orderBy(u, "doc_id").limit(labelled + pool))
-    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), "doc_id")
-    # one row per id, so that the bound holds however often an id repeats
-    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "source", "lang")).alias("_r"))
-    rows = _features(rows.select("doc_id", "quality", "_r.*"), "quality")
+              .where("quality = _high").select(F.col("doc_id").cast("long").alias("doc_id"),
+                                               F.col("quality").cast("int").alias("quality")))
 
     def start():
-        def one(doc_id, quality, text, source, lang):
+        def one(doc_id, text, source, lang):
             marks, dense = content(text)
-            return [(doc_id, -1 if quality is None else quality, np.packbits(marks).tobytes(), dense,
-                     np.packbits(metadata(text, source, lang)).tobytes())]
+            return [(doc_id, np.packbits(marks).tobytes(), dense,
+                     np.packbits(metadata(text, source, lang)).tobytes(), source, lang)]
         return one
-    sample = sorted(map(tuple, map_rows(rows, SAMPLE_SCHEMA, start).collect()))
-    sample.sort(key=lambda r: xxh64_intdigest(str(r[0])))
+    rows = map_rows(_features(docs.where("doc_id IS NOT NULL")), FEATURES, start)
+    # one row per id, however often it repeats
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("content", "dense", "meta", "source", "lang")).alias("_r"))
+    rows = spool(rows.join(marked, "doc_id", "left").select("doc_id", "_r.*", "quality"))
+    counts = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}  # three rows at most
+    if not counts.get(0) or not counts.get(1):
+        return None
+    u = unit_hash("doc_id", seed=2)
+    # half of each class: both need enough rows to be calibrated
+    part = F.when(F.col("quality") == 1, F.lit(labelled / 2 / counts[1])).otherwise(F.lit(labelled / 2 / counts[0]))
+    # rows of the sample: their number is bounded by the parameter
+    sample = (rows.where("quality IS NOT NULL").where(u < part).orderBy(u, "doc_id").limit(labelled)
+              .select("doc_id", "quality", "content", "dense", "meta").collect())
+    sample = sorted(sample, key=lambda r: xxh64_intdigest(str(r[0])))
     if not sample:
         return None
-    quality = np.array([r[1] for r in sample])
+    unlabelled = rows.where("quality IS NULL")
+
+    def ask(weights, told, most):
+        picked = [tuple(r) for r in surest(unlabelled, weights, told, most).collect()]  # 2 * GIVEN at most
+        ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({r[2] for r in picked})], "doc_id long")
+        found = sorted(map(tuple, unlabelled.join(F.broadcast(ids), "doc_id").select(
+            "doc_id", "content", "dense", "meta").collect())) if picked else []
+        marks = _matrix([r[1] for r in found], WIDTH, [r[2] for r in found]) if found else ()
+        meta = _matrix([r[3] for r in found], META_WIDTH) if found else ()
+        place = {r[0]: i for i, r in enumerate(found)}
+        return [[(i, c, marks[place[i]], meta[place[i]]) for v, c, i in sorted(picked) if v == view] for view in (0, 1)]
     return co_train(_matrix([r[2] for r in sample], WIDTH, [r[3] for r in sample]),
-                    _matrix([r[4] for r in sample], META_WIDTH), quality)
+                    _matrix([r[4] for r in sample], META_WIDTH), np.array([r[1] for r in sample]), ask)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
