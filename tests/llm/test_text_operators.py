@@ -228,6 +228,18 @@ def test_winnowing_against_its_definition(spark, docs_of):
         assert got[i] == brute_choice(t), t
 
 
+def test_winnowing_of_texts_without_blanks(spark, docs_of):
+    rng = random.Random(8)
+    plain = ["".join(chr(rng.randint(low, high)) for _ in range(600)) for low, high in ((0x4E00, 0x9000), (48, 122))]
+    docs = docs_of([x for t in plain for x in (t, t[:5] + "x" + t[5:], t[250:350])])
+    found = {r.doc_id: set(r.h) for r in fingerprint.fingerprints(docs).select(
+        "doc_id", fingerprint.hashes(F.col("choice")).alias("h")).collect()}
+    for i in (0, 3):
+        whole, edited, part = found[i], found[i + 1], found[i + 2]
+        assert len(whole & edited) / len(whole | edited) > 0.9
+        assert len(part & whole) / len(part) > 0.8  # a passage at another offset
+
+
 @pytest.mark.parametrize("buckets", [1, 2, 7, 40])
 def test_fingerprints_of_edited_texts(spark, docs_of, buckets):
     rng = random.Random(7)

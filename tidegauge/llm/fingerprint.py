@@ -5,8 +5,9 @@ those of its halves), and of every ``WINDOW`` neighbouring hashes the least is c
 of equal ones. Hash and position are one number, so the windows' minima come from a few element-wise
 minima of the array with itself, shifted by 1, 2, 4 ..., and equal choices fall together. Two texts
 that share ``WINDOW + GRAM - 1`` tokens in a row share a chosen hash, at positions whose difference
-is the passage's offset. A token is a word; an unbroken run is cut every 16 characters, so that
-texts without blanks have fingerprints too. No row per token is made, no array is shuffled.
+is the passage's offset. A token is a word of at most 16 characters, or a single character of a longer
+unbroken run, so that what is chosen depends on content alone in texts without blanks too. No row per
+token is made, no array is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GRAM = 4
 WINDOW = 8
-TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 #: A chosen value holds 32 bits of hash above 31 bits that count down from the last position.
 POSITION_BITS = 31
 LAST = (1 << POSITION_BITS) - 1
