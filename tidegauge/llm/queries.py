@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import byte_bpe, chat, cotraining, fingerprint, language, mixing, pii, rules, simhash, suffixes
+from tidegauge.llm import (byte_bpe, chat, cotraining, fingerprint, infill, language, mixing, pii, ranked, rules,
+                           simhash, suffixes, toxicity)
 from tidegauge.llm.common import read
 from tidegauge.session import configure
 
@@ -188,3 +189,58 @@ q AS (SELECT tid, min(i) AS a, max(i) + 50 AS b FROM p GROUP BY tid, part
   UNION ALL SELECT tid, 0, len(ws) FROM x WHERE n > 1 AND len(ws) >= 50)
 SELECT doc_id, a::INTEGER AS start, b::INTEGER AS "end" FROM documents d JOIN x ON x.t = coalesce(d.text, '')
 JOIN q ON q.tid = x.tid"""
+
+
+@query
+def op11_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    found = infill.transform(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+SQL["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls, ('0x' || h[1:8])::BIGINT AS h1,
+    ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a,
+    greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m,
+    array_to_string(ls[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts
+  FROM benchmark),
+s AS (SELECT count(*) AS nd, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+q AS (SELECT iid, item_id, unnest(ts) AS term FROM i),
+f AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, nd),
+c AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l))) AS c
+  FROM f JOIN w USING (term), s),
+r AS (SELECT iid, item_id, rid, doc_id, sum(c)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+WINDOW o AS (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER o <= 50"""
