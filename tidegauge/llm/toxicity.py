@@ -31,6 +31,8 @@ SIZES = (5, 7, 9)
 TOXIC, ORDINARY, WINDOWS = 2000, 5000, 2048
 #: Bytes of the dictionaries, and of the pieces counted while training (a segment is a window).
 TOXIC_BYTES, ORDINARY_BYTES, DMER = 16384, 65536, 8
+#: Ordinary windows that a dictionary is trained on, evenly spaced.
+PLAIN = 300_000
 LEVEL = 3
 #: A window teaches toxicity where so many times the share of toxic texts has it as of others, and at
 #: least so many toxic texts and such a share of them.
@@ -114,8 +116,9 @@ def _length(data: bytes):
     """Function from a window to its length when compressed with the dictionary ``data``."""
     import zstandard
 
-    known = zstandard.ZstdCompressionDict(data)  # raw content where it is not a trained dictionary
-    known.precompute_compress(level=LEVEL)
+    known = zstandard.ZstdCompressionDict(data) if data else None  # raw content if not a trained dictionary
+    if known:
+        known.precompute_compress(level=LEVEL)
     compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False,
                                         write_dict_id=False, write_checksum=False).compress
     return lambda window: len(compress(window))
@@ -127,9 +130,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.memo = model, {size: {} for size in SIZES}
         self.lengths = _length(model.ordinary), _length(model.toxic)
+        # what a window takes in which nothing matches, and no dictionary can make it longer
+        noise = np.arange(1, 3, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+        self.flat = {size: _length(b"")(coded(noise, size)[0]) for size in SIZES}
 
     def savings(self, keys: np.ndarray, size: int) -> np.ndarray:
-        """Bytes that the toxic dictionary saves over the ordinary one, per window."""
+        """Bytes that the toxic dictionary saves over the ordinary one, per window; 0 where it finds no
+        match, since it cannot save any there."""
         distinct, first, back = np.unique(cut(keys, size), return_index=True, return_inverse=True)
         memo = self.memo[size]
         if len(memo) >= MEMO:
@@ -137,7 +144,10 @@ class Scorer:
         ordinary, toxic = self.lengths
         distinct = distinct.tolist()
         new = [i for i, k in enumerate(distinct) if k not in memo]
-        memo.update((distinct[i], ordinary(w) - toxic(w)) for i, w in zip(new, coded(keys[first[new]], size)))
+        flat = self.flat[size]
+        for i, w in zip(new, coded(keys[first[new]], size)):
+            n = toxic(w)
+            memo[distinct[i]] = ordinary(w) - n if n < flat else 0
         return np.array([memo[k] for k in distinct], np.int64)[back]
 
     def features(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -183,6 +193,7 @@ def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], prior: float) -> Mo
     told, plain = _telling(toxic, ordinary), np.concatenate(ordinary)
     if not told or not len(plain):
         return None
+    plain = plain[::-(-len(plain) // PLAIN)]
     model = Model(_dictionary(coded(plain, SIZES[-1]), ORDINARY_BYTES), _dictionary(told, TOXIC_BYTES), {}, np.zeros(0))
     scorer = model.scorer()
     for size in SIZES:
