@@ -11,7 +11,7 @@ from xxhash import xxh64_intdigest
 
 from tests.llm.conftest import ODD
 from tests.llm.test_text_operators import words
-from tidegauge.llm import chat, cotraining, simhash, suffixes
+from tidegauge.llm import chat, cotraining, mixing, pii, simhash, suffixes
 from tidegauge.llm.graph import connected_components
 
 
@@ -156,6 +156,51 @@ def test_links_are_exact_at_the_similarity(spark, docs_of, bucket):
     assert [found[i] for i in range(len(texts))] == label
 
 
+def test_near_duplicates_are_found_alone_and_in_company(spark, docs_of):
+    """At least 9 of 10 pairs just above the similarity, the same ones whatever else the table holds."""
+    rng = random.Random(13)
+    number = lambda: str(rng.randint(0, 99999))
+    texts, pairs = [], []
+    for _ in range(150):
+        w = [number() for _ in range(204)]
+        other = list(w)
+        for i in range(4, 4 + 6 * rng.choice([2, 3, 4]), 6):  # 180/220 and more
+            other[i] = number()
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(w), " ".join(other)]
+    assert all(len(shingles(texts[a]) & shingles(texts[b])) / len(shingles(texts[a]) | shingles(texts[b])) >= 0.8
+               for a, b in pairs)
+
+    def found(rows):
+        got = {r.doc_id: r.component for r in simhash.similar_documents(docs_of(rows)).collect()}
+        return {(a, b) for a, b in pairs if a in got and got[a] == got.get(b)}
+    rows = list(enumerate(texts))
+    alone = found(rows[:100]) | found(rows[100:200]) | found(rows[200:])
+    company = [(10_000 + i, " ".join(number() for _ in range(30))) for i in range(3000)]
+    assert found(rows + company) == alone
+    assert len(alone) >= 0.95 * len(pairs)
+
+
+def test_any_column_may_come_along(spark):
+    """Dots in names and map columns pass through every stage that returns the columns of documents."""
+    docs = spark.createDataFrame(
+        [(1, "mail me@a.bc now " + "w " * 30, "en", "s", {"a": 1}, "u"), (1, "mail me@a.bc now " + "w " * 30, "en", "s", {"a": 2}, "u"),
+         (2, None, None, None, None, None)],
+        "doc_id long, text string, lang string, source string, `a.map` map<string,int>, `meta.url` string")
+    labels = spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int")
+    for out, n in ((simhash.keep_first(docs), 2), (pii.mask_texts(docs), 3), (cotraining.keep_good(docs, labels), 3),
+                   (mixing.mixed_rows(docs), None)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert n is None or len(rows) == n
+        empty = {simhash.keep_first, pii.mask_texts, mixing.mixed_rows}
+    for stage in empty:
+        out = stage(docs.limit(0))
+        assert out.columns == docs.columns and out.count() == 0
+    assert cotraining.train(docs.limit(0), labels) is None
+    assert simhash.near_duplicates(docs.limit(0)).count() == simhash.similar_documents(docs.limit(0)).count() == 0
+
+
 def brute_passages(rows, length=50):
     texts = [words(t) for _, t in rows]
     where = defaultdict(set)

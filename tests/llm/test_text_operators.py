@@ -1,6 +1,7 @@
 """Operators on single texts against brute force and exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -92,6 +93,13 @@ def test_pii_base_spans_match_the_patterns():
 def test_pii_further_kinds_need_proof_or_context(spark, docs_of):
     assert [s[0] for s in pii.find("to DE89 3704 0044 0532 0130 00 now")] == ["iban"]
     assert pii.find("to DE88 3704 0044 0532 0130 00 now") == []
+    # what follows an account number is no part of it
+    for text, end in (("GB82 WEST 1234 5698 7654 32 I paid", 27), ("DE89 3704 0044 0532 0130 00 12 EUR", 27),
+                      ("DE89370400440532013000 NEXT", 22), ("GB82WEST12345698765432, GB82WEST12345698765432", 22)):
+        assert pii.find(text)[0][:3] == ("iban", 0, end)
+    assert pii.find("DE89370400440532013000X") == pii.find("ZZ89370400440532013000") == pii.find("DE89") == []
+    assert pii.find("call (555) 123-4567 x")[0][:3] == ("local_phone", 5, 19)
+    assert pii.find("call 555) 123-4567 x") == []
     assert pii.find("see 123-45-6789") == [] and [s[0] for s in pii.find("SSN 123-45-6789")] == ["national_id"]
     assert [s[0] for s in pii.find("call +1 317-555-7008")] == ["phone"]
     scores = [pii.find(t)[0][3] for t in ("x 4915864153225946", "card 4915864153225946")]
@@ -160,6 +168,14 @@ def test_rules_keep_the_promise(spark, docs_of):
     kept = {r.doc_id: r.kept for r in rows}
     assert all(kept[i] == (i % 5 != 0) for i in range(1500) if i % 3)
     assert not any(r.kept for r in rows if r.base_failed)
+    # null and "" are strata of their own: each has its cutoffs, and the correction counts both
+    empty = docs_of([(i, t, "" if lang else None) for i, t, lang in ((*r, None)[:3] for r in texts)])
+    found = rules.stats(empty, "lang").join(frame.where("quality IN (0, 1)"), "doc_id")
+    cuts = rules.fit_cutoffs(found, "lang").collect()
+    assert {r.stratum for r in cuts} == {None, ""} and len(cuts) == 2 * len(rules.signals())
+    apart = rules.apply_rules(empty, frame).collect()
+    assert {r.doc_id: r.kept for r in apart if r.doc_id < 1500 and r.doc_id % 3} == {
+        i: kept[i] for i in range(1500) if i % 3}
     none = rules.apply_rules(docs_of(texts), frame.limit(0)).where("NOT kept AND NOT base_failed").count()
     assert none == 0 and rules.apply_rules(docs_of([], 0), frame).count() == 0
 
@@ -189,6 +205,12 @@ def test_language_on_held_out_rows(spark, docs_of):
     assert (language.train(changed)[1] == model[1]).all()
     again = language.train(docs_of(rows + rows[:30] * 9, 7))  # an id counts once, however often it is there
     assert (again[1] == model[1]).all()
+    # characters that regular expressions count as words, but that are no letters
+    odd = language.predict(docs_of(["½", "²³", "Ⅷ", "①", "ª", "ⅷ!", "é"]), model).collect()
+    assert [r.lang_pred == "und" for r in sorted(odd, key=lambda r: r.doc_id)] == [True, True, True, True, False, True, False]
+    assert language.predict(docs_of([], 0), model).count() == 0
+    few = language.train(docs_of(rows), most=2)
+    assert len(few[0]) == 2 and set(few[0]) < set(kinds)
     nothing = language.train(docs.where("lang = 'zz'"))
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
@@ -304,7 +326,59 @@ def test_mixing_meets_targets(spark, docs_of):
 
 
 def test_better_documents_come_first(spark, docs_of):
-    rows = [(i, "w " * 10, None, "ab"[i % 2]) for i in range(4000)]
-    weight = F.when(F.col("text").isNotNull() & (F.col("_u") >= 0), F.lit(1.0))
-    few = mixing.mix(docs_of(rows), weight=weight, total=0.5)
-    assert abs(few.agg(F.sum("copies")).first()[0] - 2000) <= 1
+    rows = [(i, ("good " if i % 4 else "poor ") * 10, None, "s") for i in range(4000)]
+    weight = F.when(F.col("text").startswith("good"), 1.0).otherwise(0.25)
+    few = {r.doc_id: r.copies for r in mixing.mix(docs_of(rows), weight=weight, total=0.5).collect()}
+    assert abs(sum(few.values()) - 2000) <= 1
+    # with exponential keys the taken are those with u ** (1 / w) above one level: 0.6 ... of weight 1
+    good = sum(few[i] for i in few if i % 4) / 3000
+    poor = sum(few[i] for i in few if not i % 4) / 1000
+    level = next(x / 1e4 for x in range(10_000, 0, -1) if 3 * (1 - x / 1e4) + 1 - (x / 1e4) ** 0.25 >= 2)
+    assert good == pytest.approx(1 - level, abs=0.03) and poor == pytest.approx(1 - level ** 0.25, abs=0.04)
+
+
+def test_no_cell_of_the_mix_holds_many_documents(spark, docs_of):
+    """Texts without blanks have tiny weights; their keys spread over as many cells as others do."""
+    from unittest.mock import patch
+    rows = [(i, "x" * 3000 if i % 2 else "w " * 600, None, "s") for i in range(3000)]
+    written, spool = [], mixing.spool
+
+    def watched(df):
+        out = spool(df)
+        if "cell" in out.columns:
+            written.append(out.groupBy("cell").count().agg(F.max("count")).first()[0])
+        return out
+    with patch.object(mixing, "spool", watched):
+        taken = mixing.mix(docs_of(rows), total=0.5)
+        assert taken.where("copies > 0").count() > 0
+    assert written and max(written) <= 3
+
+
+def test_language_scores_are_those_of_the_kernel(spark):
+    """The folded weights give what explicit kernels, landmarks, Nystroem map and ridge regression give."""
+    rng = random.Random(15)
+    kinds = {"aa": "krtoki", "bb": "selupn", "cc": "çéñulo"}
+    sample = [(g, " ".join("".join(rng.choice(kinds[g]) for _ in range(4)) for _ in range(10)))
+              for g in sorted(kinds) for _ in range(14)]
+    languages, weights = language.fit([(g, np.packbits(language.presence(t)).tobytes()) for g, t in sample], 12, 1e-2)
+
+    def grams(text):  # the places of the n-grams: as many as there are, but for a few that share one
+        places = set(np.flatnonzero(language.presence(text)).tolist())
+        plain = {text[i:i + n] for n in range(1, language.ORDER + 1) for i in range(len(text) - n + 1)}
+        assert 0.97 * len(plain) <= len(places) <= len(plain)
+        return places
+
+    def kernel(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+    texts = [grams(t) for _, t in sample]
+    marks = [g for c in languages for g in [x for x, (lang, _) in zip(texts, sample) if lang == c][:4]]
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    z = np.array([[kernel(a, b) for b in marks] for a in texts]) @ vectors / np.sqrt(values)
+    y = np.array([[1.0 if lang == c else -1.0 for c in languages] for lang, _ in sample])
+    share = 1 / 14
+    ridge = np.linalg.solve(share * z.T @ z + 1e-2 * np.eye(len(marks)), share * z.T @ y)
+    new = ["krat selu", "çéñu lolo", "uuu kkk"]
+    want = np.array([[kernel(grams(t), b) for b in marks] for t in new]) @ vectors / np.sqrt(values) @ ridge
+    got = [language.presence(t) @ weights / math.sqrt(language.presence(t).sum()) for t in new]
+    assert np.allclose(got, want, atol=1e-3)

@@ -71,9 +71,8 @@ def chosen_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         step = jump.select("key", "node", "up")
         above = rows.join(step, ["key", "node"]).select(
             "key", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
-        rows = rows.unionByName(above)
-        if k % 4 == 3:  # keep plans short in deep trees
-            rows = spool(rows)
+        # written every round: it is read twice by the next one, whose plan would double
+        rows = spool(rows.unionByName(above))
     return rows
 
 

@@ -24,6 +24,11 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names that ``select`` takes as they are, dots included."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def arrow_rows(schema: str, start: Callable[[], Callable[..., Iterable]]):
     """Function for ``mapInArrow``: ``start()`` runs once per task and returns a function from the
     values of one row to the rows to put out (tuples in the order of ``schema``)."""

@@ -6,7 +6,8 @@ per view is fitted on a bounded sample of labelled rows. Over some rounds each v
 unlabelled document, and the ones it is surest of, dealt evenly over sources and languages, are what
 the other view learns from. On labelled rows kept aside both are calibrated (Platt) and their
 log-odds combined by a further regression.
-Every document is scored; the cutoff lies below all but ``LOST`` of the good rows kept aside.
+Every document is scored; the cutoff lies below all but ``LOST`` of the good labelled rows that were
+not fitted on.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ GIVEN = 300
 SURE = 0.98
 #: Part of the labelled rows kept aside for calibration and the cutoff.
 ASIDE = 0.3
-#: Largest part of the good rows kept aside that the cutoff may lose.
+#: Largest part of the good labelled rows not fitted on that the cutoff may lose.
 LOST = 0.002
 WIDTH = 1 << 12
 META_WIDTH = 1 << 8
@@ -126,6 +127,15 @@ class Model:
         return float(self.score(x[None], (meta / np.sqrt(max(1, np.count_nonzero(meta))))[None])[0])
 
 
+def aside_rows(quality: np.ndarray) -> np.ndarray:
+    """Which rows are kept aside: they come in a fixed order, and every k-th of each class is."""
+    aside = np.zeros(len(quality), bool)
+    for c in (0, 1):
+        own = np.flatnonzero(quality == c)
+        aside[own[::max(2, round(1 / ASIDE))]] = True
+    return aside
+
+
 def co_train(content: np.ndarray, meta: np.ndarray, quality: np.ndarray, ask: Callable,
              rounds: int = ROUNDS, given: int = GIVEN) -> Model:
     """Model from feature rows of both views and their ``quality`` (1 or 0).
@@ -135,11 +145,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, quality: np.ndarray, ask: Ca
     other view before (ids), at most ``most[c]`` of class ``c``.
     """
     views = (content, meta)
-    # rows come in a fixed order: every k-th of each class is kept aside
-    aside = np.zeros(len(quality), bool)
-    for c in (0, 1):
-        own = np.flatnonzero(quality == c)
-        aside[own[::max(2, round(1 / ASIDE))]] = True
+    aside = aside_rows(quality)
     own = np.flatnonzero(~aside)
     told = [{}, {}]  # by the view that learns: id to class and feature row
 
@@ -172,13 +178,27 @@ def co_train(content: np.ndarray, meta: np.ndarray, quality: np.ndarray, ask: Ca
     combine = np.array([mixed[0] * platt[0][0], mixed[1] * platt[1][0],
                         mixed[0] * platt[0][1] + mixed[1] * platt[1][1] + mixed[2]])
     model = Model(weights[0], weights[1], combine, 0.0, n_given)
-    good = np.sort(model.score(content[kept], meta[kept])[y > 0.5])
-    lost = math.floor(LOST * len(good))
-    # the worst good row still kept sets the cutoff, never above even odds
-    model.cutoff = float(min(0.5, good[lost])) if len(good) else 0.0
     return model
 
 
+def cutoff(rows: DataFrame, model: Model, fitted: DataFrame) -> float:
+    """The score that all but ``LOST`` of the good labelled ``rows`` (features and ``quality``) reach,
+    those with ids in ``fitted`` left out; never above even odds, 0 where no such row is left."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                marks, dense, meta = (c.to_pylist() for c in batch.slice(at, CHUNK_ROWS).columns)
+                odds = np.c_[_by_row(marks, model.content, np.array(dense)), _by_row(meta, model.meta)]
+                yield pa.RecordBatch.from_arrays([pa.array(_sigmoid(_score(odds, model.combine)))], ["score"])
+    left = rows.where("quality = 1").join(F.broadcast(fitted), "doc_id", "left_anti")
+    found = left.select("content", "dense", "meta").mapInArrow(run, "score double").agg(
+        F.percentile_approx("score", LOST, 100_000)).first()[0]
+    return 0.0 if found is None else float(min(0.5, found))
+
+
 def _matrix(packed: list[bytes], width: int, dense: list | None = None) -> np.ndarray:
     """Feature rows in single precision: presence, of length 1, and the dense features after it."""
     dense = np.array(dense) if dense else np.zeros((len(packed), 0))
@@ -229,7 +249,8 @@ def surest(rows: DataFrame, weights: list[np.ndarray], told: list[list[int]], mo
     found = rows.select("doc_id", "content", "dense", "meta", "source", "lang").mapInArrow(run, SURE_SCHEMA)
     order = [F.col("odds").desc(), F.col("doc_id").desc()]
     w = Window.partitionBy("view", "quality", "source", "lang").orderBy(*order)
-    found = spool(found.withColumn("place", F.row_number().over(w)))
+    # the limit comes before the table is written, so that tasks hand on only what can be taken
+    found = spool(found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(most.values())))
     picked = [found.where((F.col("view") == v) & (F.col("quality") == c) & (F.col("place") <= n))
               .orderBy("place", *order).limit(n) for v in (0, 1) for c, n in most.items()]
     return picked[0].union(picked[1]).union(picked[2]).union(picked[3]).select("view", "quality", "doc_id")
@@ -277,8 +298,14 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
         meta = _matrix([r[3] for r in found], META_WIDTH) if found else ()
         place = {r[0]: i for i, r in enumerate(found)}
         return [[(i, c, marks[place[i]], meta[place[i]]) for v, c, i in sorted(picked) if v == view] for view in (0, 1)]
-    return co_train(_matrix([r[2] for r in sample], WIDTH, [r[3] for r in sample]),
-                    _matrix([r[4] for r in sample], META_WIDTH), np.array([r[1] for r in sample]), ask)
+    quality = np.array([r[1] for r in sample])
+    model = co_train(_matrix([r[2] for r in sample], WIDTH, [r[3] for r in sample]),
+                     _matrix([r[4] for r in sample], META_WIDTH), quality, ask)
+    kept = aside_rows(quality)
+    fitted = docs.sparkSession.createDataFrame(  # bounded by ``labelled``
+        [(r[0],) for r, aside in zip(sample, kept) if not aside] or [(None,)], "doc_id long")
+    model.cutoff = cutoff(rows, model, fitted)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -286,7 +313,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     ``score`` is the combined probability of good quality, ``kept`` whether it reaches the model's
     cutoff. Nulls count as an empty text or as a value of their own; repeated rows and null ids stay;
-    other columns are ignored. Without a model every score is null and every row is kept.
+    other columns are ignored. Without a model every score is null and every row is kept. An empty table
+    gives an empty one.
     """
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score"),

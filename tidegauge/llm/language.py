@@ -10,8 +10,6 @@ landmark is linear in the presence vector, so landmarks, whitening and ridge wei
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -23,6 +21,8 @@ ORDER = 4
 WIDTH = 1 << 16
 #: Texts to fit on, over all languages, as a hash of the id picks them; the rest is never needed.
 SAMPLE = 2000
+#: Languages learned: the most frequent ones. Bounds the sample, the landmarks and the weights.
+LANGUAGES = 256
 #: Texts of the sample that serve as landmarks.
 LANDMARKS = 256
 RIDGE = 1e-3
@@ -30,7 +30,10 @@ RIDGE = 1e-3
 BATCH = 64
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def presence(text: str) -> np.ndarray:
@@ -77,44 +80,46 @@ def fit(sample: list[tuple[str, bytes]], n_landmarks: int = LANDMARKS, ridge: fl
     gram = (z * weight[:, None]).T @ z + ridge * np.eye(z.shape[1])
     solved = whiten @ np.linalg.solve(gram, (z * weight[:, None]).T @ y)
     folded = (marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))).T @ solved
-    return languages, folded.astype(np.float32)
+    return languages, folded
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS):
+def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS, most: int = LANGUAGES):
     """Model from the rows of ``docs`` (``doc_id, text, lang``) that are not held out.
 
-    Rows without an id, language or letter teach nothing. The sample is bounded by ``sample``, in
-    equal parts per language (a part that one language cannot fill stays unfilled); of rows that
-    share an id and a language only the first by text teaches.
+    Rows without an id, language or letter teach nothing, nor do languages beyond the ``most`` of most
+    ids (ties: the first by name). The sample is bounded by ``sample``, in equal parts per language, at
+    least 4 texts each (a part that one language cannot fill stays unfilled); of rows that share an id
+    and a language only the first by text teaches.
     """
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     ids = usable.select("lang", "doc_id").distinct()
-    counts = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}  # one row per language
+    by_size = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = {r[0]: r[1] for r in by_size.limit(most).collect()}
     if not counts:
-        return [], np.zeros((WIDTH, 0), np.float32)
+        return [], np.zeros((WIDTH, 0))
     part = max(4.0, sample / len(counts))
-    share = F.element_at(F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, part / n))),
+    share = F.try_element_at(F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, part / n))),
                          F.col("lang"))
     chosen = id_text(usable.where(unit_hash("doc_id", seed=5) < share), "lang")
     chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def start():
         return lambda doc_id, text, lang: ([(doc_id, lang, np.packbits(presence(text)).tobytes())]
-                                           if LETTER.search(text) else [])
+                                           if has_letter(text) else [])
     rows = map_rows(chosen, "doc_id long, lang string, marks binary", start).collect()
     ordered = sorted(((r.doc_id, r.lang, bytes(r.marks)) for r in rows))
     if not ordered:
-        return [], np.zeros((WIDTH, 0), np.float32)
+        return [], np.zeros((WIDTH, 0))
     return fit([(lang, marks) for _, lang, marks in ordered], n_landmarks)
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
     """``doc_id, lang_pred, score`` per row of ``docs`` (``doc_id, text``).
 
-    ``score`` is the winning regression value brought from [-1, 1] to [0, 1]; ties go to the first
-    language. A text that is null, empty or without a letter is ``und`` with score 0, as is every
+    ``score`` is the winning regression value brought from [-1, 1] to [0, 1], at nine digits, which do
+    not depend on the batch a text comes in; ties go to the first language. A text that is null, empty or without a letter is ``und`` with score 0, as is every
     text under a model that has learned nothing. Repeated rows and null ids stay; other columns are
-    ignored; whole texts are read.
+    ignored; whole texts are read. An empty table gives an empty one.
     """
     languages, weights = model
     # WIDTH x languages: fixed by the model, whatever the number of documents
@@ -125,10 +130,10 @@ def predict(docs: DataFrame, model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
-                x = np.stack([presence(t) for t in texts]).astype(np.float32)
-                scores = (x @ shared.value) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-                rows = [(i, languages[s.argmax()], float(min(1, max(0, (s.max() + 1) / 2))))
-                        if languages and LETTER.search(t) else (i, UNKNOWN, 0.0)
+                x = np.stack([presence(t) for t in texts]).astype(float)
+                scores = ((x @ shared.value) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))).round(9)
+                rows = [(i, languages[s.argmax()], round(float(min(1, max(0, (s.max() + 1) / 2))), 9))
+                        if languages and has_letter(t) else (i, UNKNOWN, 0.0)
                         for i, t, s in zip(ids, texts, scores)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)

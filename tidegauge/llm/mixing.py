@@ -4,14 +4,16 @@ Targets are shared out by weight under a cap per source. A source takes its docu
 of Efraimidis-Spirakis keys (exponential with the document's quality weight as rate): as many
 complete epochs as fit into the target, then a prefix of the order for the rest. The prefix is found
 without sorting a source: keys fall into 2^12 cells and each of those into 2^12 more, sizes are
-summed per cell, and only the rows of the one cell that holds the cut are put in order.
+summed per cell, and only the rows of the one cell that holds the cut are put in order. Cells are even
+in the logarithm of the key, where a cell holds at most some 2 in a million of a source's documents
+(by expectation), whatever their weights are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.llm.common import WORD
+from tidegauge.llm.common import WORD, quoted
 from tidegauge.operators.joins import null_safe_join
 from tidegauge.session import spool
 
@@ -84,14 +86,15 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weight: Column | None =
     taken like any others, ties of the key go to the smaller id; a null id is hashed as an empty
     one. ``weight`` (over ``text`` and ``_size``) must be positive. An empty table gives an empty one.
     """
-    t = 1.0 - F.pow(F.col("_u"), 1.0 / F.col("_w"))  # order of -ln(u)/w, between 0 and 1
+    # 2^17 cells to a doubling of the key, over 128 doublings: an exponential variable's logarithm has
+    # a density below 1/e, and a weight only moves it
+    at = F.floor((F.log2("key") + 64) * float(CELLS * CELLS >> 7))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       "text", F.struct(*(keep or ["doc_id"])).alias("row"))
+                       "text", F.struct(*quoted(keep or ["doc_id"])).alias("row"))
     rows = (rows.withColumn("_size", size()).withColumn("_u", uniform())
             .withColumn("_w", quality_weight() if weight is None else weight)
-            .select("doc_id", "source", F.col("_size").alias("size"), "row",
-                    (-F.log("_u") / F.col("_w")).alias("key"),
-                    F.least(F.floor(t * float(CELLS * CELLS)), F.lit(CELLS * CELLS - 1)).alias("cell")))
+            .select("doc_id", "source", F.col("_size").alias("size"), "row", (-F.log("_u") / F.col("_w")).alias("key"))
+            .withColumn("cell", F.greatest(F.lit(0), F.least(at, F.lit(CELLS * CELLS - 1)))))
     rows = spool(rows)
     coarse = F.floor(F.col("cell") / CELLS)
     sums = spool(rows.groupBy("source", coarse.alias("_coarse")).agg(F.sum("size").alias("_words")))

@@ -16,7 +16,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.common import id_text, map_rows
+from tidegauge.llm.common import id_text, map_rows, quoted
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("iban", "national_id", "local_phone")
@@ -32,11 +32,24 @@ NUMBERS = re.compile(r"[0-9+][\x20().0-9+-]{5,}")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
 NATIONAL_ID = re.compile(r"(?<![0-9.+-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-LOCAL_PHONE = re.compile(r"(?<![0-9.+-])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
+LOCAL_PHONE = re.compile(r"(?<![0-9.+-])[0-9]{3}(?:[\x20.-]|\)\x20?)[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 
+# Characters of an account number, by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
+IBAN = {n: re.compile(rf"[A-Z0-9](?:\x20?[A-Z0-9]){{{n - 1}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+
 # Score of the bare shape, and words that raise it when they stand nearby.
 START_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.8, "iban": 0.8,
                "national_id": 0.4, "local_phone": 0.4}
@@ -99,13 +112,20 @@ def _numbers(text: str):
             if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
                 yield "national_id", *m.span()
         for m in LOCAL_PHONE.finditer(text, at, end):
-            yield "local_phone", *m.span()
+            a, b = m.span()
+            if text[a + 3] != ")":
+                yield "local_phone", a, b
+            elif text[a - 1:a] == "(":
+                yield "local_phone", a - 1, b
 
 
 def _ibans(text: str):
-    for m in IBAN.finditer(text):
-        account = m.group().replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
+    """An account number is as long as its country's are, whatever follows it."""
+    done = 0
+    for start in IBAN_START.finditer(text):
+        m = IBAN[IBAN_LENGTHS[start[1]]].match(text, start.start()) if start[1] in IBAN_LENGTHS else None
+        if m and m.start() >= done and mod97(m.group().replace(" ", "")):
+            done = m.end()
             yield "iban", *m.span()
 
 
@@ -150,7 +170,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` per row of ``docs`` (``doc_id, text``).
 
     A null text counts as empty and has no spans; repeated rows and null ids stay; other columns
-    are ignored; no text is cut.
+    are ignored; no text is cut; an empty table gives an empty one.
     """
     def start():
         return lambda doc_id, text: [(doc_id, [dict(zip(("kind", "start", "end", "score"), s))
@@ -183,4 +203,4 @@ def mask_texts(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("text", masked("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))

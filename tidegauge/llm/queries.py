@@ -73,7 +73,7 @@ m AS (SELECT s.*, quality FROM s JOIN labels l ON l.doc_id = s.doc_id WHERE NOT
 k AS (SELECT lang, rule, cut, count_if(quality = 1) AS n, count_if(quality = 1 AND signal > cut) AS lost,
     count_if(quality = 0 AND signal > cut) AS caught
   FROM m, (SELECT i / 50.0::DOUBLE AS cut FROM range(50) t(i)) GROUP BY ALL),
-p AS (SELECT *, 0.05::DOUBLE / 5 AS p, 0.05::DOUBLE / (5 * (SELECT greatest(1, count(DISTINCT coalesce(lang, ''))) FROM m)) AS d FROM k),
+p AS (SELECT *, 0.05::DOUBLE / 5 AS p, 0.05::DOUBLE / (5 * (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT lang FROM m))) AS d FROM k),
 q AS (SELECT *, CASE WHEN lost >= n * p THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(0, (lost + 1)::BIGINT), lambda i:
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) END > d AS fails FROM p),
 z AS (SELECT *, max(CASE WHEN fails THEN cut END) OVER (PARTITION BY lang, rule) AS floor FROM q),

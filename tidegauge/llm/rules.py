@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.common import id_text, map_rows
+from tidegauge.operators.joins import null_safe_join
 from tidegauge.session import spool
 
 #: Largest share of good documents of a stratum that the rules may reject, and the chance to fail.
@@ -129,7 +130,7 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float)
 def fit_cutoffs(rows: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``stratum, rule, cutoff, n_good`` from all labelled rows (``quality`` 1 good, 0 bad)."""
     names = list(signals())
-    n_strata = max(1, rows.agg(F.count_distinct(F.coalesce(stratum, F.lit("")))).first()[0])
+    n_strata = max(1, rows.select(stratum).distinct().count())  # null is one of its own
     grid = F.lit(list(GRID))
     below = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(grid, s.__gt__)).alias("above"))
              for r, s in signals().items()]
@@ -157,17 +158,17 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     ``labels`` holds ``doc_id, quality``; rows with a null in either are no labels, several labels
     of a document count one each. A null text has no words and fails the base rule. Null strata are
     a stratum; one without labels has no rules. Repeated rows and null ids stay; other columns are
-    ignored. Documents that fail the base rule take no part in the choice of cutoffs.
+    ignored; an empty table gives an empty one. Documents that fail the base rule take no part in the choice of cutoffs.
     """
     found = spool(stats(docs.withColumn(stratum, F.col(stratum).cast("string")), stratum))
     marked = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
     cutoffs = fit_cutoffs(found.where(~base_failed()).join(marked, "doc_id"), stratum, risk, delta)
     # one row per stratum; Spark measures it before it chooses a join
-    limits = (cutoffs.groupBy(F.coalesce("stratum", F.lit("\0")).alias("_stratum"))
-              .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs")))
+    limits = cutoffs.groupBy(F.col("stratum").alias(stratum)).agg(
+        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
     rejected = F.filter(F.array(*(F.when(s > F.col("_cutoffs")[r], F.lit(r)) for r, s in signals().items())),
                         lambda x: x.isNotNull())
-    out = (found.withColumn("_stratum", F.coalesce(stratum, F.lit("\0"))).join(limits, "_stratum", "left")
+    out = (null_safe_join(found, limits, [stratum], "left")
            .withColumn("base_failed", base_failed()).withColumn("rejected_by", rejected))
     return out.select("doc_id", *STATS, "base_failed",
                       (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.llm.common import id_text, map_rows
+from tidegauge.llm.common import id_text, map_rows, quoted
 from tidegauge.llm.graph import connected_components
 from tidegauge.session import spool
 
@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) ->
     fewer words is one shingle; null, empty and blank texts have fingerprint zero and link like any
     other. ``component`` is the smallest ``doc_id`` reachable over links of at most 3 bits, itself
     included. Repeated rows stay repeated; a null ``doc_id`` stays null, counts as larger than any
-    other, and its component is null where its class has no id at all. Other columns are ignored.
+    other, and its component is null where its class has no id at all. Other columns are ignored, an
+    empty table gives an empty one.
     """
     rows = spool(fingerprints(docs, shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -171,8 +172,11 @@ WIDE = 4
 SIMILARITY = 0.8
 #: Standard deviations above the expected distance up to which two fingerprints are candidates.
 MARGIN = 3.0
-#: Expected number of blocks that two texts of just the wanted similarity share.
-SHARED_BLOCKS = 8.0
+#: Bits of a block, and blocks: fixed, so that a pair is found or not whatever else the table holds. By
+#: the binomial model 98 of 100 pairs of just the wanted similarity share one and lie within the cut.
+BLOCK_BITS, BLOCKS = 18, 140
+#: Fingerprints of one block, or sets of one group, that one task compares at a time.
+WIDE_BUCKET = 512
 #: Shingles, summed over texts, of one part of a group of candidates; a task compares two parts.
 PART_SHINGLES = 1 << 21
 
@@ -207,13 +211,10 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > n).tobytes()
 
 
-def _blocks(n_texts: int, similarity: float) -> np.ndarray:
-    """Bit numbers of each block, blocks x bits. Blocks are as long as keeps a block's texts few by
-    chance, and as many as let close pairs share some; bits may be in several blocks."""
-    size = min(40, max(16, math.ceil(math.log2(n_texts + 1)) - 4))
-    many = math.ceil(SHARED_BLOCKS / (1 - differing_share(similarity)) ** size)
+def _blocks() -> np.ndarray:
+    """Bit numbers of each block, blocks x bits; bits may be in several blocks."""
     rng = np.random.RandomState(4)
-    return np.stack([rng.choice(64 * WIDE, size, replace=False) for _ in range(many)])
+    return np.stack([rng.choice(64 * WIDE, BLOCK_BITS, replace=False) for _ in range(BLOCKS)])
 
 
 def _fixed(column) -> np.ndarray:
@@ -361,7 +362,7 @@ def _candidate_groups(fps: DataFrame, similarity: float, bucket: int) -> DataFra
     a block and differ in at most the share of bits that belongs to ``similarity``, plus MARGIN."""
     share = differing_share(similarity)
     most = math.floor(64 * WIDE * share + MARGIN * math.sqrt(64 * WIDE * share * (1 - share)))
-    blocks = _blocks(fps.count(), similarity)
+    blocks = _blocks()
     keyed_schema = pa.schema([("key", pa.int64()), ("fp", pa.binary())])
 
     def keys(batches):
@@ -399,7 +400,7 @@ def _paired_parts(rows: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY,
-                      bucket: int = BUCKET) -> DataFrame:
+                      bucket: int = WIDE_BUCKET) -> DataFrame:
     """``doc_id, text_hash, cluster, component`` per row of ``docs`` (``doc_id, text``): near-duplicates
     by the similarity of their shingle sets rather than by 3 bits.
 
@@ -407,8 +408,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
     find. So fingerprints have 256 bits and many more blocks, and a wide cut on their distance; what
     they connect are only candidates. All texts of such a group are compared by their shingle sets,
     and those of a Jaccard similarity of at least ``similarity`` are linked. No pair below is a link;
-    a pair above can be missed where no block or distance brings it into one group (about 1 in 100
-    at just the similarity, fewer above). Nulls, copies and ids as in :func:`near_duplicates`.
+    a pair above can be missed where no block or distance brings it into one group (some 2 in 100
+    at just the similarity, fewer above), alone as in company of others. Nulls, copies and ids as in :func:`near_duplicates`.
     """
     from xxhash import xxh64_intdigest
 
@@ -455,6 +456,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY
     kept = found.groupBy("cluster").agg(F.min(F.struct(place, F.col("text_hash").alias("_tg_hash"))).alias("w")).select("w.*")
     rows = docs.select("*", place, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tg_hash"))
     rows = rows.join(kept, ["_tg_id", "_tg_hash"], "left_semi")
-    # the same row may be there more than once
-    w = Window.partitionBy("_tg_id", "_tg_hash").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_tg_row", F.row_number().over(w)).where("_tg_row = 1").select(*docs.columns)
+    # the same row may be there more than once; of rows that differ elsewhere the first as JSON stays
+    columns = quoted(docs.columns)
+    w = Window.partitionBy("_tg_id", "_tg_hash").orderBy(F.to_json(F.struct(*columns)))
+    return rows.withColumn("_tg_row", F.row_number().over(w)).where("_tg_row = 1").select(*columns)
