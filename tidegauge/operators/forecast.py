@@ -11,12 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidegauge.operators.joins import null_safe_join
-from tidegauge.operators.timeseries import ordered, series_position
+from tidegauge.operators.refit import sliding_forecasts
+from tidegauge.operators.timeseries import ordered
 from tidegauge.session import spool
 
 MODEL = ("p int, q int, n bigint, aic double, sigma2 double, const double, "
          "phi array<double>, theta array<double>")
 
+#: Widest (p, d, q) of models whose orders come with them; what an order search gives by default.
+WIDEST = (6, 1, 6)
+
 # Response surfaces of the unit-root statistic with constant, no trend
 # (MacKinnon 1994 for p-values, MacKinnon 2010 for critical values).
 TAU_STAR, TAU_MIN, TAU_MAX = -1.61, -18.83, 2.74
@@ -175,22 +179,29 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def differenced(series: DataFrame, value: str, d: int, keys: list[str], ts: str) -> DataFrame:
-    """``_w``: the d-times differenced value, null beside a hole; rows and ``_level`` stay.
+def differenced(series: DataFrame, value: str, d: int | Column, keys: list[str], ts: str, most: int | None = None,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """``_w``: the d-times differenced value, null beside a hole; rows, ``_level`` and ``keep`` stay.
 
-    ``_ends`` holds the last value of each differencing level, needed to undo the differences.
+    ``d`` may be a column that differs between series, up to ``most``. ``_ends`` holds the last value of
+    each differencing level, needed to undo the differences.
     """
-    df = series.select(*keys, ts, F.col(value).cast("double").alias("_level")).withColumn(
+    df = series.select(*keys, ts, *keep, F.col(value).cast("double").alias("_level")).withColumn(
         "_w", F.col("_level"))
-    ends = []
-    for _ in range(d):
-        ends.append(F.col("_w"))
-        df = df.withColumn(f"_d{len(ends)}", F.col("_w")).withColumn(
-            "_w", F.col("_w") - F.lag("_w").over(ordered(keys, ts)))
-    names = [F.col(f"_d{i + 1}") for i in range(d)]
+    names = [f"_d{i + 1}" for i in range(d if most is None else most)]
+    for i, name in enumerate(names):
+        change = F.col("_w") - F.lag("_w").over(ordered(keys, ts))
+        df = df.withColumn(name, F.col("_w")).withColumn(
+            "_w", change if most is None else F.when(d > i, change).otherwise(F.col("_w")))
     empty = F.expr("cast(array() as array<double>)")
     return (df.withColumn("_ends", F.array(*names) if names else empty)
-            .select(*keys, ts, "_level", "_w", "_ends"))
+            .select(*keys, ts, *keep, "_level", "_w", "_ends"))
+
+
+def _attached(series: DataFrame, models: DataFrame, value: str, keys: list[str], ts: str) -> DataFrame:
+    """Rows of a series with the model of their own, ``_model``; null where there is none."""
+    own = models.select(*keys, F.struct("p", "d", "q", "const", "phi", "theta").alias("_model"))
+    return null_safe_join(series.select(*keys, ts, value), own, list(keys), "left")
 
 
 def _with_innovations(df: DataFrame, keys: list[str], ts: str, q: int,
@@ -214,10 +225,10 @@ def _with_innovations(df: DataFrame, keys: list[str], ts: str, q: int,
     return joined.withColumn("_e", F.when(usable & F.col("_m").isNotNull(), left)).drop("_m", "_far", "_len", *FRAME)
 
 
-def _lagged(series: DataFrame, value: str, keys: list[str], ts: str, p: int, d: int, q: int,
-            long_order: int | None) -> DataFrame:
+def _lagged(series: DataFrame, value: str, keys: list[str], ts: str, p: int, d: int | Column, q: int,
+            long_order: int | None, **more) -> DataFrame:
     far = long_order or p + q + 4
-    df = _with_innovations(differenced(series, value, d, keys, ts), keys, ts, q, far)
+    df = _with_innovations(differenced(series, value, d, keys, ts, **more), keys, ts, q, far)
     return with_lags(with_lags(df, "_w", p, keys, ts, "_yl"), "_e", q, keys, ts, "_el")
 
 
@@ -292,12 +303,25 @@ def build_model(series: DataFrame, value: str, keys: list[str], ts: str, max_p:
 
 
 def fitted_values(series: DataFrame, models: DataFrame, value: str, keys: list[str], ts: str,
-                  order: tuple[int, int, int], long_order: int | None = None) -> DataFrame:
-    """One-step in-sample predictions in the units of the series: ``keys, ts, actual, fitted``."""
-    p, d, q = order
-    rows = arma_rows(series, value, keys, ts, p, d, q, long_order).join(
-        models.select(*keys, "const", "phi", "theta"), keys)
-    step = F.col("const") + dot("phi", "_yl") + dot("theta", "_el")
+                  order: tuple[int, int, int] | None = None, long_order: int | None = None,
+                  widest: tuple[int, int, int] = WIDEST) -> DataFrame:
+    """One-step in-sample predictions in the units of the series: ``keys, ts, actual, fitted``.
+
+    Without ``order`` every series follows its own model's (p, d, q), up to ``widest``: the widest that
+    was searched, whose long autoregression gives the innovations here as it did there. There a series
+    without a model has no rows.
+    """
+    p, d, q = order or widest
+    if order:
+        rows = arma_rows(series, value, keys, ts, p, d, q, long_order).join(
+            models.select(*keys, "const", "phi", "theta"), keys)
+    else:
+        own = _lagged(_attached(series, models, value, keys, ts), value, keys, ts, p, F.col("_model.d"), q, long_order,
+                      most=d, keep=("_model",))
+        rows = own.where(F.col("_w").isNotNull() & complete("_yl", F.col("_model.p")) & complete("_el", F.col("_model.q"))
+                         ).select("*", "_model.const", "_model.phi", "_model.theta")
+    step = (F.col("const") + dot("phi", F.slice("_yl", 1, F.size("phi")))
+            + dot("theta", F.slice("_el", 1, F.size("theta"))))
     return rows.select(*keys, ts, F.col("_level").alias("actual"),
                        (F.col("_level") - (F.col("_w") - step)).alias("fitted"))
 
@@ -311,15 +335,23 @@ def model_metrics(fitted: DataFrame, models: DataFrame, keys: list[str]) -> Data
 # ---- forecasting ---------------------------------------------------------------------------
 
 def forecast(series: DataFrame, models: DataFrame, value: str, keys: list[str], ts: str, freq: str,
-             order: tuple[int, int, int], steps: int, long_order: int | None = None) -> DataFrame:
+             order: tuple[int, int, int] | None, steps: int, long_order: int | None = None,
+             widest: tuple[int, int, int] = WIDEST) -> DataFrame:
     """``steps`` values ahead of each series, every prediction fed back as the newest lag.
 
     The recursion runs on one short lag array per series. ``(keys..., step, ts, forecast)``; the
-    forecast is null where the series has no model or its newest lags have a hole.
+    forecast is null where the series has no model or its newest lags have a hole. With ``order`` None
+    every series follows its own model's (p, d, q), as in :func:`fitted_values`.
     """
-    p, d, q = order
-    rows = _with_innovations(differenced(series, value, d, keys, ts), keys, ts, q,
-                             long_order or p + q + 4)
+    p, d, q = order or widest
+    if order:
+        levels = differenced(series, value, d, keys, ts)
+        own = models.select(*keys, "const", "phi", "theta", F.lit(d).alias("_times"))
+    else:
+        levels = differenced(_attached(series, models, value, keys, ts), value, F.col("_model.d"), keys, ts, most=d,
+                             keep=("_model",))
+        own = models.select(*keys, "const", "phi", "theta", F.col("d").alias("_times"))
+    rows = _with_innovations(levels, keys, ts, q, long_order or p + q + 4)
 
     def newest(column: str, n: int) -> Column:
         if n == 0:
@@ -330,64 +362,40 @@ def forecast(series: DataFrame, models: DataFrame, value: str, keys: list[str],
     # of a series that ends in a hole the last value counts
     last = state.groupBy(*keys).agg(F.max_by(F.struct(ts, "_ends", "_yl", "_el"), F.when(
         F.col("_w").isNotNull(), F.col(ts))).alias("_s"))
-    ready = null_safe_join(last.select(*keys, "_s.*"), models.select(*keys, "const", "phi", "theta"), list(keys))
+    ready = null_safe_join(last.select(*keys, "_s.*"), own, list(keys))
 
-    def push(lags: Column, new: Column, n: int) -> Column:
-        return F.slice(F.concat(F.array(new), lags), 1, n) if n else lags
+    def newer(lags: Column, new: Column, weights: str) -> Column:
+        return F.slice(F.concat(F.array(new), lags), 1, F.size(weights))
 
     def step(s: Column, _) -> Column:
         nxt = F.col("const") + dot(F.col("phi"), s["yl"]) + dot(F.col("theta"), s["el"])
-        return F.struct(push(s["yl"], nxt, p).alias("yl"), push(s["el"], F.lit(0.0), q).alias("el"),
+        return F.struct(newer(s["yl"], nxt, "phi").alias("yl"), newer(s["el"], F.lit(0.0), "theta").alias("el"),
                         F.concat(s["out"], F.array(nxt)).alias("out"))
 
-    start = F.struct(F.col("_yl").alias("yl"), F.col("_el").alias("el"),
+    # a model reads as many lags as it has weights, whatever the others need
+    start = F.struct(F.slice("_yl", 1, F.size("phi")).alias("yl"), F.slice("_el", 1, F.size("theta")).alias("el"),
                      F.expr("cast(array() as array<double>)").alias("out"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["out"])
-    out = ready.select(*keys, ts, "_ends", F.posexplode(path).alias("_k", "forecast"))
+    out = ready.select(*keys, ts, "_ends", "_times", F.posexplode(path).alias("_k", "forecast"))
     for level in range(d, 0, -1):
         upto = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("forecast", F.element_at("_ends", level) + F.sum("forecast").over(upto))
+        out = out.withColumn("forecast", F.when(F.col("_times") < level, F.col("forecast")).otherwise(
+            F.element_at("_ends", level) + F.sum("forecast").over(upto)))
     return out.select(*keys, (F.col("_k") + 1).alias("step"),
                       (F.col(ts) + (F.col("_k") + 1) * F.expr(f"INTERVAL {freq}")).alias(ts),
                       "forecast")
 
 
-def expand_refit_windows(series: DataFrame, keys: list[str], ts: str, window: int, total: int,
-                         num_lags: int, train_share: float | None = None) -> DataFrame:
-    """Rows of each sliding refit window, tagged ``window_id``.
-
-    Window w covers positions [end - window, end) with end = base + w * num_lags, where base is the
-    series length or the training share of it. The windows of a row follow from its position, so
-    no range join is needed; a row appears in at most ``window / num_lags + 1`` windows.
-    """
-    lags = max(num_lags, 1)
-    count = -(-total // lags)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    base = size if train_share is None else F.floor(F.lit(train_share) * size)
-    gap = F.col("_pos") - F.col("_base")
-    first = F.greatest(F.lit(0).cast("long"), F.floor(gap / lags) + 1)
-    last = F.least(F.lit(count - 1).cast("long"), F.floor((gap + window) / lags))
-    placed = series_position(series, keys, ts, "_pos").withColumn("_base", base)
-    spans = placed.withColumn("_a", first).withColumn("_z", last).where("_a <= _z")
-    return spans.withColumn("window_id", F.explode(F.sequence("_a", "_z"))).drop(
-        "_a", "_z", "_pos", "_base")
-
-
 def generate_forecasts(series: DataFrame, value: str, keys: list[str], ts: str, freq: str,
-                       order: tuple[int, int, int], window: int, total: int,
+                       order: tuple[int, int, int] | DataFrame, window: int, total: int,
                        train_share: float | None = None,
                        prior: DataFrame | None = None) -> DataFrame:
     """Sliding refits: each window is fitted on its own rows and forecasts max(p, q, 1) steps.
 
-    All windows of all series are fitted together. Earlier forecasts, if given, come first.
+    ``order`` is one (p, d, q) for all series or the models of an order search, of which each series
+    takes its own. Earlier forecasts, if given, come first.
     """
-    p, _, q = order
-    num_lags = max(p, q, 1)
-    rows = expand_refit_windows(series.select(*keys, ts, value), keys, ts, window, total, num_lags,
-                                train_share)
-    by = keys + ["window_id"]
-    models = fit_arima(rows, value, by, ts, order)
-    new = forecast(rows, models, value, by, ts, freq, order, num_lags)
+    new = sliding_forecasts(series, value, keys, ts, freq, order, window, total, train_share)
     return new if prior is None else prior.unionByName(new, allowMissingColumns=True)
 
 

@@ -77,10 +77,17 @@ def adf_levels(spark, folder):
         "priority", "n_obs", F.round("statistic", 4).alias("statistic"))
 
 
-@query("sta05_adf_every_user", """SELECT DISTINCT user_id, true AS has_row FROM events""")
+@query("sta05_adf_every_user", f"""WITH {SQL_USERS},
+d AS (SELECT user_id, y - lag(y) OVER w AS dy, lag(y) OVER w AS x FROM zs WINDOW w AS (PARTITION BY user_id ORDER BY ts_bin)),
+r AS (SELECT user_id, regr_slope(dy, x) AS b, regr_syy(dy, x) AS syy, regr_sxx(dy, x) AS sxx,
+  regr_sxy(dy, x) AS sxy, count(dy) AS n FROM d GROUP BY 1)
+SELECT user_id, n AS n_obs, CASE WHEN n >= 20 THEN round(b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) END
+  AS statistic FROM r""")
 def adf_users(spark, folder):
-    tested = M.adf(hourly(spark, folder, "user_id"), "cnt", ["user_id"], TS)
-    return tested.select("user_id", F.lit(True).alias("has_row"))
+    """Thousands of series at once, without lags, where the statistic has a closed form; of series
+    with fewer than 20 changes only their number is compared (they may be exact lines)."""
+    tested = M.adf(hourly(spark, folder, "user_id"), "cnt", ["user_id"], TS, max_lag=0)
+    return tested.select("user_id", "n_obs", F.when(F.col("n_obs") >= 20, F.round("statistic", 4)).alias("statistic"))
 
 
 @query("sta10_fit_ar1_levels", f"""WITH {SQL_LEVELS}
@@ -278,10 +285,85 @@ def order_search_ar(spark, folder):
     return best.select("sentiment", "p", F.round("aic", 4).alias("aic"))
 
 
-@query("sta13_order_search_every_user", """SELECT DISTINCT user_id, true AS has_row FROM events""")
+@query("sta13_order_search_every_user", f"""WITH {SQL_USERS},
+x AS (SELECT user_id, y, lag(y) OVER (PARTITION BY user_id ORDER BY ts_bin) AS x FROM zs),
+r AS (SELECT user_id, count(x) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_syy(y, x) AS s0,
+  regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS s1, regr_avgy(y, x) AS m FROM x GROUP BY 1),
+c AS (SELECT *, n * ln(s0 / n) + 4 AS aic0, n * ln(s1 / n) + 6 AS aic1 FROM r WHERE n >= 20)
+SELECT r.user_id, CASE WHEN aic0 <= aic1 THEN 0 WHEN aic0 > aic1 THEN 1 END AS p, round(least(aic0, aic1), 4) AS aic,
+  round(CASE WHEN aic0 <= aic1 THEN c.m ELSE c.a END, 5) AS const FROM r LEFT JOIN c ON c.user_id = r.user_id""")
 def order_search_users(spark, folder):
-    best = M.build_model(hourly(spark, folder, "user_id"), "cnt", ["user_id"], TS, max_p=2, max_q=1)
-    return best.select("user_id", F.lit(True).alias("has_row"))
+    """Order and AIC of every user's series, p up to 1; null where a series has under 20 lagged rows."""
+    best = M.build_model(hourly(spark, folder, "user_id"), "cnt", ["user_id"], TS, max_p=1, max_q=0, d=0)
+    long = lambda c: F.when(F.col("n") >= 20, c)
+    return best.select("user_id", long(F.col("p")).alias("p"), long(F.round("aic", 4)).alias("aic"),
+                       long(F.round("const", 5)).alias("const"))
+
+
+# One class is differenced, the others are not; AIC then chooses p = 0 or 1 for each.
+SQL_SEARCHED = SQL_Z + """,
+sy AS (SELECT sentiment, ts_bin, z, CASE WHEN sentiment = -1 THEN 1 ELSE 0 END AS d,
+  CASE WHEN sentiment = -1 THEN z - lag(z) OVER w ELSE z END AS y FROM zs WINDOW w AS (PARTITION BY sentiment ORDER BY ts_bin)),
+sx AS (SELECT *, lag(y) OVER (PARTITION BY sentiment ORDER BY ts_bin) AS x FROM sy),
+sr AS (SELECT sentiment, d, count(x) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_avgy(y, x) AS m,
+  regr_syy(y, x) AS s0, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS s1 FROM sx
+  WHERE x IS NOT NULL GROUP BY 1, 2),
+sm AS (SELECT sentiment, d, 1::INTEGER AS p, a, b FROM sr WHERE n * ln(s1 / n) + 6 < n * ln(s0 / n) + 4
+  UNION ALL SELECT sentiment, d, 0, m, 0 FROM sr WHERE n * ln(s1 / n) + 6 >= n * ln(s0 / n) + 4)"""
+
+
+def searched_models(z):
+    """Models of an order search that differ between classes in p and d."""
+    found = [M.build_model(z.where(where), "z", KEY, TS, max_p=1, max_q=0, d=d)
+             for where, d in (("sentiment != -1", 0), ("sentiment = -1", 1))]
+    return found[0].unionByName(found[1])
+
+
+@query("sta13_search_then_forecast", f"""WITH RECURSIVE {SQL_SEARCHED},
+e AS (SELECT sentiment, max(ts_bin) AS last, max_by(z, ts_bin) AS z, max_by(y, ts_bin) AS y FROM sy GROUP BY 1),
+f AS (SELECT sm.*, 1 AS step, last, a + b * y AS y, z + a + b * y AS up FROM sm JOIN e ON e.sentiment = sm.sentiment
+  UNION ALL SELECT f.* EXCLUDE (step, last, y, up), step + 1, last, a + b * y, up + a + b * y FROM f WHERE step < 12)
+SELECT sentiment, p, d, step, last + step * INTERVAL 10 MINUTE AS ts_bin,
+  round(CASE WHEN d = 1 THEN up ELSE y END, 6) AS forecast FROM f""")
+def search_then_forecast(spark, folder):
+    """Every class is forecast with the order that was found for it."""
+    z = z_series(spark, folder)
+    models = spool(searched_models(z))
+    ahead = M.forecast(z, models, "z", KEY, TS, FREQ, None, 12, widest=(1, 1, 0))
+    return rounded(ahead.join(models.select("sentiment", "p", "d"), KEY), "forecast").select(
+        "sentiment", "p", "d", "step", "ts_bin", "forecast")
+
+
+@query("sta12_fitted_values_searched", f"""WITH {SQL_SEARCHED}
+SELECT sx.sentiment, ts_bin, round(z, 6) AS actual, round(z - y + a + b * coalesce(x, 0), 6) AS fitted
+FROM sx JOIN sm ON sm.sentiment = sx.sentiment WHERE y IS NOT NULL AND (p = 0 OR x IS NOT NULL)""")
+def fitted_searched(spark, folder):
+    z = z_series(spark, folder)
+    return rounded(M.fitted_values(z, spool(searched_models(z)), "z", KEY, TS, widest=(1, 1, 0)), "actual", "fitted")
+
+
+SQL_SEARCHED_REFITS = SQL_SEARCHED + """,
+pn AS (SELECT sentiment, ts_bin, z, row_number() OVER (PARTITION BY sentiment ORDER BY ts_bin) - 1 AS pos,
+  count(*) OVER (PARTITION BY sentiment) AS len FROM zs),
+pw AS (SELECT unnest(generate_series(0, {last})) AS window_id),
+pr AS (SELECT pn.sentiment, window_id, ts_bin, z, z - lag(z) OVER (PARTITION BY pn.sentiment, window_id ORDER BY ts_bin) AS dz
+  FROM pn JOIN pw ON pos >= floor(0.73::DOUBLE * len) + window_id - 144 AND pos < floor(0.73::DOUBLE * len) + window_id),
+py AS (SELECT pr.sentiment, window_id, ts_bin, z, p, d, CASE WHEN d = 1 THEN dz ELSE z END AS y
+  FROM pr JOIN sm ON sm.sentiment = pr.sentiment),
+px AS (SELECT *, lag(y) OVER (PARTITION BY sentiment, window_id ORDER BY ts_bin) AS x FROM py),
+pf AS (SELECT sentiment, window_id, d, max(ts_bin) + INTERVAL 10 MINUTE AS ts_bin, max_by(z, ts_bin) AS z,
+  CASE WHEN any_value(p) = 1 THEN regr_intercept(y, x) + regr_slope(y, x) * max_by(y, ts_bin) ELSE avg(y) END AS f
+  FROM px GROUP BY 1, 2, 3),
+pred AS (SELECT sentiment, window_id, ts_bin, CASE WHEN d = 1 THEN z + f ELSE f END AS p FROM pf)"""
+
+
+@query("sta15_refits_of_searched_orders", f"""WITH {SQL_SEARCHED_REFITS.format(last=99)}
+SELECT sentiment, window_id, 1 AS step, ts_bin, round(p, 5) AS forecast FROM pred""")
+def sliding_searched(spark, folder):
+    """Sliding refits in which every class has the order of its own search."""
+    z = z_series(spark, folder)
+    out = M.generate_forecasts(z, "z", KEY, TS, FREQ, searched_models(z), 144, 100, 0.73)
+    return rounded(out, "forecast", digits=5)
 
 
 @query("sta14_model_metrics", f"""WITH {SQL_AR1}
@@ -443,6 +525,14 @@ def training_rebuild(spark, folder):
     return _flags(anomaly.train(z, AR1, 200, prior=stored).flags)
 
 
+@query("sta21_training_searched_orders", "WITH " + SQL_FLAGS.replace(
+    SQL_PERSISTED, SQL_SEARCHED_REFITS.removeprefix(SQL_Z + ",\n").format(last=99)) + SQL_ROUNDED_FLAGS)
+def training_searched(spark, folder):
+    """The chain with searched orders: search, fit, forecast and flag, each class with its own order."""
+    z = z_series(spark, folder)
+    return _flags(anomaly.train(z, spool(searched_models(z)), 100).flags)
+
+
 @query("sta21_inference_pipeline", "WITH " + SQL_FLAGS.replace(
     SQL_PERSISTED, SQL_SLIDING.format(last=149) + """,
 fl AS (SELECT sentiment, ts_bin, z, lag(z) OVER (PARTITION BY sentiment ORDER BY ts_bin) AS x FROM zs),
