@@ -27,8 +27,7 @@ def executed(spark, name):
 
 @pytest.mark.parametrize("name", [
     "win01_resample_counts", "sta01_standardise", "sta21_detect_anomalies", "sta09_decompose_24",
-    "sta12_fitted_values", "sta15_generate_forecasts", "sta05_adf_test", "agg18_quantiles",
-    "agg27_box_summary"])
+    "sta12_fitted_values", "sta15_generate_forecasts", "sta05_adf_test"])
 def test_the_events_are_scanned_once(spark, name):
     assert len(re.findall("FileScan", executed(spark, name))) == 1
 
@@ -51,6 +50,15 @@ def test_filters_and_columns_reach_the_scan(spark, name, pushed, absent):
     assert pushed in scan and absent not in scan.split("ReadSchema:", 1)[1]
 
 
+@pytest.mark.parametrize("name,scans", [("agg18_quantiles", 2), ("agg27_box_summary", 3)])
+def test_quantiles_read_again_instead_of_moving_values(spark, name, scans):
+    """A pass for the sketch and one for the counts; every exchange of rows follows a partial aggregate."""
+    plan = executed(spark, name)
+    assert 2 <= len(re.findall("FileScan", plan)) <= scans
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert {s.count(":") for s in schemas} == {2}  # the group and the value
+
+
 @pytest.mark.parametrize("name", ["ord03_top_k", "ord04_tail"])
 def test_top_rows_never_sort_everything(spark, name):
     plan = executed(spark, name)

@@ -104,6 +104,26 @@ def test_extreme_key_ties_take_the_first(spark):
     assert tuple(aggregate.extreme_keys(df, "v", "k").first()) == (1, 2)
 
 
+def test_extreme_keys_pass_over_missing_values(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, 7.0), ("b", 4, nan), ("b", 5, None),
+                                ("c", 6, nan), ("c", 7, -1.0), (None, 8, 2.0)], "g string, k int, v double")
+    got = {r.g: (r.idxmin, r.idxmax) for r in aggregate.extreme_keys(df, "v", "k", ["g"]).collect()}
+    assert got == {"a": (2, 3), "b": (None, None), "c": (7, 7), None: (8, 8)}
+    low, high = -2 ** 63, 2 ** 63 - 1  # the smallest integer has no negative
+    ints = spark.createDataFrame([("x", low), ("y", low), ("z", high), ("w", high), ("v", None)], "k string, v long")
+    assert tuple(aggregate.extreme_keys(ints, "v", "k").first()) == ("x", "w")
+    for kind, least, most in (("string", "'a'", "'c'"), ("date", "date'1900-01-01'", "date'2024-01-01'"),
+                              ("timestamp", "timestamp'1900-01-01 00:00:00'", "timestamp'2024-01-01 00:00:00'"),
+                              ("decimal(10,2)", "-1.5", "2.5"), ("boolean", "false", "true")):
+        rows = spark.sql(f"""SELECT g, k, CAST(v AS {kind}) AS v FROM VALUES ('p', 1, null), ('p', 4, {most}), ('p', 3, {most}),
+            ('p', 9, {least}), ('p', 2, {least}), ('q', 5, null), (null, 6, {least}), (null, 7, null) AS t(g, k, v)""")
+        got = {r.g: (r.idxmin, r.idxmax) for r in aggregate.extreme_keys(rows, "v", "k", ["g"]).collect()}
+        assert got == {"p": (2, 3), "q": (None, None), None: (6, 6)}, kind
+        assert tuple(aggregate.extreme_keys(rows, "v", "k").first()) == (2, 3), kind
+    assert tuple(aggregate.extreme_keys(ints.limit(0), "v", "k").first()) == (None, None)
+
+
 def test_daily_pivot_spans(spark):
     df = spark.createDataFrame(
         [("2024-01-01 05:00:00", "neg"), ("2024-01-03 05:00:00", "neg"),
@@ -183,6 +203,40 @@ def test_exact_quantiles_per_skewed_group(spark):
             assert got[(k, q)] == pytest.approx(np.quantile(part.v, q), abs=1e-9)
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_ranks_inside_narrow_brackets(spark, monkeypatch, ties):
+    """With a coarse sketch a few thousand rows are a large group; only rows near a rank are moved."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 500)
+    monkeypatch.setattr(quantiles, "NARROW", 8 / 500)
+    monkeypatch.setattr(quantiles, "LARGE", 125)
+    monkeypatch.setattr(quantiles, "SMALL", 50)
+    monkeypatch.setattr(quantiles, "WIDE", 0.1)
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "warm", "cold"], 9000, p=[0.97, 0.02, 0.01]), "v": rng.normal(size=9000)})
+    if ties:
+        pdf["v"] = np.where(rng.random(9000) < 0.4, 0.25, np.round(pdf.v, 1))
+    qs = [0.0, 0.01, 0.25, 0.27, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = quantiles.exact_quantiles(df, "v", qs, ["k"]).toPandas().set_index(["k", "q"]).value
+    for k, part in pdf.groupby("k"):
+        for q in qs:
+            assert got[(k, q)] == pytest.approx(np.quantile(part.v, q), abs=1e-12)
+    whole = quantiles.exact_quantiles(df, "v", qs).toPandas().set_index("q").value
+    assert all(whole[q] == pytest.approx(np.quantile(pdf.v, q), abs=1e-12) for q in qs)
+
+
+def test_quantiles_move_only_rows_near_their_rank(spark):
+    """Of a group above LARGE rows fewer than a hundredth go through an exchange."""
+    df = spark.range(0, 200_000, 1, 8).select(F.rand(3).alias("v"))
+    facts = df.agg(quantiles.sketch(F.col("v"), [0.5]).alias("_f")).first()[0]
+    low, high = facts["at"][1], facts["at"][2]
+    assert facts["total"] >= quantiles.LARGE
+    assert 0 < df.where((F.col("v") >= low) & (F.col("v") <= high)).count() < 2000
+    got = quantiles.exact_quantiles(df, "v", [0.5]).first().value
+    assert got == pytest.approx(np.quantile([r.v for r in df.collect()], 0.5), abs=1e-15)
+    assert quantiles.exact_quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
 def test_totals_below(spark):
     pdf = pd.DataFrame({"v": np.arange(500) % 77, "n": 1})
     counted = pdf.groupby("v", as_index=False).n.sum()

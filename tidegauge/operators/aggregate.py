@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegauge.functions.hashing import unit_hash
 from tidegauge.operators.joins import null_safe_join
@@ -12,11 +12,40 @@ from tidegauge.operators.joins import null_safe_join
 from tidegauge.operators.timeseries import fill_gaps
 
 
+def _descending(value: Column, kind: T.DataType) -> Column | None:
+    """Something that sorts the other way round, none where the type has nothing that cannot overflow."""
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(value)
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        return -value
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(value)
+    if isinstance(kind, T.TimestampType):
+        return F.bitwise_not(F.unix_micros(value))
+    return None
+
+
 def extreme_keys(df: DataFrame, value: str, key: str, keys: list[str] = ()) -> DataFrame:
-    """``idxmin`` / ``idxmax``: key of the extreme value, the smallest key on ties."""
-    return df.groupBy(*keys).agg(
-        F.min_by(key, F.struct(F.col(value), F.col(key))).alias("idxmin"),
-        F.min_by(key, F.struct(-F.col(value), F.col(key))).alias("idxmax"))
+    """``idxmin`` / ``idxmax``: key of the extreme value, the smallest key on ties.
+
+    Null and NaN values are missing and count for neither; a group without any other has null keys.
+    ``key`` and ``value`` may be of any type that can be ordered. Types that cannot be turned round
+    without overflow (strings) take a second pass over the rows, for the keys of the largest value.
+    """
+    kind, v = df.schema[value].dataType, F.col(value)
+    there = v.isNotNull() & ~F.isnan(v) if isinstance(kind, (T.DoubleType, T.FloatType)) else v.isNotNull()
+    least = F.min_by(key, F.when(there, F.struct(v, F.col(key)))).alias("idxmin")
+    turned = _descending(v, kind)
+    if turned is not None:
+        return df.groupBy(*keys).agg(least, F.min_by(key, F.when(there, F.struct(turned, F.col(key)))).alias("idxmax"))
+    found = df.groupBy(*keys).agg(least, F.max(v).alias("_most"))
+    rows = df.select(*keys, F.col(key).alias("_key"), v.alias("_value"))
+    if keys:
+        rows = null_safe_join(rows, found, list(keys))
+    else:  # two values, looked up in every row
+        rows = rows.withColumns({c: found.select(c).scalar() for c in ("idxmin", "_most")})
+    return rows.groupBy(*keys).agg(F.first("idxmin").alias("idxmin"), F.min(F.when(
+        F.col("_value") == F.col("_most"), F.col("_key"))).alias("idxmax"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

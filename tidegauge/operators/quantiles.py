@@ -1,66 +1,90 @@
 """Exact quantiles (linear interpolation) whose group sizes are not bounded by one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer, which is fine for
-binned series and fatal for raw columns. Here values are counted first (map-side combine), cut
-into slices of about equal size by an approximate sketch, and only the slices that hold a wanted
-rank are ordered. The sketch only decides the slicing; the result is exact.
+binned series and fatal for raw columns. Here a first pass brackets each wanted rank with an
+approximate sketch. A second one counts the rows between the brackets, and the values inside them one
+by one, both combined where they are read; only the latter, some ten thousandth of a large group's
+rows, are ever moved and ordered. The sketch only decides what is looked at; the result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.operators.joins import null_safe_join
 
 SLICES = 128
+#: Accuracy of the sketch, and how far around a rank its brackets reach, in shares of a group: the
+#: narrow ones serve groups of at least ``LARGE`` rows, the wide ones of at least ``SMALL``; below, all
+#: values are looked at. Each is wide enough for the sketch's error and two ranks beyond.
+ACCURACY = 100_000
+NARROW, WIDE = 8 / ACCURACY, 0.01
+LARGE, SMALL = ACCURACY // 4, 200
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] = ()) -> DataFrame:
-    """``(keys..., q, value)``: one row per group and quantile; nulls are ignored."""
-    keys = list(keys)
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
-    marks = [i / SLICES for i in range(1, SLICES)]
-    # naming _n (always positive) keeps the counts in every use, so Spark runs one exchange
-    cuts = F.percentile_approx(F.when(F.col("_n") > 0, F.col("_v")), marks, 20 * SLICES)
-    facts = F.struct(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
+def _marks(qs: list[float]) -> list[float]:
+    return [min(1.0, max(0.0, q + m)) for q in qs for m in (-WIDE, -NARROW, NARROW, WIDE)]
+
+
+def sketch(v: Column, qs: list[float]) -> Column:
+    """What the first pass keeps of a column: its count and the sketch's values around each quantile."""
+    return F.struct(F.count(v).alias("total"), F.percentile_approx(v, _marks(qs), ACCURACY).alias("at"))
+
+
+def _brackets(facts: str, qs: list[float]) -> list[tuple[Column, Column]]:
+    """Lowest and highest value that the ranks of each quantile can have; null: no limit."""
+    total, at = F.col(f"{facts}.total"), F.col(f"{facts}.at")
+
+    def edge(i: int, narrow: int, wide: int) -> Column:
+        return F.when(total >= LARGE, F.get(at, F.lit(4 * i + narrow))).when(
+            total >= SMALL, F.get(at, F.lit(4 * i + wide)))
+    return [(edge(i, 1, 0), edge(i, 2, 3)) for i in range(len(qs))]
+
+
+def _looked_up(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the row of ``facts`` that belongs to each row's keys; without keys there is one."""
     if keys:
-        sliced = null_safe_join(counted, counted.groupBy(*keys).agg(facts.alias("_f")), keys)
-    else:
-        sliced = counted.withColumn("_f", counted.agg(facts).scalar())
-    sliced = (_slice_number(sliced.select(*keys, "_v", "_n", "_f.*"))
-              .select(*keys, "_v", "_n", "_s", "_total"))
-
-    # at most SLICES rows per group from here
-    upto = Window.partitionBy(*keys).orderBy("_s")
-    sizes = (sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_m"),
-                                             F.first("_total").alias("_total"))
-             .withColumn("_hi", F.sum("_m").over(upto))
-             .withColumn("_lo", F.col("_hi") - F.col("_m")))
-    wanted = (
-        sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-        .withColumn("_h", F.col("q") * (F.col("_total") - 1))
-        .withColumn("_r0", F.floor("_h")).withColumn("_r1", F.ceil("_h"))
-        .where(_holds("_r0", "_lo", "_hi") | _holds("_r1", "_lo", "_hi"))
-        .select(*keys, "_s", "q", "_lo", "_h", "_r0", "_r1")
-    )
-    picked = wanted.groupBy(*keys, "_s").agg(
-        F.first("_lo").alias("_lo"),
-        F.collect_list(F.struct("q", "_h", "_r0", "_r1")).alias("_wants"))
-    within = Window.partitionBy(*keys, "_s").orderBy("_v")
-    placed = (
-        null_safe_join(sliced, picked, keys + ["_s"])
-        .withColumn("_end", F.col("_lo") + F.sum("_n").over(within))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn("_w", F.explode("_wants"))
-        .select(*keys, "_v", "_start", "_end", "_w.*")
-        .where(_holds("_r0", "_start", "_end") | _holds("_r1", "_start", "_end"))
-    )
+        return null_safe_join(df, facts, keys)
+    return df.withColumns({c: facts.select(c).scalar() for c in facts.columns})
+
+
+def ranked(df: DataFrame, value: str, facts: DataFrame, qs: list[float], keys: list[str]) -> DataFrame:
+    """``(keys..., q, value)`` from the rows and the first pass's ``(keys..., _f)``; ``qs`` ascending."""
+    v = F.col(value).cast("double")
+    rows = _looked_up(df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v")), facts.select(*keys, "_f"), keys)
+    # the edges as columns of their own: each row is compared with two numbers per quantile
+    edges = {f"_{n}{i}": c for i, pair in enumerate(_brackets("_f", qs)) for n, c in zip(("lo", "hi"), pair)}
+    rows = rows.select(*keys, "_v", F.col("_f.total").alias("_total"), *(c.alias(n) for n, c in edges.items()))
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(len(qs)):
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        inside = inside | (low.isNull() | ((F.col("_v") >= low) & (F.col("_v") <= high)))
+        passed = passed + F.when(F.col("_v") > high, 1).otherwise(0)
+    # rows between brackets are one row per gap, before the values of the bracket that follows
+    counted = rows.groupBy(*keys, passed.alias("_gap"), F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total"))
+    order = Window.partitionBy(*keys).orderBy("_gap", F.col("_v").asc_nulls_first())
+    placed = (counted.withColumn("_end", F.sum("_n").over(order)).withColumn("_start", F.col("_end") - F.col("_n"))
+              .where("_v IS NOT NULL")
+              .withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs))))
+              .withColumn("_h", F.col("q") * (F.col("_total") - 1))
+              .withColumns({"_r0": F.floor("_h"), "_r1": F.ceil("_h")})
+              .where(_holds("_r0", "_start", "_end") | _holds("_r1", "_start", "_end")))
     low = F.min(F.when(_holds("_r0", "_start", "_end"), F.col("_v")))
     high = F.min(F.when(_holds("_r1", "_start", "_end"), F.col("_v")))
-    return placed.groupBy(*keys, "q").agg(
-        (low + (high - low) * (F.first("_h") - F.first("_r0"))).alias("value"))
+    found = placed.groupBy(*keys, "q").agg(low.alias("_low"), high.alias("_high"), (F.first("_h") - F.first("_r0")).alias("_part"))
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    return found.select(*keys, "q", F.when(F.col("_low").isNull() | F.col("_high").isNull(), missed).otherwise(
+        F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] = ()) -> DataFrame:
+    """``(keys..., q, value)``: one row per group and quantile; nulls are ignored."""
+    keys, qs = list(keys), sorted(set(map(float, qs)))
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull())
+    facts = rows.groupBy(*keys).agg(sketch(v, qs).alias("_f")) if keys else rows.agg(sketch(v, qs).alias("_f"))
+    return ranked(rows, value, facts, qs, keys)
 
 
 def _slice_number(df: DataFrame) -> DataFrame:
@@ -82,7 +106,10 @@ def _holds(rank: str, start: str, end: str):
 def quantile_columns(df: DataFrame, value: str, named: dict[str, float],
                      keys: list[str] = ()) -> DataFrame:
     """Quantiles as columns: ``named`` maps an output column to its quantile."""
-    long = exact_quantiles(df, value, sorted(set(named.values())), keys)
+    return _as_columns(exact_quantiles(df, value, sorted(set(named.values())), keys), named, keys)
+
+
+def _as_columns(long: DataFrame, named: dict[str, float], keys: list[str]) -> DataFrame:
     cols = [F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(c)
             for c, q in named.items()]
     return long.groupBy(*keys).agg(*cols) if keys else long.agg(*cols)
@@ -91,17 +118,17 @@ def quantile_columns(df: DataFrame, value: str, named: dict[str, float],
 def describe(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per column, per group when keyed.
 
-    Long form: one row per group and column.
+    Long form: one row per group and column. The moments come with the first pass of the quartiles.
     """
     keys = list(keys)
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "column_name", "_x")
-    by = keys + ["column_name"]
-    moments = long.groupBy(*by).agg(
+    by, named = keys + ["column_name"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    facts = long.groupBy(*by).agg(
         F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"))
-    quart = quantile_columns(long, "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
-    return null_safe_join(moments, quart, by, "left").select(
+        F.min("_x").alias("min"), F.max("_x").alias("max"), sketch(F.col("_x"), list(named.values())).alias("_f"))
+    quart = _as_columns(ranked(long, "_x", facts, list(named.values()), by), named, by)
+    return null_safe_join(facts.drop("_f"), quart, by, "left").select(
         *by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -109,22 +136,16 @@ def box_summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Quartiles, whiskers at the last point within 1.5 IQR of the box, and outlier count."""
     keys = list(keys)
     quart = quantile_columns(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
-    fenced = quart.withColumn("_iqr", F.col("q3") - F.col("q1"))
-    x = F.col(value).cast("double")
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, x.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    if keys:
-        joined = null_safe_join(counted, fenced, keys)
-    else:
-        box = fenced.agg(F.first(F.struct("q1", "median", "q3", "_iqr"))).scalar()
-        joined = counted.withColumn("_box", box).select("_v", "_n", "_box.*")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    joined = _looked_up(rows, quart, keys).withColumn("_iqr", F.col("q3") - F.col("q1"))
     inside = ((F.col("_v") >= F.col("q1") - 1.5 * F.col("_iqr"))
               & (F.col("_v") <= F.col("q3") + 1.5 * F.col("_iqr")))
+    # summed where the rows are read: no value is moved
     return joined.groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_n"))).alias("outliers"))
+        F.sum(F.when(inside, F.lit(0)).otherwise(1)).alias("outliers"))
 
 
 def totals_below(counted: DataFrame, value: str, counts: list[str],

@@ -89,6 +89,26 @@ def extremes(spark, folder):
                           ["o_orderpriority"])
 
 
+@query("agg07_idxmin_idxmax_missing_values", """WITH o AS (SELECT o_custkey % 50 AS k, o_orderkey,
+  CASE WHEN o_totalprice >= 250000 THEN o_totalprice END AS v FROM orders),
+r AS (SELECT k, o_orderkey, row_number() OVER (PARTITION BY k ORDER BY v NULLS LAST, o_orderkey) AS a,
+  row_number() OVER (PARTITION BY k ORDER BY v DESC NULLS LAST, o_orderkey) AS b, v FROM o)
+SELECT k, max(CASE WHEN a = 1 AND v IS NOT NULL THEN o_orderkey END) AS idxmin,
+  max(CASE WHEN b = 1 AND v IS NOT NULL THEN o_orderkey END) AS idxmax FROM r GROUP BY k""")
+def extremes_missing(spark, folder):
+    """Null and NaN values are passed over; a group that has no other has no extreme."""
+    v = F.when(F.col("o_totalprice") >= 250000, F.col("o_totalprice")).when(F.col("o_orderkey") % 2 == 0, F.lit(float("nan")))
+    rows = table(spark, folder, "orders").select((F.col("o_custkey") % 50).alias("k"), "o_orderkey", v.alias("v"))
+    return A.extreme_keys(rows, "v", "o_orderkey", ["k"])
+
+
+@query("agg07_idxmin_idxmax_strings", """SELECT p_brand, arg_min(p_partkey, (p_type, p_partkey)) AS idxmin,
+  (SELECT min(p_partkey) FROM part i WHERE i.p_brand = part.p_brand AND i.p_type = max(part.p_type)) AS idxmax
+FROM part GROUP BY p_brand""")
+def extremes_strings(spark, folder):
+    return A.extreme_keys(table(spark, folder, "part"), "p_type", "p_partkey", ["p_brand"])
+
+
 @query("agg08_unique", "SELECT DISTINCT p_brand, p_type FROM part")
 def unique(spark, folder):
     return table(spark, folder, "part").select("p_brand", "p_type").distinct()
