@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge import session
-from tidegauge.sources import artifacts, events as EV, tables as TB
+from tidegauge.sources import artifacts, events as EV, html, tables as TB
 
 
 def test_event_csv_with_quotes_newlines_and_bad_time(spark, tmp_path):
@@ -84,6 +84,47 @@ def test_html_tables(spark):
                    (1, 1, 0, 0, "z")]
 
 
+def grid(spark, page):
+    """Tables of a page as lists of rows."""
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    out = {}
+    for r in html.html_grids(df).orderBy("table_no", "row_no", "cell_no").collect():
+        rows = out.setdefault(r.table_no, {})
+        row = rows.setdefault(r.row_no, [])
+        assert r.cell_no == len(row)  # no hole before it
+        row.append(r.cell)
+    return [list(out[t].values()) for t in sorted(out)]
+
+
+@pytest.mark.parametrize("page,want", [
+    # a nested table is one of its own, entities are decoded, the cell after it is not lost
+    ("<table><tr><td>a &amp; b<table><tr><td>in</td></tr></table></td><td>c</td></tr></table>", [[["a & b", "c"]], [["in"]]]),
+    ("<table><tr><td>1<td>2</tr><tr><td>3</table>", [[["1", "2"], ["3"]]]),
+    ("<table><td>no row tag<tr><td>x</td></tr></table>", [[["no row tag"], ["x"]]]),
+    ("<!-- <table><tr><td>no</td></tr></table> --><table><tr><td>a<!-- b --></td></tr></table>", [[["a"]]]),
+    ("<table><tr><td colspan=2>w</td><td>x</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>", [[["w", "w", "x"], ["1", "2", "3"]]]),
+    ("<table><tr><td rowspan='2'>t</td><td>a</td></tr><tr><td>b</td></tr><tr><td>c</td></tr></table>", [[["t", "a"], ["t", "b"], ["c"]]]),
+    ("<table><tr><td>a</td><td rowspan=3 colspan=2>B</td></tr><tr><td>b</td></tr></table>", [[["a", "B", "B"], ["b", "B", "B"]]]),
+    ("<table><tr><th rowspan=0>all</th><td>1</td></tr><tr><td>2</td></tr><tr><td>3</td></tr></table>", [[["all", "1"], ["all", "2"], ["all", "3"]]]),
+    ("<table><tr><td colspan=x rowspan=-1>1</td><td colspan='0'>2</td></tr></table>", [[["1", "2"]]]),
+    ("<TABLE><thead><TR><TH>A<tbody><TR><TD>1</TABLE>", [[["A"], ["1"]]]),
+    ("<table><tr><td>x<script>var t = '<td>';</script><style>td{}</style><br>y</td></tr></table>", [[["x y"]]]),
+    ("<table><tr><td>&eacute;&#33;&nbsp;&lt;td&gt;</td></tr></table>", [[["é! <td>"]]]),
+    ("<table><tr></tr><tr><td></td></tr></table>", [[[""]]]),
+    ("<table><tr><td>1</td></tr></table></table></td><table><tr><td>2", [[["1"]], [["2"]]]),
+    ("<p>table</p>", []), ("<table", []), ("", []), (None, [])])
+def test_html_grids(spark, page, want):
+    assert grid(spark, page) == want
+
+
+def test_html_grids_of_flat_pages_are_the_cells(spark):
+    page = ("<TABLE class=x><tr><th>A</th><th>B</th></tr><tr><td> 1 <b>bold</b></td><td>2\n3</td></tr>"
+            "</TABLE><p>no</p><table><tr><td>z</td></tr></table>")
+    df = spark.createDataFrame([(1, page, "c"), (2, "<p>none</p>", "c"), (3, None, "c")], "page_id int, html string, cell string")
+    assert sorted(map(tuple, html.html_grids(df).collect())) == sorted(map(tuple, TB.html_tables(df).collect()))
+    assert html.html_grids(df.limit(0)).count() == 0
+
+
 def test_whole_text_and_labelled_files(spark, tmp_path):
     for label, names in {"sick": "ab", "well": "c"}.items():
         (tmp_path / label).mkdir()
@@ -123,6 +164,46 @@ def test_artifacts(spark, tmp_path):
     assert newest == 2.0
 
 
+def test_readers_see_the_old_or_the_new_version(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_artifact(spark, root, "t")
+    first = artifacts.save_artifact(spark.range(10), root, "t")
+    reader = artifacts.load_artifact(spark, root, "t")
+    cache = artifacts.Cache(spark, root)
+    held = cache.load("t")
+    assert cache.load("t") is held and artifacts.in_sync(spark, root, "t", first)
+    # a table replaced by what is made from it; the reader goes on with what it opened
+    second = artifacts.save_artifact(reader.where("id % 2 = 0"), root, "t")
+    assert reader.count() == held.count() == 10 and not artifacts.in_sync(spark, root, "t", first)
+    assert cache.load("t").count() == 5 and artifacts.load_artifact(spark, root, "t", version=first).count() == 10
+    # a write that breaks off before it is published changes nothing
+    with pytest.raises(Exception):
+        artifacts.save_artifact(spark.range(3).select(F.raise_error(F.lit("broken")).alias("id")), root, "t")
+    assert artifacts.current(spark, root, "t")[0] == second
+    path = tmp_path / "t" / "manifests" / f"{second + 1:09d}.json"
+    path.write_text('{"folders": ["half')  # a manifest that is still being written
+    assert artifacts.load_artifact(spark, root, "t").count() == 5
+    third = artifacts.append_artifact(spark.range(2), root, "t")
+    assert third == second + 2 and artifacts.load_artifact(spark, root, "t").count() == 7
+    # of two writers that started from the same version one fails, and what is stored stays
+    with pytest.raises(artifacts.OutOfDate):
+        artifacts.save_artifact(spark.range(1), root, "t", expect=second)
+    assert artifacts.load_artifact(spark, root, "t").count() == 7
+    with pytest.raises(artifacts.OutOfDate):
+        artifacts._publish(spark, root, "t", third, {"folders": []})
+    assert artifacts.compact(spark, root, "t") == third + 1
+    assert len(artifacts.current(spark, root, "t")[1]["folders"]) == 1
+    assert artifacts.load_artifact(spark, root, "t").count() == 7
+
+
+def test_metrics_of_a_run_are_one_write(spark, tmp_path):
+    artifacts.log_metrics(spark, str(tmp_path), "r", {"a": 1, "b": 2.5}, "2024-01-01 00:00:00")
+    rows = artifacts.load_artifact(spark, str(tmp_path), "metrics")
+    assert sorted((r.run_id, r.name, r.value) for r in rows.collect()) == [("r", "a", 1.0), ("r", "b", 2.5)]
+    assert len(rows.inputFiles()) == 1
+
+
 def test_work_dir_follows_the_session(spark):
     assert session.work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     spooled = session.spool(spark.range(10).withColumn("p", F.spark_partition_id()))

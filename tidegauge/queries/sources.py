@@ -12,10 +12,14 @@ from tidegauge.functions.hashing import sql_unit_hash
 from tidegauge.queries import query
 from tidegauge.queries.common import EVENT_SENTIMENT, SQL_EVENTS, labelled_events
 from tidegauge.session import work_dir
-from tidegauge.sources import artifacts, events as EV, tables as TB
+from tidegauge.sources import artifacts, events as EV, html, tables as TB
 from tidegauge.sources.tables import table
 
 
+#: Texts that a file of the corpus holds at most, whatever a task or a language has.
+TEXTS_PER_FILE = 1000
+
+
 def scratch(spark, name):
     return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
@@ -149,13 +153,36 @@ def html_lists(spark, folder):
     return TB.html_tables(table(spark, folder, "pages"), table_tag="ul", row_tag="li", cell_tag="a")
 
 
+# Tables written into the pages: rows of cells from their numbers, one spanning two columns and one two
+# rows, a nested table, a comment, entities, and end tags left out.
+SQL_GRID = """WITH p AS (SELECT page_id, page_id % 7 AS n FROM pages WHERE html IS NOT NULL)
+SELECT page_id, 0::INTEGER AS table_no, 0::INTEGER AS row_no, c::INTEGER AS cell_no, CASE WHEN c < 2 THEN 'a & b' ELSE 'h' || n END AS cell
+FROM p, range(3) t(c)
+UNION ALL SELECT page_id, 0, r::INTEGER + 1, 0, 'tall' FROM p, range(2) t(r)
+UNION ALL SELECT page_id, 0, r::INTEGER + 1, c::INTEGER + 1, 'r' || r || 'c' || c || ' < ' || n FROM p, range(2) t(r), range(2) u(c)
+UNION ALL SELECT page_id, 0, 3, 0, 'out' FROM p UNION ALL SELECT page_id, 1, 0, 0, 'in ' || n FROM p"""
+
+
+@query("src11_html_grids", SQL_GRID)
+def html_grids(spark, folder):
+    """Spans, nested tables, comments, entities and open cells, in every page."""
+    pages = table(spark, folder, "pages").where("html IS NOT NULL")
+    n = (F.col("page_id") % 7).cast("string")
+    cells = [F.concat(F.lit(f"<td>r{r}c{c} &lt; "), n) for r in range(2) for c in range(2)]
+    markup = F.concat(F.lit("<!-- <table><tr><td>no</td></tr></table> --><TABLE><tr><th colspan='2'>a &amp;\n b</th><th>h"), n,
+                      F.lit("<tr><td rowspan=2>tall"), cells[0], cells[1], F.lit("</tr><tr>"), cells[2], cells[3],
+                      F.lit("<tr><td>out<table><tr><td>in "), n, F.lit("</td></tr></table></td></tr></table>"))
+    return html.html_grids(pages.select("page_id", F.concat(markup, "html").alias("html"))).where("table_no < 2")
+
+
 @query("src12_text_corpus", """SELECT lang, count(*) AS texts, sum(length(text))::BIGINT AS chars
 FROM documents GROUP BY 1""")
 def text_corpus(spark, folder):
     path = scratch(spark, "corpus")
     docs = table(spark, folder, "documents").select("lang", "text")
-    # files of many texts, one JSON-escaped text per line; each file is read as a whole
-    docs.select("lang", F.to_json(F.struct("text")).alias("value")).write.partitionBy("lang").text(path)
+    # files of a bounded number of texts, one JSON-escaped text per line; each file is read as a whole
+    docs.select("lang", F.to_json(F.struct("text")).alias("value")).write.partitionBy("lang").option(
+        "maxRecordsPerFile", TEXTS_PER_FILE).text(path)
     files = TB.read_text_corpus(spark, path)
     lines = files.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), F.explode(
         F.split("text", "\n")).alias("_line")).where("_line != ''")
@@ -186,14 +213,31 @@ def artifact(spark, folder):
     return artifacts.load_artifact(spark, root, "sentiment_counts")
 
 
+@query("src14_artifact_replaced_by_itself", f"""WITH {SQL_EVENTS},
+c AS (SELECT sentiment, event_type, count(*) AS cnt FROM ev GROUP BY 1, 2)
+SELECT 'first' AS version, sentiment, event_type, cnt FROM c
+UNION ALL SELECT 'second', sentiment, event_type, cnt FROM c WHERE sentiment != 0
+UNION ALL SELECT 'third', sentiment, event_type, cnt FROM c""")
+def artifact_replaced(spark, folder):
+    """A version made from the one it replaces, one appended to, and readers pinned to either."""
+    root, name = scratch(spark, "artifacts"), "counts"
+    counts = labelled_events(spark, folder).groupBy("sentiment", "event_type").agg(F.count(F.lit(1)).alias("cnt"))
+    versions = [artifacts.save_artifact(counts, root, name)]
+    first = artifacts.load_artifact(spark, root, name)
+    versions.append(artifacts.save_artifact(first.where("sentiment != 0"), root, name, expect=versions[0]))
+    versions.append(artifacts.append_artifact(first.where("sentiment = 0"), root, name))
+    found = [artifacts.load_artifact(spark, root, name, version=v).withColumn("version", F.lit(label))
+             for v, label in zip(versions, ("first", "second", "third"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("src15_log_metric", """SELECT 'run-1' AS run_id, 'rows' AS name, count(*)::DOUBLE AS value FROM events
 UNION ALL SELECT 'run-1', 'mean', round(avg(value), 6) FROM events""")
 def metrics(spark, folder):
     root = scratch(spark, "metrics")
     row = table(spark, folder, "events").agg(F.count(F.lit(1)).alias("rows"),
                                              F.round(F.avg("value"), 6).alias("mean")).first()
-    for name in ("rows", "mean"):
-        artifacts.log_metric(spark, root, "run-1", name, row[name], "2024-02-01 00:00:00")
+    artifacts.log_metrics(spark, root, "run-1", row.asDict(), "2024-02-01 00:00:00")
     return artifacts.load_artifact(spark, root, "metrics").select("run_id", "name", "value")
 
 
