@@ -24,6 +24,13 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes: whole texts, and sets of their hashes, pass through Python
+    workers beside the JVM, and what a task holds of them must not depend on how long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def quoted(names: Iterable[str]) -> list[str]:
     """Column names that ``select`` takes as they are, dots included."""
     return [f"`{n.replace('`', '``')}`" for n in names]

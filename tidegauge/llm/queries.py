@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm import (byte_bpe, chat, cotraining, fingerprint, infill, language, mixing, pii, ranked, rules,
                            simhash, suffixes, toxicity)
-from tidegauge.llm.common import read
+from tidegauge.llm.common import read, small_batches
 from tidegauge.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,7 @@ SQL: dict[str, str] = {}
 
 def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         return fn(configure(spark), sf_dir)
     QUERIES[fn.__name__] = run
     return fn

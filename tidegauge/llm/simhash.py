@@ -176,7 +176,7 @@ MARGIN = 3.0
 #: the binomial model 98 of 100 pairs of just the wanted similarity share one and lie within the cut.
 BLOCK_BITS, BLOCKS = 18, 140
 #: Fingerprints of one block, or sets of one group, that one task compares at a time.
-WIDE_BUCKET = 512
+WIDE_BUCKET = 1024
 #: Shingles, summed over texts, of one part of a group of candidates; a task compares two parts.
 PART_SHINGLES = 1 << 21
 
@@ -369,8 +369,8 @@ def _candidate_groups(fps: DataFrame, similarity: float, bucket: int) -> DataFra
         place = np.int64(1) << np.arange(blocks.shape[1], dtype=np.int64)
         table = np.arange(len(blocks), dtype=np.int64) << np.int64(blocks.shape[1])
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                fps = batch.column(0).slice(at, 1024)
+            for at in range(0, batch.num_rows, 128):
+                fps = batch.column(0).slice(at, 128)
                 bits = np.unpackbits(_fixed(fps).view(np.uint8), axis=1).astype(np.int64)
                 found = (bits[:, blocks] * place).sum(axis=2) + table
                 yield pa.RecordBatch.from_arrays(
