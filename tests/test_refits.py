@@ -135,7 +135,7 @@ def test_windows_at_the_edges(spark):
         assert ts == START + min(15 + w, 30) * BIN
     past = refits(spark, y, (1, 0, 0), 10, 14, None)  # ends run past the last row, until no row is left
     assert set(past) == {(w, 1) for w in range(10)}
-    assert past[9][0] is None and past[0][0] is not None  # one row cannot be fitted
+    assert past[9, 1][0] is None and past[0, 1][0] is not None  # one row cannot be fitted
     rows = [(i, None if 10 <= i < 20 else float(v)) for i, v in enumerate(y)]
     df = spark.createDataFrame([("s", (START + i * BIN).to_pydatetime(), v) for i, v in rows],
                                "k string, ts timestamp_ntz, y double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import forecast as M, stats as S
+from tidegauge.operators import forecast as M, likelihood, stats as S
 from tidegauge.plans import anomaly
 from tidegauge.operators.timeseries import log_difference, resample_counts
 from tidegauge.queries import query
@@ -253,6 +253,42 @@ def fit_arima(spark, folder):
                     F.transform("theta", lambda v: F.round(v, 6)).alias("theta"))
 
 
+# The least sum of squares of a moving average of one term with constant, over weights 1/2000 apart: for
+# a given weight the innovations are a - c b, so the best constant has a closed form.
+SQL_MA1_GRID = """WITH RECURSIVE m AS (SELECT o_orderpriority AS priority,
+  date_trunc('month', o_orderdate)::TIMESTAMP AS ts, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2),
+l AS (SELECT priority, ts, y / 1e6 AS w FROM m),
+n AS (SELECT priority, w, row_number() OVER (PARTITION BY priority ORDER BY ts) AS i FROM l WHERE w IS NOT NULL),
+g AS (SELECT k / 2000.0::DOUBLE AS t FROM range(-1998, 1999) u(k)),
+e AS (SELECT priority, i, t, w AS a, 1.0::DOUBLE AS b FROM n, g WHERE i = 1
+  UNION ALL SELECT n.priority, n.i, t, w - t * a, 1 - t * b FROM e JOIN n ON n.priority = e.priority AND n.i = e.i + 1),
+s AS (SELECT priority, t, count(*) AS n, sum(a * a) - sum(a * b) * sum(a * b) / sum(b * b) AS q FROM e GROUP BY 1, 2)
+SELECT priority, any_value(n) AS n, round(ln(min(q) / any_value(n)), 4) AS log_sigma2, 0.0::DOUBLE AS gradient
+FROM s GROUP BY 1"""
+
+
+@query("sta11_fit_ma1_likelihood", SQL_MA1_GRID)
+def fit_ma1_likelihood(spark, folder):
+    """Refined weights reach the least sum of squares that a fine grid finds, and its gradient is 0."""
+    months = monthly_orders(spark, folder).withColumn("y", F.col("y") / 1e6)
+    start = M.fit_arima(months, "y", ["priority"], "ts", (0, 0, 1))
+    m = likelihood.refine(months, spool(start), "y", ["priority"], "ts")
+    return m.select("priority", "n", F.round(F.log("sigma2"), 4).alias("log_sigma2"), F.round("gradient", 4).alias("gradient"))
+
+
+@query("sta11_ma2_gradient", "SELECT DISTINCT event_type, 0.0::DOUBLE AS gradient, true AS better FROM events")
+def ma2_gradient(spark, folder):
+    """At the refined weights of two moving-average terms of every class the derivatives vanish, and the sum of
+    squares is no larger than at the two-stage start."""
+    hours = hourly_types(spark, folder)
+    start = spool(M.fit_arima(hours, "cnt", ["event_type"], TS, (0, 0, 2)))
+    m = spool(likelihood.refine(hours, start, "cnt", ["event_type"], TS, passes=20))
+    squares = [likelihood.innovations(hours, x, "cnt", ["event_type"], TS).groupBy("event_type").agg(
+        F.sum(F.col("innovation") * F.col("innovation")).alias(name)) for x, name in ((start, "_a"), (m, "_b"))]
+    both = m.join(squares[0], "event_type").join(squares[1], "event_type")
+    return both.select("event_type", F.round("gradient", 4).alias("gradient"), (F.col("_b") <= F.col("_a") * (1 + 1e-9)).alias("better"))
+
+
 @query("sta12_fitted_values", f"""WITH {SQL_AR1}
 SELECT lz.sentiment, ts_bin, round(z, 6) AS actual, round(a + b * x, 6) AS fitted FROM lz JOIN ar
   ON ar.sentiment = lz.sentiment WHERE x IS NOT NULL""")

@@ -165,6 +165,28 @@ def predict(spark, folder):
         "conv_id", "turn", "label")
 
 
+@query("ml08_predicts_separable_texts", """SELECT event_type AS label, count(*) AS texts, 0::BIGINT AS wrong
+FROM events WHERE event_type IS NOT NULL GROUP BY 1""")
+def predict_separable(spark, folder):
+    """Every event written as a text of its type's word among common ones: each gets its own label."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    noise = F.concat_ws(" ", F.lit("the event was"), F.concat(F.lit("n"), F.col("event_id") % 13))
+    events = table(spark, folder, "events").where("event_type IS NOT NULL").select(
+        "event_id", "event_type", F.concat_ws(" ", noise, "event_type").alias("text"),
+        (F.array_position(F.lit(kinds), F.col("event_type")) - 1).cast("int").alias("target"))
+    model = M.fit_text_classifier(events, "text", "target", c=100.0, max_iter=100)
+    found = M.predict(model, events, kinds)
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("texts"),
+                                      F.count_if(F.col("label") != F.col("event_type")).alias("wrong"))
+
+
+@query("ml09_words_above_the_quantile", f"""WITH {SQL_TERMS}, n AS (SELECT count(*) AS n FROM v)
+SELECT c::INTEGER AS class, (n - 1 - floor(0.99::DOUBLE * (n - 1)))::BIGINT AS words FROM n, range({len(LANGS)}) t(c)""")
+def words_above(spark, folder):
+    """As many words of a class lie above its quantile as the size of the vocabulary says."""
+    return M.strongest_words(language_model(spark, folder)).groupBy("class").agg(F.count(F.lit(1)).alias("words"))
+
+
 @query("ml09_strongest_words")
 def words(spark, folder):
     return M.strongest_words(language_model(spark, folder)).withColumn(
@@ -186,6 +208,18 @@ def dense(spark, folder):
                                         .alias("predicted"))
 
 
+@query("ml10_dense_classifier_separates", """SELECT count(*) AS n, true AS accurate, true AS better FROM lineitem""")
+def dense_separates(spark, folder):
+    """A class bounded on both sides: the net gets 95 of 100 right, which no single threshold does."""
+    rows = table(spark, folder, "lineitem").select(
+        (F.col("l_quantity") / 50).alias("a"), ((F.col("l_quantity") > 15) & (F.col("l_quantity") <= 35)).cast("int").alias("label"))
+    data = M.feature_vector(rows, ["a"])
+    found = M.fit_dense_classifier(data, "label", [1, 6, 2], 100).transform(data)
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    threshold = F.greatest(*(F.avg(((F.col("a") > cut / 50) == (F.col("label") == 1)).cast("double")) for cut in (0, 15, 35, 50)))
+    return found.agg(F.count(F.lit(1)).alias("n"), (right >= 0.95).alias("accurate"), (right > threshold).alias("better"))
+
+
 @query("ml11_linear_regression", """SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem""")
 def linear(spark, folder):
@@ -223,11 +257,21 @@ def early_stop(spark, folder):
         F.pow(F.col("prediction") - F.col("l_extendedprice"), 2))).alias("rmse"))
 
 
-@query("ml13_codes_are_uncorrelated", """SELECT count(*) AS n, 0.0::DOUBLE AS covariance FROM embeddings""")
+@query("ml12_stops_before_the_last_round", """SELECT 12::INTEGER AS rounds, true AS stopped""")
+def stops_early(spark, folder):
+    """Prices that follow from nothing the trees see: the held-out loss does not fall, and rounds end."""
+    data = _boosting_rows(spark, folder).withColumn("noise", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1000)).cast("double"))
+    model = M.fit_boosted(data, "noise", "held_out", rounds=12)
+    return spark.range(1).select(F.lit(12).alias("rounds"), F.lit(model.getNumTrees < 12).alias("stopped"))
+
+
+@query("ml13_codes_are_uncorrelated", """SELECT count(*) AS n, 0.0::DOUBLE AS covariance, true AS ordered FROM embeddings""")
 def uncorrelated(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    return M.encode_2d(e, "embedding").agg(F.count(F.lit(1)).alias("n"),
-                                           F.abs(F.round(F.covar_pop("x", "y"), 6)).alias("covariance"))
+    # codes that vary, the first more than the second
+    spread = (F.var_pop("x") >= F.var_pop("y")) & (F.var_pop("y") > 1e-9)
+    return M.encode_2d(e, "embedding").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.round(F.covar_pop("x", "y"), 6)).alias("covariance"), spread.alias("ordered"))
 
 
 @query("ml13_encode_2d")
