@@ -174,7 +174,7 @@ SIMILARITY = 0.8
 MARGIN = 3.0
 #: Bits of a block, and blocks: fixed, so that a pair is found or not whatever else the table holds. By
 #: the binomial model 98 of 100 pairs of just the wanted similarity share one and lie within the cut.
-BLOCK_BITS, BLOCKS = 18, 140
+BLOCK_BITS, BLOCKS = 16, 111
 #: Shingles, summed over texts, of one part of a group of candidates; a task compares two parts.
 PART_SHINGLES = 1 << 21
 
