@@ -59,6 +59,13 @@ def test_quantiles_read_again_instead_of_moving_values(spark, name, scans):
     assert {s.count(":") for s in schemas} == {2}  # the group and the value
 
 
+def test_characters_are_not_rows(spark):
+    """Texts are encoded and decoded where they lie, and grouped as texts."""
+    plan = executed(spark, "fun21_decode_characters")
+    assert "posexplode(split" not in plan and "Join" not in plan
+    assert len(re.findall("Exchange hashpartitioning", plan.split("Subquery")[0])) == 1
+
+
 @pytest.mark.parametrize("name", ["ord03_top_k", "ord04_tail"])
 def test_top_rows_never_sort_everything(spark, name):
     plan = executed(spark, name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import encode, scalars
 from tidegauge.functions.labels import class_label, sentiment_class, sentiment_sign
-from tidegauge.functions.text import tokens
+from tidegauge.functions.text import character_vocabulary, characters, decode_characters, encode_characters, tokens
 from tidegauge.operators import (
     aggregate, align, missing, order, position, project, quantiles, timeseries,
 )
@@ -330,3 +330,33 @@ def test_sample_is_reproducible_across_layouts(spark):
     b = aggregate.sample_rows(df.repartition(3), ["id"], 0.1, 3).orderBy("id").collect()
     assert a == b and 400 < len(a) < 600
     assert aggregate.sample_rows(df, ["id"], 1.0).count() == 5000
+
+
+def test_characters_there_and_back(spark):
+    texts = ["abba", "\u00e9\U0001F600\uffff\n a", "", None, "a" * 3000, "a\x00\u0430b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    vocab = character_vocabulary(df, "text")
+    assert [r.ch for r in vocab.orderBy("code").collect()] == sorted({c for t in texts for c in t or ""})
+    coded = encode_characters(characters(df, "id", "text"), vocab)
+    code = {r.ch: r.code for r in vocab.collect()}
+    full = {i: t for i, t in enumerate(texts) if t}
+    assert {r.id: list(r.codes) for r in coded.collect()} == {i: [code[c] for c in t] for i, t in full.items()}
+    back = decode_characters(coded.select("id", "codes"), vocab)
+    assert {r.id: "".join(r.chars) for r in back.collect()} == full
+    # codes with holes, and characters without one
+    some = spark.createDataFrame([("b", 70), ("a", 3)], "ch string, code int")
+    coded = encode_characters(characters(df.where("id = 0 OR id = 5"), "id", "text"), some)
+    assert {r.id: r.codes for r in coded.collect()} == {0: [3, 70, 70, 3], 5: [3, None, None, 70]}
+    assert {r.id: r.chars for r in decode_characters(coded, some).collect()} == {
+        0: list("abba"), 5: ["a", None, None, "b"]}
+
+
+def test_decoded_texts_that_share_an_id(spark, tmp_path):
+    """Their characters are merged in order of position, as when every character was a row."""
+    from tidegauge.queries.scalars import decode_chars
+    rows = [(1, "bcd"), (1, "ax"), (2, "one"), (None, "n"), (None, "m"), (3, ""), (4, None)]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in decode_chars(spark, str(tmp_path)).collect()}
+    assert got == {1: "abcxd", 2: "one", None: "mn"}

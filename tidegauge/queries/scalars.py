@@ -194,7 +194,7 @@ SELECT doc_id, count(*) AS chars, sum(code)::BIGINT AS code_sum, sum(code * (pos
 FROM c JOIN v ON v.ch = c.ch GROUP BY 1""")
 def encode_chars(spark, folder):
     vocab = character_vocabulary(table(spark, folder, "documents").select("text"), "text")
-    coded = encode_characters(_chars(spark, folder), vocab)
+    coded = encode_characters(_chars(spark, folder), vocab).select("doc_id", F.posexplode("codes").alias("pos", "code"))
     return coded.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chars"), F.sum("code").alias("code_sum"),
         F.sum(F.col("code") * (F.col("pos") % 97)).alias("check_sum"))
@@ -203,11 +203,13 @@ def encode_chars(spark, folder):
 @query("fun21_decode_characters", "SELECT doc_id, text FROM documents WHERE length(text) > 0")
 def decode_chars(spark, folder):
     vocab = character_vocabulary(table(spark, folder, "documents").select("text"), "text")
-    coded = encode_characters(_chars(spark, folder), vocab).select("doc_id", "pos", "code")
-    decoded = decode_characters(coded, vocab)
-    # one group is one document, bounded by the text that was a single cell before
-    return decoded.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda s: s["ch"]), "").alias("text"))
+    coded = encode_characters(_chars(spark, folder), vocab).select("doc_id", "codes")
+    decoded = decode_characters(coded, vocab).select("doc_id", F.array_join("chars", "").alias("text"))
+    # whole texts are grouped; characters of texts that share an id are put in order of their positions
+    texts = decoded.groupBy("doc_id").agg(F.collect_list("text").alias("_t"))
+    placed = F.flatten(F.transform("_t", lambda t: F.transform(F.split(t, ""), lambda c, i: F.struct(i.alias("pos"), c.alias("ch")))))
+    merged = F.array_join(F.transform(F.sort_array(placed), lambda s: s["ch"]), "")
+    return texts.select("doc_id", F.when(F.size("_t") > 1, merged).otherwise(F.get("_t", F.lit(0))).alias("text"))
 
 
 @query("fun22_json_array", """SELECT event_id, user_id, event_type, value::DOUBLE AS value,
