@@ -59,6 +59,21 @@ def test_quantiles_read_again_instead_of_moving_values(spark, name, scans):
     assert {s.count(":") for s in schemas} == {2}  # the group and the value
 
 
+@pytest.mark.parametrize("name", ["agg04_describe", "agg05_group_describe", "agg18_quantiles"])
+def test_quantiles_move_no_rows_of_large_groups(spark, name):
+    """Rows look up their group's sketch where they lie: what is exchanged was aggregated, or is a row per group."""
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # less than the rows, more than the groups
+    try:
+        plan = executed(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    lines = [re.sub(r"^[\s:+*-]*(\(\d+\) )?", "", x) for x in plan.splitlines()]
+    below = [(b, c) for a, b, c in zip(lines, lines[1:], lines[2:]) if a.startswith("Exchange hashpartitioning")]
+    assert below and all(re.match("(Object)?HashAggregate|SortAggregate", b) or (
+        b == "ColumnarToRow" and c.startswith("FileScan") and "l_extendedprice" not in c) for b, c in below), below
+
+
 def test_characters_are_not_rows(spark):
     """Texts are encoded and decoded where they lie, and grouped as texts."""
     plan = executed(spark, "fun21_decode_characters")

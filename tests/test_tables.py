@@ -360,3 +360,21 @@ def test_decoded_texts_that_share_an_id(spark, tmp_path):
         str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.text for r in decode_chars(spark, str(tmp_path)).collect()}
     assert got == {1: "abcxd", 2: "one", None: "mn"}
+
+
+def test_quantiles_of_many_groups_with_a_null_key(spark):
+    """Too many groups to bring to the rows: the rows are joined by an exchange, with the same result."""
+    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 6007).alias("v"))
+    def found():
+        box = {r.k: tuple(r)[1:] for r in quantiles.box_summary(df, "v", ["k"]).collect()}
+        return box, {(r.k, r.column_name): tuple(r)[2:] for r in quantiles.describe(df, ["v"], ["k"]).collect()}
+    few = found()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found() == few and None in few[0] and len(few[0]) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pdf = df.toPandas()
+    part = pdf[pdf.k == 1].v
+    assert few[0][1][:3] == tuple(np.quantile(part, q) for q in (0.25, 0.5, 0.75))

@@ -5,6 +5,10 @@ binned series and fatal for raw columns. Here a first pass brackets each wanted
 approximate sketch. A second one counts the rows between the brackets, and the values inside them one
 by one, both combined where they are read; only the latter, some ten thousandth of a large group's
 rows, are ever moved and ordered. The sketch only decides what is looked at; the result is exact.
+
+What the rows of a group look up (its sketch, its quartiles) is written once to the shared folder, a row
+per group. So Spark knows its size before it plans the second pass and brings it to the rows, not the
+rows to it; only groups too many for that are joined by an exchange.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.operators.joins import null_safe_join
+from tidegauge.session import spool
 
 SLICES = 128
 #: Accuracy of the sketch, and how far around a rank its brackets reach, in shares of a group: the
@@ -31,13 +36,24 @@ def sketch(v: Column, qs: list[float]) -> Column:
     return F.struct(F.count(v).alias("total"), F.percentile_approx(v, _marks(qs), ACCURACY).alias("at"))
 
 
+def _kept(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per group, written so that its size is known; without keys there is one row, looked up as scalars.
+
+    A sketch ``_f`` becomes one array: its count, then its values.
+    """
+    if "_f" in facts.columns:
+        facts = facts.withColumn("_f", F.concat(F.array(F.col("_f.total").cast("double")), F.coalesce(
+            "_f.at", F.array().cast("array<double>"))))
+    return spool(facts) if keys else facts
+
+
 def _brackets(facts: str, qs: list[float]) -> list[tuple[Column, Column]]:
     """Lowest and highest value that the ranks of each quantile can have; null: no limit."""
-    total, at = F.col(f"{facts}.total"), F.col(f"{facts}.at")
+    total = F.get(facts, F.lit(0))
 
     def edge(i: int, narrow: int, wide: int) -> Column:
-        return F.when(total >= LARGE, F.get(at, F.lit(4 * i + narrow))).when(
-            total >= SMALL, F.get(at, F.lit(4 * i + wide)))
+        return F.when(total >= LARGE, F.get(facts, F.lit(1 + 4 * i + narrow))).when(
+            total >= SMALL, F.get(facts, F.lit(1 + 4 * i + wide)))
     return [(edge(i, 1, 0), edge(i, 2, 3)) for i in range(len(qs))]
 
 
@@ -49,12 +65,12 @@ def _looked_up(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, facts: DataFrame, qs: list[float], keys: list[str]) -> DataFrame:
-    """``(keys..., q, value)`` from the rows and the first pass's ``(keys..., _f)``; ``qs`` ascending."""
+    """``(keys..., q, value)`` from the rows and the kept facts ``(keys..., _f)``; ``qs`` ascending."""
     v = F.col(value).cast("double")
     rows = _looked_up(df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v")), facts.select(*keys, "_f"), keys)
     # the edges as columns of their own: each row is compared with two numbers per quantile
     edges = {f"_{n}{i}": c for i, pair in enumerate(_brackets("_f", qs)) for n, c in zip(("lo", "hi"), pair)}
-    rows = rows.select(*keys, "_v", F.col("_f.total").alias("_total"), *(c.alias(n) for n, c in edges.items()))
+    rows = rows.select(*keys, "_v", F.get("_f", F.lit(0)).cast("long").alias("_total"), *(c.alias(n) for n, c in edges.items()))
     inside, passed = F.lit(False), F.lit(0)
     for i in range(len(qs)):
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -84,7 +100,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
     v = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull())
     facts = rows.groupBy(*keys).agg(sketch(v, qs).alias("_f")) if keys else rows.agg(sketch(v, qs).alias("_f"))
-    return ranked(rows, value, facts, qs, keys)
+    return ranked(rows, value, _kept(facts, keys), qs, keys)
 
 
 def _slice_number(df: DataFrame) -> DataFrame:
@@ -124,9 +140,9 @@ def describe(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFra
     long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         keys, columns, "column_name", "_x")
     by, named = keys + ["column_name"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    facts = long.groupBy(*by).agg(
+    facts = _kept(long.groupBy(*by).agg(
         F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"), sketch(F.col("_x"), list(named.values())).alias("_f"))
+        F.min("_x").alias("min"), F.max("_x").alias("max"), sketch(F.col("_x"), list(named.values())).alias("_f")), by)
     quart = _as_columns(ranked(long, "_x", facts, list(named.values()), by), named, by)
     return null_safe_join(facts.drop("_f"), quart, by, "left").select(
         *by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
