@@ -59,7 +59,7 @@ def test_quantiles_read_again_instead_of_moving_values(spark, name, scans):
     assert {s.count(":") for s in schemas} == {2}  # the group and the value
 
 
-@pytest.mark.parametrize("name", ["agg04_describe", "agg05_group_describe", "agg18_quantiles"])
+@pytest.mark.parametrize("name", ["agg04_describe", "agg05_group_describe", "agg18_quantiles", "agg27_box_summary"])
 def test_quantiles_move_no_rows_of_large_groups(spark, name):
     """Rows look up their group's sketch where they lie: what is exchanged was aggregated, or is a row per group."""
     size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

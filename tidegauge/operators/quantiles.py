@@ -153,7 +153,9 @@ def box_summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     keys = list(keys)
     quart = quantile_columns(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    joined = _looked_up(rows, quart, keys).withColumn("_iqr", F.col("q3") - F.col("q1"))
+    box = _kept(quart.select(*keys, F.array("q1", "median", "q3").alias("_q")), keys)
+    joined = _looked_up(rows, box, keys).select(*keys, "_v", *(
+        F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3")))).withColumn("_iqr", F.col("q3") - F.col("q1"))
     inside = ((F.col("_v") >= F.col("q1") - 1.5 * F.col("_iqr"))
               & (F.col("_v") <= F.col("q3") + 1.5 * F.col("_iqr")))
     # summed where the rows are read: no value is moved
