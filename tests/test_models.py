@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import model as M
-from tidegauge.operators.text import tf_idf
+from tidegauge.operators.text import term_counts, term_totals, tf_idf, vocabulary
 from tidegauge.plans import sentiment
 from tidegauge.sources.artifacts import load_model
 
@@ -77,6 +77,18 @@ def test_vectoriser_equals_sql_form(docs):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_term_totals_without_a_row_per_text_and_term(spark):
+    """Same totals as from counts per text; rows are added up per term before the only exchange."""
+    texts = ["flight late late", "Late \u00c9t\u00e9 ok", "", None, "a b", "flight late late"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {(r.term, r.total, r.df) for r in term_totals(df, "text").collect()}
+    assert got == {(r.term, r.total, r.df) for r in vocabulary(term_counts(df, "id", "text")).collect()}
+    assert ("late", 5, 3) in got and ("flight", 2, 2) in got
+    plan = term_totals(df, "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(term" in plan
+    assert plan.split("Exchange", 1)[1].split("\n")[1].lstrip(" :+-*()0123456789").startswith("HashAggregate")
+
+
 def test_classifier_end_to_end(spark, docs, tmp_path):
     model, acc = sentiment.train(docs, "id", "text", "target", 100, str(tmp_path))
     scores = {r.part: r.accuracy for r in acc.collect()}

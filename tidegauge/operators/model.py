@@ -19,7 +19,7 @@ from tidegauge.functions.hashing import unit_hash
 from tidegauge.functions.labels import CLASS_LABELS
 from tidegauge.functions.text import TOKEN_PATTERN
 from tidegauge.operators.quantiles import totals_below
-from tidegauge.operators.text import MAX_TERMS, term_counts, vocabulary
+from tidegauge.operators.text import MAX_TERMS, most_frequent, term_totals
 
 #: Training rows that one task of an optimiser pass reads; far fewer cost more to start than to read.
 ROWS_PER_PASS = 5000
@@ -43,12 +43,12 @@ def fit_vectoriser(docs: DataFrame, text: str, max_terms: int = MAX_TERMS) -> Pi
     """Tokens, counts, smooth idf and unit length as one storable pipeline.
 
     The vocabulary is that of the SQL form, ties by term, so that no partitioning changes it; texts
-    are tokenised once for it and its weights. It is the model itself: ``max_terms`` strings.
+    are tokenised once for it and its weights, and only terms with their totals move. It is the model
+    itself: ``max_terms`` strings.
     """
     tokenizer = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN,
                                gaps=False, toLowercase=True)
-    numbered = docs.select(F.monotonically_increasing_id().alias("_id"), text)
-    terms, n = vocabulary(term_counts(numbered, "_id", text), max_terms).collect(), docs.count()
+    terms, n = most_frequent(term_totals(docs, text), max_terms).collect(), docs.count()
     counter = CountVectorizerModel.from_vocabulary([r.term for r in terms], inputCol="_tokens",
                                                    outputCol="_counts")
     idf = [math.log((1 + n) / (1 + r.df)) + 1 for r in terms]

@@ -20,10 +20,27 @@ def term_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_totals(docs: DataFrame, text: str) -> DataFrame:
+    """``(term, total, df)`` of the corpus, each row a text of its own.
+
+    Every text lists its distinct terms, then all; both are added up per term where the texts lie, so that
+    what moves is bounded by the terms and not by the texts' lengths.
+    """
+    listed = docs.select(tokens(text).alias("_t")).withColumn("_d", F.array_distinct("_t"))
+    terms = listed.select(F.size("_d").alias("_n"), F.posexplode(F.concat("_d", "_t")).alias("_i", "term"))
+    return terms.groupBy("term").agg(F.count_if(F.col("_i") >= F.col("_n")).alias("total"),
+                                     F.count_if(F.col("_i") < F.col("_n")).alias("df"))
+
+
+def most_frequent(totals: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The ``max_terms`` terms of the largest totals; ties go to the smaller term."""
+    return totals.orderBy(F.col("total").desc(), "term").limit(max_terms)
+
+
 def vocabulary(counts: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     """Most frequent terms of the corpus with document frequency; ties go to the smaller term."""
     stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return stats.orderBy(F.col("total").desc(), "term").limit(max_terms)
+    return most_frequent(stats, max_terms)
 
 
 def tf_idf(docs: DataFrame, id_col: str, text: str, max_terms: int = MAX_TERMS) -> DataFrame:
